@@ -25,7 +25,7 @@ FIT_ROWS, FIT_CHARS = 5000, 20_000
 LESSER = 0.2
 SWITCH = 1.6
 #: Below this share of en and fil words among all words with letters a text is of neither language.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.4
 GRAM = 3
 CLIP = 4.0
 PARAGRAPH_WORDS = 6
@@ -95,9 +95,10 @@ class Model:
         else:
             en, fil = self._letters(word, 0), self._letters(word, 1)
             d = max(-CLIP, min(CLIP, (en - fil) * 2))
-            digits = any(c.isdigit() for c in word)
-            none = -0.3 if digits or max(en, fil) < self.floor or len(word) > 24 else -1.2
-            got = (min(0.0, d), min(0.0, -d), none)
+            if any(c.isdigit() for c in word) or len(word) > 30:  # figures with units, hex, encoded data
+                got = (-1.2, -1.2, 0.0)
+            else:
+                got = (min(0.0, d), min(0.0, -d), -0.3 if max(en, fil) < self.floor else -1.2)
         if len(self.cache) < 500_000:
             self.cache[word] = got
         return got
