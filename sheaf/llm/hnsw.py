@@ -18,10 +18,10 @@ import numpy as np
 FORWARD, REVERSE = 8, 12
 #: One node in LEVEL_UP rises to the next layer.
 LEVEL_UP = 16
-EXPAND = 4
+EXPAND = 3
 QUERY_BATCH = 512
 #: Nodes per block of the joins that mend the lowest layer, and how many such partitions are joined.
-BLOCK, MENDS = 1024, 2
+BLOCK, MENDS, KNOWN = 512, 4, 5
 
 
 def _beam(x: np.ndarray, nbr: np.ndarray, visited: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,9 +48,9 @@ def _beam(x: np.ndarray, nbr: np.ndarray, visited: np.ndarray, q: np.ndarray, en
     while len(active):
         i_, s_, d_ = ids[active], sims[active], done[active]
         pick = np.argsort(d_, axis=1, kind="stable")[:, :EXPAND]
-        fresh_r, fresh_c, fresh_id = [], [], []
+        fresh_r, fresh_id = [], []
         own = np.arange(len(active))
-        for k in range(EXPAND):
+        for k in range(min(EXPAND, ef)):
             col = pick[:, k]
             open_ = np.flatnonzero(~d_[own, col])
             if not len(open_):
@@ -58,33 +58,40 @@ def _beam(x: np.ndarray, nbr: np.ndarray, visited: np.ndarray, q: np.ndarray, en
             c = col[open_]
             d_[open_, c] = True
             near = nbr[i_[open_, c]]
-            r = np.repeat(open_, width).reshape(near.shape)
+            r = np.repeat(open_, width)
+            near = near.ravel()
             ok = near >= 0
-            r, near_, slot = r[ok], near[ok], np.broadcast_to(np.arange(k * width, (k + 1) * width), near.shape)[ok]
-            new = ~visited[active[r], near_]
-            r, near_, slot = r[new], near_[new], slot[new]
-            visited[active[r], near_] = True
-            touched.append((active[r], near_))
+            at = active[r]
+            ok &= ~visited[at, near]
+            r, near, at = r[ok], near[ok], at[ok]
+            visited[at, near] = True
+            touched.append((at, near))
             fresh_r.append(r)
-            fresh_c.append(slot)
-            fresh_id.append(near_)
+            fresh_id.append(near)
         done[active] = d_
-        if fresh_r and sum(map(len, fresh_r)):
-            r, c, n = np.concatenate(fresh_r), np.concatenate(fresh_c), np.concatenate(fresh_id)
+        if fresh_r:
+            r, n = np.concatenate(fresh_r), np.concatenate(fresh_id)
             s = np.einsum("ij,ij->i", x[n], q[active[r]])
             good = s > s_[r, -1]
-            r, c, n, s = r[good], c[good], n[good], s[good]
+            r, n, s = r[good], n[good], s[good]
             if len(r):
-                more_s = np.full((len(active), EXPAND * width), -np.inf, np.float32)
-                more_i = np.full((len(active), EXPAND * width), -1, np.int32)
-                more_s[r, c] = s
-                more_i[r, c] = n
-                all_s = np.concatenate((s_, more_s), axis=1)
-                top = np.argpartition(-all_s, ef - 1, axis=1)[:, :ef]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(all_s, top, 1), axis=1), 1)
-                sims[active] = np.take_along_axis(all_s, top, 1)
-                ids[active] = np.take_along_axis(np.concatenate((i_, more_i), axis=1), top, 1)
-                done[active] = np.take_along_axis(np.concatenate((d_, np.zeros(more_s.shape, bool)), axis=1), top, 1) | (ids[active] < 0)
+                order = np.argsort(r, kind="stable")
+                r, n, s = r[order], n[order], s[order]
+                head = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+                many = np.diff(np.concatenate((head, [len(r)])))
+                rank = np.arange(len(r)) - np.repeat(head, many)
+                row = np.repeat(np.arange(len(head)), many)
+                hit = r[head]
+                shape = (len(head), ef + int(many.max()))
+                all_s, all_i, all_d = np.full(shape, -np.inf, np.float32), np.full(shape, -1, np.int32), np.zeros(shape, bool)
+                all_s[:, :ef], all_i[:, :ef], all_d[:, :ef] = s_[hit], i_[hit], d_[hit]
+                all_s[row, ef + rank] = s
+                all_i[row, ef + rank] = n
+                top = np.argsort(-all_s, axis=1)[:, :ef]
+                line = np.arange(len(head))[:, None]
+                at = active[hit]
+                sims[at], ids[at] = all_s[line, top], all_i[line, top]
+                done[at] = all_d[line, top] | (ids[at] < 0)
         active = active[~done[active].all(axis=1)]
     for r, n in touched:
         visited[r, n] = False
@@ -154,7 +161,7 @@ class Layer:
         cell = np.concatenate([(self.x[a : a + 8192] @ pivots.T).argmax(axis=1) for a in range(0, self.size, 8192)])
         order = np.argsort(cell, kind="stable")
         head = np.searchsorted(cell[order], np.arange(len(pivots) + 1))
-        known = -np.sort(-np.concatenate((self.front, self.back), axis=1), axis=1)[:, REVERSE - 1]
+        known = -np.sort(-np.concatenate((self.front, self.back), axis=1), axis=1)[:, KNOWN - 1]
         for a, b in zip(head[:-1], head[1:]):
             for lo in range(a, b, 2 * BLOCK):
                 rows = order[lo : min(b, lo + 2 * BLOCK)]
@@ -215,9 +222,15 @@ class Graph:
 
     def _descend(self, q: np.ndarray, inserted: int | None = None) -> np.ndarray:
         """Entry nodes of the lowest layer for each query: the nearest four of the layer above it."""
+        above = self.layers if inserted is not None else self.layers[:-1]
         entry = np.zeros((len(q), 1), np.int32)
-        for layer in self.layers if inserted is not None else self.layers[:-1]:
-            entry, _ = _beam(self.x, layer.nbr, self.visited, q, entry, 4)
+        for layer in above:
+            if layer is above[0] and layer.size <= 1024:  # the top is small enough to look at as a whole
+                near = q @ self.x[: layer.size].T
+                m = min(4, layer.size)
+                entry = np.argpartition(-near, m - 1, axis=1)[:, :m].astype(np.int32)
+            else:
+                entry, _ = _beam(self.x, layer.nbr, self.visited, q, entry, 4)
         return entry
 
     def search(self, q: np.ndarray, k: int, ef: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
