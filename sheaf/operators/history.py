@@ -11,7 +11,8 @@ def keyset_page(rows: DataFrame, order: list[str], after: tuple | None, size: in
     """The newest `size` rows strictly before the cursor in descending `order`; no cursor, the first page.  Null keys sort last."""
     key = F.struct(*order)
     if after is not None:
-        rows = rows.filter(key < F.struct(*map(F.lit, after)))
+        kinds = dict(rows.dtypes)
+        rows = rows.filter(key < F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, after))))
     return rows.orderBy(*(F.desc_nulls_last(c) for c in order)).limit(size)
 
 

@@ -26,6 +26,10 @@ def terms_of(query: str) -> list[str]:
     return sorted(found)
 
 
+def _is(word: str):
+    return lambda t: t == word
+
+
 def _stats(sized: DataFrame, terms: list[str]) -> DataFrame:
     """One row: passages, average length, and the number of passages with each term."""
     return sized.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"), *(F.sum(F.array_contains("t", w).cast("int")).alias(f"df_{i}") for i, w in enumerate(terms)))
@@ -49,7 +53,7 @@ def bm25(passages: DataFrame, text: str, query: str, normalised: bool = True) ->
     total, most = F.lit(0.0), F.lit(0.0)
     for i, w in enumerate(terms):
         df = F.coalesce(F.col(f"__df_{i}"), F.lit(0))
-        tf = F.size(F.filter("__t", lambda t, w=w: t == w))
+        tf = F.size(F.filter("__t", _is(w)))
         if normalised:
             weight = F.lit(0.0) if w in STOP_WORDS else F.when(df >= F.greatest(F.col("__n") * 0.9, F.lit(2.0)), 0.0).otherwise(F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5)))
         else:
