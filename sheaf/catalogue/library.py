@@ -173,3 +173,57 @@ def byte_and_char_lengths(spark, d):
 def props_json_fields(spark, d):
     k = F.get_json_object("props", "$.k")
     return table(spark, d, "events").select("event_id", "event_type", k.alias("k"), k.try_cast("bigint").alias("k_number"))
+
+
+@query()
+def index_chunks(spark, d):
+    """Every text cut anew into passages of at most 1200 characters (a generator: no SQL)."""
+    from ..operators.chunking import chunk
+
+    return chunk(table(spark, d, "document_texts"), "file_id", "content", "pages").drop("chunk_text")
+
+
+@query()
+def summary_passages(spark, d):
+    from ..operators.chunking import SUMMARY_BYTES, chunk
+
+    return chunk(table(spark, d, "document_texts"), "file_id", "content", None, SUMMARY_BYTES, "bytes").drop("chunk_text", "page")
+
+
+@query()
+def clause_facts(spark, d):
+    from ..operators.facts import clause_facts as facts
+
+    return facts(table(spark, d, "document_texts"), "file_id", "content")
+
+
+@query()
+def shared_facts(spark, d):
+    from ..operators import facts
+
+    return facts.shared_facts(facts.clause_facts(table(spark, d, "document_texts"), "file_id", "content"), "file_id")
+
+
+@query()
+def revision_diffs(spark, d):
+    """Line differences between each passage of the older cutting and what stands at its place now."""
+    from ..operators.diffs import diff_lines
+
+    chunks = table(spark, d, "chunks").select("chunk_id", "document_id", "chunk_text", "start_offset", "end_offset").distinct()
+    files = table(spark, d, "indexed_documents").select("document_id", "file_id").distinct()
+    texts = table(spark, d, "document_texts").select("file_id", "content").distinct()
+    now = F.try_validate_utf8(T.byte_slice(F.col("content"), F.col("start_offset"), F.col("end_offset")).cast("string"))
+    return diff_lines(chunks.join(files, "document_id").join(texts, "file_id").select("chunk_id", "chunk_text", now.alias("now")), "chunk_id", "chunk_text", "now")
+
+
+@query("""
+WITH t AS (SELECT DISTINCT file_id, content FROM document_texts), l AS (SELECT file_id, unnest(string_split(content, chr(10))) AS line FROM t),
+w AS (SELECT file_id, line, regexp_replace(line, '\\s+', '', 'g') AS v, list_filter(string_split_regex(line, '[^\\p{L}\\p{N}]+'), lambda w: length(regexp_replace(w, '[^A-Za-z]', '', 'g')) >= 2) AS ws FROM l),
+o AS (SELECT file_id, length(v) AS n, length(regexp_replace(v, '[\\p{L}\\p{N}.,;:!?''"()\\[\\]{}\\-–—/\\\\&%@#*+=<>|~^$€£¥₱°•·…‘’“”«»_]', '', 'g')) AS odd, len(ws) AS k, len(list_filter(ws, lambda w: regexp_matches(w, '[aeiouyAEIOUY]'))) AS voiced, len(list_filter(ws, lambda w: regexp_matches(w, '[0-9]'))) AS mixed FROM w)
+SELECT file_id, count(*) AS lines, count(*) FILTER (WHERE n = 0 OR (odd <= n * CASE WHEN n < 4 THEN 0.5 ELSE 0.25 END AND NOT (k >= 4 AND (voiced < k * 0.4 OR mixed * 2 > k)))) AS readable FROM o GROUP BY 1
+""")
+def readable_lines(spark, d):
+    from ..sources.folder import is_readable
+
+    lines = table(spark, d, "document_texts").select("file_id", "content").distinct().select("file_id", F.explode(F.split("content", "\n")).alias("line"))
+    return lines.groupBy("file_id").agg(F.count("*").alias("lines"), F.count_if(is_readable(F.col("line"))).alias("readable"))

@@ -20,3 +20,33 @@ def tri_state(checks: list[Column]) -> Column:
         false |= F.coalesce(~c, F.lit(False))
         known |= c.isNotNull()
     return F.when(false, "failed").when(known, "passed").otherwise("unknown")
+
+
+def record_faults(records: DataFrame) -> DataFrame:
+    """`records` with faults: the names of the rules between fields that a benchmark record breaks.
+
+    Fields: task, outcome_kind, cold, request_position, requests_since_start, retry_needed, correctness, model_disk_bytes,
+    model_file_bytes, context_tokens, n_ctx, output_sha256, reviews array<struct<output_sha256>>, memory
+    array<struct<peak_bytes, unavailable_reason>>.
+    """
+    failed = ~F.col("outcome_kind").isin("valid", "cancelled")
+    summary = F.col("task") == "summary"
+    expected = F.when(summary, F.lit(None).cast("boolean")).otherwise(False)
+    rules = {
+        "diskBytes": F.col("model_disk_bytes") != F.col("model_file_bytes"),
+        "contextTokens": F.col("context_tokens") != F.col("n_ctx"),
+        "cold": F.col("cold") != (F.col("request_position") == "firstRequestAfterServerRestart"),
+        "coldStart": F.col("cold") & (F.col("requests_since_start") != 0),
+        "retryNeeded": F.col("retry_needed") != failed,
+        "failedCorrectness": failed & ~F.col("correctness").eqNullSafe(expected),
+        "summaryCorrectness": summary & F.col("correctness").isNotNull(),
+        "memory": F.exists("memory", lambda m: m["peak_bytes"].isNull() == (F.coalesce(m["unavailable_reason"], F.lit("")) == "")),
+        "review": F.exists("reviews", lambda r: ~r["output_sha256"].eqNullSafe(F.col("output_sha256"))),
+    }
+    return records.withColumn("faults", F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in rules.items()))))
+
+
+def fact_present(text: Column, fact: Column) -> Column:
+    """Whether a required fact stands in a text: every run of digits of its label, else the label itself, without regard to case."""
+    digits = F.regexp_extract_all(fact, F.lit(r"(\d+)"), F.lit(1))
+    return F.when(F.size(digits) > 0, F.forall(digits, lambda x: F.contains(text, x))).otherwise(F.contains(F.lower(text), F.lower(fact)))
