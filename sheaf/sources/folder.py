@@ -42,7 +42,7 @@ def read_documents(spark: SparkSession, root: str, most_files: int | None = MOST
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.try_url_decode(F.replace(F.substring_index("path", base, -1), F.lit("+"), F.lit("%2B"))).alias("relative_path"), F.col("content").alias("bytes"))
     both = listed.join(raw, "relative_path")
     readable = (F.col("media_type") != "application/pdf") & (F.col("size_bytes") <= MOST_TEXT) & F.is_valid_utf8("bytes")
-    text = F.when(readable, F.decode("bytes", F.lit("UTF-8")))
+    text = F.when(readable, F.decode("bytes", "UTF-8"))
     return both.select(*listed.columns, F.concat(F.lit("sha256:"), F.sha2("bytes", 256)).alias("content_hash"), text.alias("content")).withColumn("title", F.coalesce(title_of(F.col("content")), F.col("name")))
 
 
