@@ -18,7 +18,8 @@ COMMON_PUNCTUATION = ".,;:!?'\"()[]{}-–—/\\&%@#*+=<>|~^$€£¥₱°•·…
 def list_documents(spark: SparkSession, root: str) -> DataFrame:
     """(relative_path, name, media_type, size_bytes, modified_at) of the documents below a folder, contents unread.
 
-    Hidden files, files in hidden folders and in node_modules, and other kinds of file are left out.
+    Hidden files, files in hidden folders and in node_modules, and other kinds of file are left out; so are files of no
+    bytes, which Spark's file scan does not list.
     """
     base = root.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")

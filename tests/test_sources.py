@@ -16,7 +16,7 @@ def test_folder(spark, tmp_path):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(data)
     got = {r.relative_path: (r.media_type, r.content, r.title) for r in folder.read_documents(spark, str(root)).collect()}
-    assert got == {"a.md": ("text/markdown", "# Head\ntext", "Head"), "sub dir/b+c.txt": ("text/plain", "plain", "b+c.txt"), "bad.txt": ("text/plain", None, "bad.txt"), "empty.txt": ("text/plain", "", "empty.txt"), "p.pdf": ("application/pdf", None, "p.pdf")} | {"sub dir/b+c.txt": ("text/plain", "plain", "plain")}
+    assert got == {"a.md": ("text/markdown", "# Head\ntext", "Head"), "sub dir/b+c.txt": ("text/plain", "plain", "b+c.txt"), "bad.txt": ("text/plain", None, "bad.txt"), "p.pdf": ("application/pdf", None, "p.pdf")} | {"sub dir/b+c.txt": ("text/plain", "plain", "plain")}
     try:
         folder.read_documents(spark, str(root), 2)
         raise AssertionError("too many files were read")
