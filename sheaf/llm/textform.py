@@ -63,9 +63,11 @@ def _char(c: str) -> str:
 
 @lru_cache(maxsize=262144)
 def _segment(s: str) -> str:
-    if unicodedata.is_normalized("NFC", s) and all(_char(c) == c for c in s):
+    plain = "".join(map(_char, s))
+    apart = unicodedata.normalize("NFD", plain)  # an accent may stand on a look-alike letter
+    if plain == s and unicodedata.is_normalized("NFC", s) and all(_char(c) == c for c in apart):
         return s
-    return unicodedata.normalize("NFC", "".join(_char(c) for c in unicodedata.normalize("NFD", "".join(map(_char, s)))))
+    return unicodedata.normalize("NFC", "".join(map(_char, apart)))
 
 
 def canonical(text: str) -> str:
