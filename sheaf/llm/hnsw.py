@@ -117,15 +117,15 @@ def _diverse(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, keep: int) -> tup
 class Layer:
     """One layer over the first `size` nodes of x."""
 
-    def __init__(self, x: np.ndarray, size: int):
-        self.x, self.size = x, size
-        self.nbr = np.full((size, FORWARD + REVERSE), -1, np.int32)
-        self.back = np.full((size, REVERSE), -np.inf, np.float32)
-        self.front = np.full((size, FORWARD), -np.inf, np.float32)
+    def __init__(self, x: np.ndarray, size: int, forward: int, reverse: int):
+        self.x, self.size, self.forward, self.reverse = x, size, forward, reverse
+        self.nbr = np.full((size, self.forward + self.reverse), -1, np.int32)
+        self.back = np.full((size, self.reverse), -np.inf, np.float32)
+        self.front = np.full((size, self.forward), -np.inf, np.float32)
 
     def link(self, nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
         """Give new nodes their forward neighbours and offer them to those as reverse neighbours."""
-        ids, sims = _diverse(self.x, ids, sims, FORWARD)
+        ids, sims = _diverse(self.x, ids, sims, self.forward)
         self.nbr[nodes, : ids.shape[1]] = ids
         self.front[nodes, : ids.shape[1]] = np.where(ids >= 0, sims, -np.inf)
         ok = ids >= 0
@@ -141,17 +141,17 @@ class Layer:
         to, new, s = to[order], new[order], s[order]
         head = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
         rank = np.arange(len(to)) - np.repeat(head, np.diff(np.concatenate((head, [len(to)]))))
-        fits = rank < REVERSE
+        fits = rank < self.reverse
         group = np.cumsum(np.concatenate(([0], (to[1:] != to[:-1]).astype(int))))
         target = to[head]
-        offer_i = np.full((len(target), REVERSE), -1, np.int32)
-        offer_s = np.full((len(target), REVERSE), -np.inf, np.float32)
+        offer_i = np.full((len(target), self.reverse), -1, np.int32)
+        offer_s = np.full((len(target), self.reverse), -np.inf, np.float32)
         offer_i[group[fits], rank[fits]] = new[fits]
         offer_s[group[fits], rank[fits]] = s[fits]
-        all_i = np.concatenate((self.nbr[target, FORWARD:], offer_i), axis=1)
+        all_i = np.concatenate((self.nbr[target, self.forward:], offer_i), axis=1)
         all_s = np.concatenate((self.back[target], offer_s), axis=1)
-        top = np.argpartition(-all_s, REVERSE - 1, axis=1)[:, :REVERSE]
-        self.nbr[target, FORWARD:] = np.take_along_axis(all_i, top, 1)
+        top = np.argpartition(-all_s, self.reverse - 1, axis=1)[:, :self.reverse]
+        self.nbr[target, self.forward:] = np.take_along_axis(all_i, top, 1)
         self.back[target] = np.take_along_axis(all_s, top, 1)
 
 
@@ -174,7 +174,8 @@ class Layer:
 class Graph:
     """The graph over the rows of a float32 matrix of unit vectors; row numbers are those given."""
 
-    def __init__(self, vectors: np.ndarray, ef: int = 24, seed: int = 7):
+    def __init__(self, vectors: np.ndarray, ef: int = 24, seed: int = 7, forward: int = FORWARD, reverse: int = REVERSE, mends: int = MENDS):
+        self.forward, self.reverse = forward, reverse
         n = len(vectors)
         level = (-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(LEVEL_UP)).astype(int)
         self.order = np.argsort(-level, kind="stable")
@@ -187,11 +188,11 @@ class Graph:
         self.layers: list[Layer] = []
         for size in reversed(sizes):
             self._grow(size, ef)
-        for _ in range(MENDS if n > 512 else 0):
+        for _ in range(mends if n > 512 else 0):
             self.layers[-1].mend(np.random.default_rng((seed, _)))
 
     def _grow(self, size: int, ef: int) -> None:
-        layer = Layer(self.x, size)
+        layer = Layer(self.x, size, self.forward, self.reverse)
         first = min(size, 512)
         sims = self.x[:first] @ self.x[:first].T
         np.fill_diagonal(sims, -np.inf)

@@ -20,6 +20,8 @@ from .hnsw import Graph
 
 #: Rows of a shard; rows per space that centroids are fitted on; most cells of a space (beyond it cells are divided by hash).
 SHARD_ROWS, FIT_ROWS, MOST_CELLS = 65_536, 8192, 4096
+#: Links of the graphs that have to find neighbours that are hardly nearer than all others.
+DENSE = {"forward": 12, "reverse": 24, "mends": 8}
 
 
 def fit_cells(sample: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,7 @@ def _routed(widths: dict[str, int], cells: dict[str, tuple[np.ndarray, np.ndarra
 _FOUND = pa.schema([("space", pa.string()), ("id", pa.int64()), ("neighbor", pa.int64()), ("cosine", pa.float64())])
 
 
-def _answered(k: int, ef: int, least: float, ef_build: int):
+def _answered(k: int, ef: int, least: float, ef_build: int, links: dict[str, int]):
     def run(shard: pa.Table) -> pa.Table:
         vecs, home = shard.column("vec").to_pylist(), shard.column("home").to_pylist()
         ids, asks = shard.column("ids").to_pylist(), shard.column("asks").to_pylist()
@@ -109,7 +111,7 @@ def _answered(k: int, ef: int, least: float, ef_build: int):
         out: tuple[list, list, list] = ([], [], [])
         if node:
             x = np.frombuffer(b"".join(node), np.float32).reshape(len(node), -1)
-            graph = Graph(x, ef_build)
+            graph = Graph(x, ef_build, **links)
             held = [np.unique(np.frombuffer(m, np.int64)) for m in members]
             asked: dict[bytes, bytes] = {}
             for v, a in zip(vecs, asks):
@@ -140,14 +142,14 @@ def _answered(k: int, ef: int, least: float, ef_build: int):
     return run
 
 
-def nearest(vectors: DataFrame, spaces: DataFrame, k: int = 10, least: float = -2.0, ef: int = 16, ef_build: int = 16, margin: float = 0.08, asking: Column | None = None, key: str = "chunk_id", space: str = "space_id", vector: str = "vector") -> DataFrame:
+def nearest(vectors: DataFrame, spaces: DataFrame, k: int = 10, least: float = -2.0, ef: int = 16, ef_build: int = 16, margin: float = 0.08, dense: bool = False, asking: Column | None = None, key: str = "chunk_id", space: str = "space_id", vector: str = "vector") -> DataFrame:
     """(space, id, neighbor, cosine, rank): the k most similar vectors of the same space found for each asking row.
 
     Among equal cosines the smaller id is first; pairs below cosine `least` are not returned.  A vector takes part if
     it has its space's dimensions, only finite numbers and a length above zero; null keys, spaces and vectors take no
     part; a repeated row counts once; equal vectors are neighbours of cosine 1; other columns are ignored; empty input
     gives an empty result.  `asking` (all rows by default) names the rows that ask; all rows are indexed.  Ids must be
-    bigint.  `spaces` (space, dimensions) is a table of a few rows by design and is read to the driver, as are the
+    bigint.  `dense` builds graphs with more links, for neighbours that are hardly nearer than the rest.  `spaces` (space, dimensions) is a table of a few rows by design and is read to the driver, as are the
     counts of its spaces and at most about FIT_ROWS sampled vectors of each.
     """
     asks = F.coalesce(asking.cast("boolean"), F.lit(False)) if asking is not None else F.lit(True)
@@ -165,6 +167,6 @@ def nearest(vectors: DataFrame, spaces: DataFrame, k: int = 10, least: float = -
             sample = _units(got, width, np.arange(len(got)))[1]
         cells[name] = fit_cells(sample, n)
     routed = rows.mapInArrow(_routed(widths, cells, margin), "space string, cell int, part int, home boolean, vec binary, ids binary, asks binary")
-    found = routed.groupBy("space", "cell", "part").applyInArrow(_answered(k, ef, least, ef_build), "space string, id bigint, neighbor bigint, cosine double")
+    found = routed.groupBy("space", "cell", "part").applyInArrow(_answered(k, ef, least, ef_build, DENSE if dense else {}), "space string, id bigint, neighbor bigint, cosine double")
     one = found.groupBy("space", "id", "neighbor").agg(F.max("cosine").alias("cosine"))
     return one.withColumn("rank", F.expr("row_number() OVER (PARTITION BY space, id ORDER BY cosine DESC, neighbor)")).filter(F.col("rank") <= k)

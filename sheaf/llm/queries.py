@@ -8,7 +8,7 @@ from ..sources.tables import table
 from . import clusters, language, mixing, neardup, neighbors, packing, shared_spans, splitting, textform, tokens
 
 #: Cosine from which a neighbour counts for p1_found; beam of the full neighbour lists.
-P1_COSINE, P1_WIDE = 0.85, 400
+P1_COSINE, P1_WIDE = 0.85, 160
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar chunks of every chunk whose id is divisible by 20, against all chunks and all shards."""
-    near = neighbors.nearest(table(spark, d, "chunk_vectors"), table(spark, d, "embedding_spaces"), ef=P1_WIDE, ef_build=48, margin=2.0, asking=F.col("chunk_id") % 20 == 0)
+    near = neighbors.nearest(table(spark, d, "chunk_vectors"), table(spark, d, "embedding_spaces"), ef=P1_WIDE, ef_build=48, margin=2.0, dense=True, asking=F.col("chunk_id") % 20 == 0)
     return near.select(F.col("space").alias("space_id"), F.col("id").alias("chunk_id"), "rank", F.col("neighbor").alias("neighbor_chunk_id"), F.round("cosine", 6).alias("cosine"))
 
 
