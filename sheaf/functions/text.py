@@ -159,3 +159,32 @@ def date_variants(phrase: str) -> list[str]:
                     if word.lower() in names:
                         found += [f"{n} {day}" for n in dict.fromkeys(names) if f"{n} {day}" not in found]
     return found
+
+
+def excerpt(text: Column, folded: Column, term: str, width: int = 360, lead: int = 120) -> Column:
+    """struct(start, end, text): a window of `width` characters that begins `lead` before the first hit of a term in the
+    folded text (of equal length); from the beginning if there is none.  start and end are UTF-8 bytes."""
+    hit = F.greatest(F.locate(term, folded), F.lit(1))
+    first = F.greatest(hit - lead, F.lit(1)).cast("int")
+    cut = F.substr(text, first, F.lit(width))
+    start = F.octet_length(F.left(text, first - 1))
+    return F.struct(start.alias("start"), (start + F.octet_length(cut)).alias("end"), cut.alias("text"))
+
+
+def utf16_offset(text: Column, byte: Column) -> Column:
+    """The UTF-16 offset of a byte offset at a character boundary; null elsewhere or beyond the text."""
+    head = F.try_validate_utf8(byte_slice(text, F.lit(0), byte).cast("string"))
+    inside = (byte >= 0) & (byte <= F.octet_length(text))
+    return F.when(inside, (F.octet_length(F.encode(head, "UTF-16BE")) / 2).cast("int"))
+
+
+def escape_delimiters(text: Column, words: tuple[str, ...] = ("SOURCE_BEGIN", "SOURCE_END")) -> Column:
+    """A text in which the words that delimit sources in a prompt cannot stand."""
+    for w in words:
+        text = F.replace(text, F.lit(w), F.lit(w.replace("_", "\\_")))
+    return text
+
+
+def collapsed(text: Column) -> Column:
+    """Lower-cased with white space collapsed, for verbatim comparison."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\r\f]+", " "))

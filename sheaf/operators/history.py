@@ -63,3 +63,16 @@ def undo_conflicts(entries: DataFrame, observed: DataFrame, scope: str, path: st
 def structural_conflicts(operations: DataFrame, plan: str, target: str) -> DataFrame:
     """(plan, target, n): targets that more than one operation of a plan writes, without regard to case."""
     return operations.filter(f"{target} IS NOT NULL").groupBy(plan, F.lower(target).alias("target")).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def rebuilt_activity(plans: DataFrame, history_: DataFrame, outcomes: DataFrame, plan: str, index: str) -> DataFrame:
+    """One row per operation that any of the three knows: (plan, index, in_plan, in_history, outcome).
+
+    What history has done is done even if no outcome was recorded; an operation of a plan with neither is notStarted.
+    """
+    a = plans.select(plan, index, F.lit(True).alias("in_plan")).distinct()
+    b = history_.select(plan, index, F.lit(True).alias("in_history")).distinct()
+    c = outcomes.groupBy(plan, index).agg(F.max("outcome").alias("__outcome"))
+    met = a.join(b, [plan, index], "full").join(c, [plan, index], "full")
+    done = F.coalesce("in_history", F.lit(False))
+    return met.select(plan, index, F.coalesce("in_plan", F.lit(False)).alias("in_plan"), done.alias("in_history"), F.coalesce("__outcome", F.when(done, "succeeded").otherwise("notStarted")).alias("outcome"))

@@ -120,3 +120,15 @@ def follow_members(collections: DataFrame, members: str, files: DataFrame, key:
     known = files.select(key).distinct().withColumn("__there", F.lit(True))
     met = listed.join(known, key, "left")
     return met.groupBy(collection).agg(F.count_distinct(F.when(F.col("__there"), F.col(key))).alias("kept"), (F.count(key) - F.count_distinct(F.when(F.col("__there"), F.col(key)))).alias("dropped"))
+
+
+def changed_members(members: DataFrame, collection: str, key: str, removed: DataFrame | None = None, added: DataFrame | None = None, renamed: DataFrame | None = None) -> DataFrame:
+    """(collection, key) after removals, additions and moves (`renamed` has key and new_key); a member counts once."""
+    now = members.select(collection, key)
+    if renamed is not None:
+        now = now.join(renamed.select(key, "new_key"), key, "left").select(collection, F.coalesce("new_key", key).alias(key))
+    if removed is not None:
+        now = now.join(removed.select(collection, key), [collection, key], "left_anti")
+    if added is not None:
+        now = now.unionByName(added.select(collection, key))
+    return now.distinct()

@@ -92,3 +92,52 @@ def connections(edges: DataFrame, left: str, right: str, kind: str, score: str)
     back = edges.select(F.col(right).alias("document"), F.col(left).alias("other"), F.col(kind).alias("kind"), F.col(score).alias("score"), F.lit("in").alias("way"))
     told = out.unionByName(back).filter("document <> other").groupBy("document", "other", "kind").agg(F.count_distinct("way").alias("ways"), F.min("way").alias("way"), F.max("score").alias("score"), F.count("*").alias("n"))
     return told.select("document", "other", "kind", F.when(F.col("ways") > 1, "mutual").otherwise(F.col("way")).alias("direction"), "score", "n")
+
+
+def invalid_relations(edges: DataFrame, left: str, right: str, score: str, evidence: str) -> DataFrame:
+    """`edges` with fault: selfRelation, badScore or missingEvidence, null if sound.
+
+    A sound edge has two different ends, a null or finite score of 0 to 1, and in `evidence` (array of struct with
+    document and content_hash) passages of both ends, each end of one revision.
+    """
+    of = lambda end: F.filter(evidence, lambda p: p["document"] == F.col(end))
+    one = lambda end: (F.size(of(end)) > 0) & (F.size(F.array_distinct(F.transform(of(end), lambda p: p["content_hash"]))) == 1)
+    s = F.col(score)
+    fault = F.when(F.col(left) == F.col(right), "selfRelation").when(s.isNotNull() & (F.isnan(s) | (s < 0) | (s > 1)), "badScore").when(~F.coalesce(one(left) & one(right), F.lit(False)), "missingEvidence")
+    return edges.withColumn("fault", fault)
+
+
+def merged_relations(sources: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The union of several lists; of equal relations the one of the first list stays."""
+    whole = None
+    for n, df in enumerate(sources):
+        part = df.withColumn("__list", F.lit(n))
+        whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
+    return whole.withColumn("__turn", F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY __list)")).filter("__turn = 1").drop("__turn", "__list")
+
+
+def map_subset(pairs: DataFrame, files: DataFrame, key: str, path: str, centre: int | str | None = None, most: int = 400) -> DataFrame:
+    """(key, hops): what a map shows - the neighbourhood of the centre (by default the file of the highest degree, first
+    path) at depth 2, at depth 1 if that is too much, cut by path if that is still too much."""
+    if centre is None:
+        best = degrees(pairs, node=key).join(files.select(key, path).distinct(), key).orderBy(F.desc("degree"), path).first()
+        if best is None:
+            return files.select(key, F.lit(0).alias("hops")).limit(0)
+        centre = best[key]
+    kind = dict(files.dtypes)[key]
+    seeds = files.sparkSession.createDataFrame([(centre,)], f"{key} {kind}")
+    for depth in (2, 1):
+        got = neighbourhood(pairs, seeds, depth, key)
+        if got.limit(most + 1).count() <= most:
+            return got
+    return got.join(files.select(key, path).distinct(), key).orderBy("hops", path).limit(most).select(key, "hops")
+
+
+def first_findings(duplicates: DataFrame, links: DataFrame, most: int = 3) -> DataFrame:
+    """(kind, a, b, cross_folder): duplicates first, then links between folders, then others; each unordered pair once.
+
+    Both inputs have a, b, folder_a and folder_b.
+    """
+    both = duplicates.withColumn("kind", F.lit(0)).unionByName(links.withColumn("kind", F.lit(1)))
+    pairs = both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("kind").alias("kind"), F.bool_or(F.col("folder_a") != F.col("folder_b")).alias("cross_folder"))
+    return pairs.orderBy("kind", F.desc("cross_folder"), "a", "b").limit(most).select(F.when(F.col("kind") == 0, "duplicate").otherwise("link").alias("kind"), "a", "b", "cross_folder")

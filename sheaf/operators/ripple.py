@@ -37,3 +37,51 @@ def impacts(links: DataFrame, copies: DataFrame, mentions: DataFrame, target: st
     near = links.select(F.col("target").alias(target), F.col("source").alias(other), F.lit(0).alias("rank")).unionByName(links.select(F.col("source").alias(target), F.col("target").alias(other), F.lit(1).alias("rank"))).join(told, other, "left_semi")
     same = copies.select(F.col("a").alias(target), F.col("b").alias(other), F.lit(0).alias("rank")).unionByName(copies.select(F.col("b").alias(target), F.col("a").alias(other), F.lit(0).alias("rank")))
     return near.unionByName(same).filter(f"{target} <> {other}").groupBy(target, other).agg(F.min("rank").alias("rank")).select(target, other, F.when(F.col("rank") == 0, "evidence").otherwise("hint").alias("strength"))
+
+
+def replaced_phrase(before: str, after: str, most: int = 120) -> str | None:
+    """What an edit replaces, widened to whole words and to a date's month or day; None for a mere insertion."""
+    from ..functions.text import MONTHS
+    from .diffs import changed_region
+
+    def month(word: str) -> bool:
+        bare = word.rstrip(".")
+        return any(bare.lower() in names for names in MONTHS) and (bare.lower() != "may" or bare.startswith("M"))
+
+    start, end, _ = changed_region(before, after)
+    if start >= end:
+        return None
+    while start and before[start - 1].isalnum():
+        start -= 1
+    while end < len(before) and before[end].isalnum():
+        end += 1
+    phrase = before[start:end]
+    if phrase.isdigit():
+        lead = before[:start].rstrip(" ").rsplit(None, 1)
+        if lead and len(before[:start].rstrip(" ")) < start and month(lead[-1]):
+            start = before[:start].rstrip(" ").rfind(lead[-1])
+    elif month(phrase):
+        digits = 0
+        while end + 1 + digits < len(before) and before[end] == " " and before[end + 1 + digits].isdigit():
+            digits += 1
+        if digits in (1, 2):
+            end += 1 + digits
+    phrase = before[start:end].strip()
+    return phrase if phrase and len(phrase) <= most else None
+
+
+def deletion_impacts(edges: DataFrame, target: str, other: str, kind: str, path: str, most: int = MOST) -> DataFrame:
+    """(target, other, strength): whom a deletion touches, the strongest relation of each; at most `most` per target.
+
+    `edges` point from other to target for links (what the target links to is not touched).
+    """
+    rank = F.when(F.col(kind) == "link", 0).when(F.col(kind) == "shared-fact", 1).otherwise(2)
+    best = edges.filter(f"{target} <> {other}").groupBy(target, other).agg(F.min(rank).alias("__rank"), F.min(path).alias("__path"))
+    turned = best.withColumn("__turn", F.expr(f"row_number() OVER (PARTITION BY {target} ORDER BY __rank, __path, {other})")).filter(F.col("__turn") <= most)
+    return turned.select(target, other, F.element_at(F.array(F.lit("evidence"), F.lit("shared-fact"), F.lit("similarity")), F.col("__rank") + 1).alias("strength"))
+
+
+def plan_impacts(impacts_: DataFrame, targets: DataFrame, plan: str, index: str, other: str, most: int = MOST) -> DataFrame:
+    """(plan, index, other): the impacts of all operations of a plan, the first operation of each document, without the documents the plan itself changes."""
+    first = impacts_.groupBy(plan, other).agg(F.min(index).alias(index)).join(targets.select(plan, F.col("target").alias(other)).distinct(), [plan, other], "left_anti")
+    return first.withColumn("__turn", F.expr(f"row_number() OVER (PARTITION BY {plan} ORDER BY {index}, {other})")).filter(F.col("__turn") <= most).select(plan, index, other)
