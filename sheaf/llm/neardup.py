@@ -6,10 +6,11 @@ sets form a class with one representative, so copies cost nothing further.  Repr
 signatures agree too little are dropped; the rest are compared exactly.  The links give groups by alternating
 large-star and small-star.
 
-Chance that a pair at the threshold shares no band: (1 - 0.6**4)**48, about one in 800.  A bucket of more than
-`HOT_BUCKET` classes is divided by 32 further bands of three rows inside the bucket (chance to lose a pair at 0.6
-there: (1 - 0.6**3)**32, below one in 2000), so that classes that share one band by a common passage alone are not
-compared with one another; no bucket is cut off.
+Chance that a pair at the threshold shares no band: (1 - 0.6**4)**48, about one in 800.  The classes of a bucket of
+more than `HOT_BUCKET` are not compared with one another through it: they mostly share a common passage.  They are
+matched exactly instead, by the rarest part of their sets (two sets as alike as the threshold must share one of the
+rarest size - ceil(threshold * size) + 1 members of each, counted over these classes), so no bucket is cut off and
+no pair of a hot bucket is missed.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from ..plans.staging import stage
 from .textform import canonical
 
 BANDS, ROWS = 48, 4
-SUB_BANDS, SUB_ROWS = 32, 3
 HOT_BUCKET = 64
 SEED = 20240229
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -105,15 +105,24 @@ def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"rep": np.repeat(pdf["rep"].to_numpy(np.int64), BANDS), "key": np.concatenate(keys) if keys else np.empty(0, np.int64)})
 
 
-def _sub_banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keys of the further bands inside a hot bucket, over other groupings of the minima."""
-    order = np.random.default_rng(SEED + 1).permutation(BANDS * ROWS)[: SUB_BANDS * SUB_ROWS]
-    for pdf in batches:
-        out = []
-        for key, sig in zip(pdf["key"], pdf["sig"]):
-            with np.errstate(over="ignore"):
-                out.append((_keys(np.frombuffer(sig, np.uint32)[order], SUB_ROWS).view(np.uint64) ^ np.uint64(key & (2**64 - 1))).view(np.int64))
-        yield pd.DataFrame({"rep": np.repeat(pdf["rep"].to_numpy(np.int64), SUB_BANDS), "key": np.concatenate(out) if out else np.empty(0, np.int64)})
+def _members(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingles(words(t), width).view(np.int64) for t in pdf["text"]]
+            sizes = [len(x) for x in sets]
+            yield pd.DataFrame({"rep": np.repeat(pdf["rep"].to_numpy(np.int64), sizes), "size": np.repeat(np.array(sizes, np.int32), sizes), "token": np.concatenate(sets) if sets else np.empty(0, np.int64)})
+    return run
+
+
+def _by_rarest(texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(rep_a, rep_b) of all pairs of texts (rep, text) that share one of the rarest members of both and whose sizes allow the threshold."""
+    tokens = stage(texts.mapInPandas(_members(width), "rep bigint, size int, token bigint").distinct(), "tokens")
+    counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token")
+    ranked = counted.withColumn("rank", F.expr("row_number() OVER (PARTITION BY rep ORDER BY df, token)"))
+    rare = stage(ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).filter("df > 1").select("rep", "size", "token"), "rare")
+    a, b = rare.withColumnsRenamed({"rep": "rep_a", "size": "size_a"}), rare.withColumnsRenamed({"rep": "rep_b", "size": "size_b"})
+    fits = (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9) & (F.col("rep_a") < F.col("rep_b"))
+    return a.join(b, "token").filter(fits).select("rep_a", "rep_b").distinct()
 
 
 def _agreeing(floor: float):
@@ -161,10 +170,10 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float = 0.6,
     reps = stage(reps.select("rep", "sig"), "reps")
     banded = reps.mapInPandas(_banded, "rep bigint, key bigint")
     shared = stage(banded.withColumn("n", F.expr("count(*) OVER (PARTITION BY key)")).filter("n > 1"), "buckets")
-    small = shared.filter(f"n <= {HOT_BUCKET}").select("rep", "key")
-    hot = shared.filter(f"n > {HOT_BUCKET}").select("rep", "key").join(reps, "rep").mapInPandas(_sub_banded, "rep bigint, key bigint").distinct()
-    buckets = small.unionByName(hot)
-    near = buckets.withColumnRenamed("rep", "rep_a").join(buckets.withColumnRenamed("rep", "rep_b"), "key").filter("rep_a < rep_b").select("rep_a", "rep_b").distinct()
+    buckets = shared.filter(f"n <= {HOT_BUCKET}").select("rep", "key")
+    hot = rows.withColumnRenamed("id", "rep").join(shared.filter(f"n > {HOT_BUCKET}").select("rep"), "rep", "left_semi")
+    near = buckets.withColumnRenamed("rep", "rep_a").join(buckets.withColumnRenamed("rep", "rep_b"), "key").filter("rep_a < rep_b").select("rep_a", "rep_b")
+    near = near.unionByName(_by_rarest(hot, threshold, width)).distinct()
     # 192 minima: at the threshold the agreement has a deviation of at most 0.036; four of them are allowed
     signed_pairs = near.join(reps.select(F.col("rep").alias("rep_a"), F.col("sig").alias("sig_a")), "rep_a").join(reps.select(F.col("rep").alias("rep_b"), F.col("sig").alias("sig_b")), "rep_b")
     likely = stage(signed_pairs.mapInPandas(_agreeing(threshold - 0.15), "rep_a bigint, rep_b bigint"), "likely")
