@@ -60,8 +60,8 @@ def named_files(spark, d):
 
 @query(f"""
 WITH {_RELATIONS}, di AS (SELECT target AS t, source AS o, min(CASE WHEN kind = 'link' THEN 0 ELSE 2 END) AS rank, min(relative_path) AS path FROM rel JOIN f ON f.file_id = rel.source WHERE source <> target GROUP BY 1, 2),
-n AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY rank, path, o) AS k FROM di)
-SELECT t AS file_id, o AS touched, CASE rank WHEN 0 THEN 'evidence' ELSE 'similarity' END AS strength FROM n WHERE k <= 25
+dn AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY rank, path, o) AS k FROM di)
+SELECT t AS file_id, o AS touched, CASE rank WHEN 0 THEN 'evidence' ELSE 'similarity' END AS strength FROM dn WHERE k <= 25
 """)
 def deletion_impacts(spark, d):
     """Whom the deletion of each file would touch."""
