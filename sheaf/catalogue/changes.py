@@ -11,8 +11,9 @@ from . import query
 _H = "h AS (SELECT DISTINCT * FROM history)"
 
 
-def _history(spark, d):
-    return table(spark, d, "history").distinct()
+def _history(spark, d, *columns):
+    """The columns of every operation once: history_id is the key, so that only what is needed is read and shuffled."""
+    return table(spark, d, "history").select("history_id", *columns).distinct()
 
 
 @query(f"WITH {_H} SELECT history_id, workspace_id, operation_kind, applied_at FROM h WHERE (applied_at, history_id) < (TIMESTAMPTZ '2024-06-01 00:00:00+00', 0) ORDER BY applied_at DESC NULLS LAST, history_id DESC LIMIT 100")
@@ -21,7 +22,7 @@ def activity_page(spark, d):
     import datetime
 
     at = (datetime.datetime(2024, 6, 1, tzinfo=datetime.timezone.utc), 0)
-    h = _history(spark, d).select("history_id", "workspace_id", "operation_kind", "applied_at")
+    h = _history(spark, d, "workspace_id", "operation_kind", "applied_at")
     return history.keyset_page(h.filter("applied_at IS NOT NULL"), ["applied_at", "history_id"], at)
 
 
@@ -30,7 +31,7 @@ WITH {_H}, p AS (SELECT workspace_id, plan_id, max(applied_at) AS last_at FROM h
 SELECT workspace_id, plan_id, turn, turn <= 100 AS recoverable FROM r
 """)
 def prune_flags(spark, d):
-    told = history.prune_flags(_history(spark, d), "workspace_id", "plan_id", "applied_at")
+    told = history.prune_flags(_history(spark, d, "workspace_id", "plan_id", "applied_at"), "workspace_id", "plan_id", "applied_at")
     return told.withColumn("turn", F.col("turn").cast("bigint"))
 
 
@@ -40,7 +41,7 @@ SELECT history_id, CASE WHEN stopped IS NOT NULL AND failed IS NOT NULL AND fail
 """)
 def settle_prefix(spark, d):
     """Outcomes of each plan's operations: one without paths stands for a failure, an undone one for a cancellation."""
-    h = _history(spark, d)
+    h = _history(spark, d, "plan_id", "operation_index", "before_path", "after_path", "undone_at")
     told = history.settled(h, "plan_id", "operation_index", F.col("before_path").isNull() & F.col("after_path").isNull(), F.col("undone_at").isNotNull())
     return told.select("history_id", "outcome")
 
@@ -53,18 +54,18 @@ SELECT coalesce(conflict, 'none') AS conflict, count(*) AS entries, count(DISTIN
 """)
 def undo_conflicts(spark, d):
     seen = table(spark, d, "indexed_documents").select("workspace_id", F.col("relative_path").alias("path"), "content_hash")
-    told = history.undo_conflicts(_history(spark, d).filter("undone_at IS NULL"), seen, "workspace_id", "path", "content_hash")
+    told = history.undo_conflicts(_history(spark, d, "plan_id", "workspace_id", "operation_kind", "before_path", "after_path", "after_hash", "recoverable", "undone_at").filter("undone_at IS NULL"), seen, "workspace_id", "path", "content_hash")
     return told.groupBy(F.coalesce("conflict", F.lit("none")).alias("conflict")).agg(F.count("*").alias("entries"), F.count_distinct("plan_id").alias("plans"))
 
 
 @query(f"WITH {_H} SELECT plan_id, lower(after_path) AS target, count(*) AS n FROM h WHERE after_path IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
 def structural_conflicts(spark, d):
-    return history.structural_conflicts(_history(spark, d), "plan_id", "after_path")
+    return history.structural_conflicts(_history(spark, d, "plan_id", "after_path"), "plan_id", "after_path")
 
 
 @query(f"WITH {_H} SELECT workspace_id, operation_kind, count(*) AS operations, count(undone_at) AS undone, count(*) FILTER (WHERE recoverable = 1) AS recoverable, count(DISTINCT plan_id) AS plans FROM h GROUP BY 1, 2")
 def activity_counters(spark, d):
-    return _history(spark, d).groupBy("workspace_id", "operation_kind").agg(F.count("*").alias("operations"), F.count("undone_at").alias("undone"), F.count_if(F.col("recoverable") == 1).alias("recoverable"), F.count_distinct("plan_id").alias("plans"))
+    return _history(spark, d, "workspace_id", "operation_kind", "undone_at", "recoverable", "plan_id").groupBy("workspace_id", "operation_kind").agg(F.count("*").alias("operations"), F.count("undone_at").alias("undone"), F.count_if(F.col("recoverable") == 1).alias("recoverable"), F.count_distinct("plan_id").alias("plans"))
 
 
 @query(f"""
@@ -73,7 +74,7 @@ SELECT file_id, history_id, operation_kind, after_path FROM r WHERE k = 1
 """)
 def last_operation(spark, d):
     """The newest operation on each file, whatever the order in which rows arrived."""
-    h = _history(spark, d).filter("file_id IS NOT NULL").select("file_id", "history_id", "operation_kind", "after_path", "applied_at")
+    h = _history(spark, d, "file_id", "operation_kind", "after_path", "applied_at").filter("file_id IS NOT NULL")
     return scan.latest(h, ["file_id"], "applied_at", ["history_id"]).drop("applied_at")
 
 

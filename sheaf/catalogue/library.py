@@ -30,7 +30,7 @@ SELECT workspace_id, status, count(*) AS files, sum(size_bytes) AS size_bytes, c
 FROM (SELECT DISTINCT * FROM indexed_documents) GROUP BY workspace_id, status
 """)
 def index_status(spark, d):
-    files = table(spark, d, "indexed_documents").distinct()
+    files = table(spark, d, "indexed_documents").select("file_id", "workspace_id", "status", "size_bytes", "title", "indexed_at").distinct()
     return files.groupBy("workspace_id", "status").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("size_bytes"), F.count_if(F.col("title").isNull()).alias("untitled"), F.max("indexed_at").alias("last_indexed"))
 
 
@@ -38,8 +38,8 @@ def index_status(spark, d):
 SELECT workspace_id, relative_path, coalesce(title, name) AS shown, status FROM {FILES} WHERE status IN ('indexed', 'stale')
 """)
 def listed_documents(spark, d):
-    files = table(spark, d, "indexed_documents").distinct()
-    return files.filter(F.col("status").isin("indexed", "stale")).select("workspace_id", "relative_path", F.coalesce("title", "name").alias("shown"), "status")
+    files = table(spark, d, "indexed_documents").filter(F.col("status").isin("indexed", "stale")).select("file_id", "workspace_id", "relative_path", "title", "name", "status").distinct()
+    return files.select("workspace_id", "relative_path", F.coalesce("title", "name").alias("shown"), "status")
 
 
 @query(f"SELECT DISTINCT file_id, {FOLDED.format(x='name')} AS folded_name FROM indexed_documents")

@@ -67,8 +67,8 @@ WHERE best IS NOT NULL AND round(best.similarity, 6) >= 0.86 AND round(best.simi
 """)
 def folder_affinity(spark, d):
     m = table(spark, d, "suggested_members").filter("vector IS NOT NULL").select("file_id", "workspace_id", "space_id", "vector")
-    files = table(spark, d, "indexed_documents").select("file_id", T.folder_of(F.col("relative_path")).alias("folder"))
-    u = m.join(files, "file_id").distinct().select("file_id", "workspace_id", "space_id", "folder", V.unit(F.col("vector")).alias("u")).filter("u IS NOT NULL")
+    files = table(spark, d, "indexed_documents").select("file_id", T.folder_of(F.col("relative_path")).alias("folder")).distinct()
+    u = m.dropDuplicates(["file_id"]).join(files, "file_id").select("file_id", "workspace_id", "space_id", "folder", V.unit(F.col("vector")).alias("u")).filter("u IS NOT NULL")
     return organize.folder_affinity(u, "file_id", ["workspace_id", "space_id"], "folder", "u", 64)
 
 

@@ -129,9 +129,10 @@ SELECT file_id, round({' + '.join(score)}, 6) AS score FROM z WHERE {' AND '.joi
 
 def _operator(spark, d, text: str):
     files = table(spark, d, "indexed_documents").filter("status = 'indexed'").select("file_id", "name", "title", "relative_path").distinct()
-    texts = table(spark, d, "document_texts").select("file_id", "content").distinct()
+    texts = table(spark, d, "document_texts").select("file_id", "content")
     found = search.operator_search(files.join(texts, "file_id", "left"), search.parse(text), F.col("name"), F.col("title"), F.col("relative_path"), F.col("content"))
-    return found.select("file_id", F.round("score", 6).alias("score"))
+    # texts delivered twice give equal rows: the narrow result is made distinct, not the texts
+    return found.select("file_id", F.round("score", 6).alias("score")).distinct()
 
 
 def _register(name: str, text: str) -> None:
