@@ -15,12 +15,12 @@ no pair of a hot bucket is missed.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,7 +31,7 @@ from .textform import canonical
 BANDS, ROWS = 48, 4
 HOT_BUCKET = 64
 SEED = 20240229
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ROLL = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -63,18 +63,21 @@ def shingles(found: list[str], width: int = 3) -> np.ndarray:
     return np.unique(rolled)
 
 
+@lru_cache(maxsize=1)
 def _universal() -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers (odd) and offsets of the hash family x * a + b modulo 2**32, as columns."""
     rng = np.random.default_rng(SEED)
     n = BANDS * ROWS
-    return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+    return (rng.integers(0, 2**31, (n, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)), rng.integers(0, 2**32, (n, 1), dtype=np.uint32)
 
 
 def minima(items: np.ndarray) -> np.ndarray:
-    """The signature: the least value of each multiply-shift hash over the set, 32 bits each."""
+    """The signature: the least value of each universal hash over the set, 32 bits each."""
     a, b = _universal()
+    x = (items >> np.uint64(32)).astype(np.uint32)
     low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
-    for part in np.array_split(items, max(1, len(items) // 4096)):
-        low = np.minimum(low, ((part[:, None] * a + b) >> np.uint64(32)).astype(np.uint32).min(axis=0))
+    for part in np.array_split(x, max(1, len(x) // 2048)):
+        low = np.minimum(low, (a * part + b).min(axis=1))
     return low
 
 
