@@ -107,3 +107,21 @@ def latest_vectors(spark, d):
     """What an upsert by chunk leaves of all vectors ever written."""
     v = table(spark, d, "chunk_vectors").select("chunk_id", "space_id", "embedded_at").distinct()
     return scan.latest(v, ["chunk_id"], "embedded_at", ["space_id"])
+
+
+@query("SELECT DISTINCT file_id, workspace_id, relative_path, status, content_hash FROM indexed_documents WHERE file_id IS NOT NULL")
+def streamed_index(spark, d):
+    """The index as a stream of arriving rows leaves it: micro-batches merged by file, the row indexed last stays.
+
+    Runs the stream to the end of what is there; state and table lie in the shared folder.
+    """
+    import uuid
+
+    from ..plans.staging import shared_dir
+    from ..streaming.ingest import ingest
+
+    place = f"{shared_dir(spark)}/sheaf-stream-{uuid.uuid4().hex}"
+    rows = table(spark, d, "indexed_documents").select("file_id", "workspace_id", "relative_path", "status", "content_hash", "indexed_at")
+    stream = spark.readStream.schema(table(spark, d, "indexed_documents").schema).parquet(f"{d}/indexed_documents.parque[t]").select(*rows.columns).filter("file_id IS NOT NULL")
+    ingest(stream, f"{place}/table", f"{place}/state", ["file_id"], "indexed_at").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{place}/table").drop("indexed_at")
