@@ -115,7 +115,12 @@ def p9_parts(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_parts(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbors, p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_passages, p5_found, p5_labels, p6_found, p6_groups, p7_packs, p7_fill, p8_mixes, p8_shares, p9_found, p9_parts)}
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    spans = shared_spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
+    return spans.withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbors, p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_passages, p5_found, p5_labels, p6_found, p6_groups, p7_packs, p7_fill, p8_mixes, p8_shares, p9_found, p9_parts, p9_spans)}
 
 #: Where SQL can state the result over whole tables: every oversized item, from the page ranges alone.
 ORACLES = {

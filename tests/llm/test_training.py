@@ -356,3 +356,19 @@ def test_shared_parts(spark):
             if len(where[t[i : i + 180]]) > 1:
                 covered.update(range(i, i + 180))
         assert rows[k].shared_chars == len(covered), k
+
+
+def test_shared_spans(spark):
+    texts = _library(random.Random(11))
+    rows = shared_spans.shared_spans(spark.createDataFrame(list(texts.items()), "k long, t string"), "k", "t").collect()
+    first = {}
+    for k in sorted(texts):
+        first.setdefault(texts[k], k)
+    want = {(first[texts[a]], first[texts[b]]) for a in texts for b in texts if texts[a] != texts[b] and _shared(texts[a], texts[b], 180)}
+    assert {(r.id_a, r.id_b) for r in rows} == {p for p in want if p[0] < p[1]}
+    for r in rows:
+        a, b = texts[r.id_a], texts[r.id_b]
+        assert r["size"] >= 180 and a[r.start_a : r.start_a + r["size"]] == b[r.start_b : r.start_b + r["size"]]
+        if "zzz" not in a[r.start_a : r.start_a + r["size"]]:  # a stretch ends where the texts differ or end
+            assert not (r.start_a and r.start_b and a[r.start_a - 1] == b[r.start_b - 1])
+            assert a[r.start_a + r["size"]] != b[r.start_b + r["size"]] if max(r.start_a + r["size"] - len(a), r.start_b + r["size"] - len(b)) < 0 else True
