@@ -3,8 +3,10 @@
 Per scope (workspace and space) the unit vectors are reduced by principal components of a bounded sample and cut
 into leaves by a k-d tree on the reduced coordinates; a leaf also takes the rows within `MARGIN` of its borders.
 Each leaf is clustered by density on the full vectors; clusters of neighbouring leaves that share a core point are
-one (connected components).  The centre of a cluster is the mean of its members' unit vectors, refined twice; the
-members are the rows near it, and a group stands if it is dense and apart: at least `least_size` members, each with
+one (connected components).  Rows of a divided scope that are in no cluster of any leaf are compared with one another,
+and those with enough neighbours among them start clusters too.  The centre of a cluster is the mean of its members'
+unit vectors, refined twice; it is compared with the rows of every leaf whose part of space can hold one near enough,
+wherever its cluster was found.  The members are the rows near it, and a group stands if it is dense and apart: at least `least_size` members, each with
 cosine `inner` or more to the centre, and no other row of the scope above `outer`.  The member with the highest mean
 cosine to the others - the one nearest the centre - is the medoid.
 
@@ -31,6 +33,8 @@ REDUCED, MARGIN = 12, 0.09
 ANCHORS, SALT_ROWS = 256, 50_000
 #: Density: cosine of neighbours, neighbours (itself included) that make a core point.
 NEAR, CORE = 0.80, 3
+#: Centres that are compared with the rows of a leaf at a time.
+BLOCK = 256
 
 _POINTS = "scope string, space string, leaf string, home boolean, id bigint, vec binary"
 
@@ -49,14 +53,18 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield plain(pdf[["scope", "space", "id"]].iloc[keep]).assign(vec=pd.Series(out, index=pdf.index[keep], dtype=object))
 
 
-def _matrix(vecs: pd.Series) -> np.ndarray:
-    """Rows of one scope; vectors of another length than most are apart and get a row of zeros."""
-    sizes = vecs.str.len()
-    width = int(sizes.mode().iloc[0])
+def _matrix(vecs: pd.Series, width: int | None = None) -> np.ndarray:
+    """Rows of one scope; vectors of another length than most (or than `width` bytes) are apart and get a row of zeros."""
+    width = width or int(vecs.str.len().mode().iloc[0])
     return np.frombuffer(b"".join(v if len(v) == width else bytes(width) for v in vecs), np.float64).reshape(len(vecs), -1)
 
 
-def fit_tree(u: np.ndarray, total: int) -> dict:
+def _centres(totals: pd.Series, width: int) -> np.ndarray:
+    c = _matrix(totals, width)
+    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+
+
+def fit_tree(u: np.ndarray, total: int, leaf: int = LEAF, anchors: int = ANCHORS) -> dict:
     """Reduction and k-d tree on a sample of `total` rows."""
     mean = u.mean(axis=0)
     _, _, axes = np.linalg.svd(u - mean, full_matrices=False)
@@ -64,8 +72,8 @@ def fit_tree(u: np.ndarray, total: int) -> dict:
     scale = total / len(u)
 
     def grow(x: np.ndarray, depth: int) -> dict:
-        if len(x) * scale <= LEAF or depth > 24:
-            return {"parts": max(1, int(np.ceil(len(x) * scale / LEAF)))}
+        if len(x) * scale <= leaf or depth > 24:
+            return {"parts": max(1, int(np.ceil(len(x) * scale / leaf)))}
         best = None
         for axis in np.argsort(-x.var(axis=0))[:4]:
             v = np.sort(x[:, axis])
@@ -75,11 +83,11 @@ def fit_tree(u: np.ndarray, total: int) -> dict:
                 if best is None or cost[1] + abs(a - (len(v) - b)) / 2 < best[0]:
                     best = (cost[1] + abs(a - (len(v) - b)) / 2, axis, t, max(cost[0], 0))
         if best is None or best[3] > 0.9 * len(x):
-            return {"parts": max(1, int(np.ceil(len(x) * scale / LEAF)))}
+            return {"parts": max(1, int(np.ceil(len(x) * scale / leaf)))}
         _, axis, t, _ = best
         return {"axis": int(axis), "at": float(t), "low": grow(x[x[:, axis] <= t + MARGIN], depth + 1), "high": grow(x[x[:, axis] > t - MARGIN], depth + 1)}
 
-    return {"mean": mean, "axes": axes, "tree": grow((u - mean) @ axes.T, 0)}
+    return {"mean": mean, "axes": axes, "tree": grow((u - mean) @ axes.T, 0), "leaf": leaf, "anchors": anchors}
 
 
 def assign(model: dict, u: np.ndarray, ids: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -104,7 +112,7 @@ def assign(model: dict, u: np.ndarray, ids: np.ndarray) -> tuple[list[str], np.n
                 continue
             mixed = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             own = (mixed % np.uint64(parts)).astype(np.int64)
-            anchor = (mixed // np.uint64(parts)) % np.uint64(max(1, parts * LEAF // ANCHORS)) == 0
+            anchor = (mixed // np.uint64(parts)) % np.uint64(max(1, parts * model["leaf"] // model["anchors"])) == 0
             for p in range(parts):
                 here = (own == p) | anchor
                 put(f"{name}.{p}", row[here], home[here] & (own[here] == p))
@@ -116,6 +124,34 @@ def assign(model: dict, u: np.ndarray, ids: np.ndarray) -> tuple[list[str], np.n
     return leaves, np.concatenate(rows) if rows else np.empty(0, int), np.concatenate(homes) if homes else np.empty(0, bool)
 
 
+def reach(model: dict, c: np.ndarray, cosine: float) -> tuple[list[str], np.ndarray]:
+    """(leaf, row) for every leaf whose home rows may have `cosine` or more with a row of `c`.
+
+    Unit vectors of that cosine are at most sqrt(2 - 2 * cosine) apart, and the reduction does not lengthen distances.
+    """
+    x = (c - model["mean"]) @ model["axes"].T
+    most = 2 - 2 * cosine + 1e-9
+    leaves, rows = [], []
+    stack = [(model["tree"], "0", np.arange(len(c)), np.zeros_like(x))]
+    while stack:
+        node, name, row, gap = stack.pop()
+        near = (gap * gap).sum(axis=1) <= most
+        row, gap = row[near], gap[near]
+        if not len(row):
+            continue
+        if "axis" not in node:
+            for part in [name] if node["parts"] == 1 else [f"{name}.{p}" for p in range(node["parts"])]:
+                leaves.extend([part] * len(row))
+                rows.append(row)
+            continue
+        beyond = x[row, node["axis"]] - node["at"]
+        for child, side in (("low", beyond), ("high", -beyond)):
+            wider = gap.copy()
+            wider[:, node["axis"]] = np.maximum(wider[:, node["axis"]], side)
+            stack.append((node[child], name + child[0], row, wider))
+    return leaves, np.concatenate(rows) if rows else np.empty(0, int)
+
+
 def density(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(cluster, core) of each row: cluster numbers from 0, -1 for noise; a border row goes with its closest core point."""
     n = len(u)
@@ -159,8 +195,11 @@ def _local(pdf: pd.DataFrame) -> pd.DataFrame:
     return plain(pd.DataFrame({"scope": where[0], "space": where[1], "leaf": where[2], "node": node, "id": ids, "core": core}))
 
 
-def _sums(ids: np.ndarray, names: list, picks: list[np.ndarray], u: np.ndarray) -> pd.DataFrame:
-    return plain(pd.DataFrame({"cluster": names, "n": [len(p) for p in picks], "total": [u[p].sum(axis=0).tobytes() for p in picks]}))
+_SUMS = "cluster string, scope string, space string, n bigint, total binary"
+
+
+def _sums(pdf: pd.DataFrame, names: list, picks: list[np.ndarray], u: np.ndarray) -> pd.DataFrame:
+    return plain(pd.DataFrame({"cluster": names, "scope": pdf["scope"].iloc[0], "space": pdf["space"].iloc[0], "n": [len(p) for p in picks], "total": [u[p].sum(axis=0).tobytes() for p in picks]}))
 
 
 def _seed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -170,40 +209,47 @@ def _seed(pdf: pd.DataFrame) -> pd.DataFrame:
     for name, at in pdf.groupby("cluster").indices.items():
         names.append(name)
         picks.append(at)
-    return _sums(pdf["id"].to_numpy(), names, picks, u)
+    return _sums(pdf, names, picks, u)
 
 
 def _centre(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Whole sums from the partial sums of one partition, which has all of its clusters' rows: a few per cluster."""
+    where: dict[str, tuple[str, str]] = {}
     count: dict[str, int] = {}
     total: dict[str, np.ndarray] = {}
     for pdf in batches:
-        for name, n, part in zip(pdf["cluster"], pdf["n"], pdf["total"]):
+        for name, scope, space, n, part in zip(pdf["cluster"], pdf["scope"], pdf["space"], pdf["n"], pdf["total"]):
             v = np.frombuffer(part, np.float64)
             if name not in total:
-                total[name], count[name] = v.copy(), int(n)
+                where[name], total[name], count[name] = (scope, space), v.copy(), int(n)
             elif len(v) == len(total[name]):
                 total[name] += v
                 count[name] += int(n)
-    yield plain(pd.DataFrame({"cluster": list(count), "n": list(count.values()), "total": [v.tobytes() for v in total.values()]}))
+    yield plain(pd.DataFrame({"cluster": list(count), "scope": [w[0] for w in where.values()], "space": [w[1] for w in where.values()], "n": list(count.values()), "total": [v.tobytes() for v in total.values()]}))
 
 
-def _met(points: pd.DataFrame, centres: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+def _met(points: pd.DataFrame, centres: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """The home rows of a leaf, their vectors, and block by block the names of centres with their cosines to the rows."""
     points = _once(points[points["home"]])
     u = _matrix(points["vec"])
-    c = _matrix(centres["total"])
-    c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
-    return points, u, u @ c.T if u.shape[1] == c.shape[1] else np.full((len(u), len(c)), -1.0)
+    c = _centres(centres["total"], u.shape[1] * u.itemsize)
+    names = centres["cluster"].to_numpy(object)
+    return points, u, ((names[a : a + BLOCK], u @ c[a : a + BLOCK].T) for a in range(0, len(c), BLOCK))
 
 
 def _recentred(middle: float):
     def run(points: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(centres) or not points["home"].any():
-            return empty("cluster", "n", "total")
-        points, u, cos = _met(points, centres)
-        picks = [np.flatnonzero(cos[:, k] >= middle) for k in range(cos.shape[1])]
-        some = [k for k, p in enumerate(picks) if len(p)]
-        return _sums(points["id"].to_numpy(), [centres["cluster"].iloc[k] for k in some], [picks[k] for k in some], u)
+            return empty("cluster", "scope", "space", "n", "total")
+        points, u, met = _met(points, centres)
+        names, picks = [], []
+        for some, cos in met:
+            for name, column in zip(some, (cos >= middle).T):
+                at = np.flatnonzero(column)
+                if len(at):
+                    names.append(name)
+                    picks.append(at)
+        return _sums(points, names, picks, u)
     return run
 
 
@@ -211,9 +257,12 @@ def _around(outer: float):
     def run(points: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(centres) or not points["home"].any():
             return empty("cluster", "scope", "space", "id", "similarity")
-        points, _, cos = _met(points, centres)
-        row, col = np.nonzero(cos > outer)
-        return plain(pd.DataFrame({"cluster": centres["cluster"].to_numpy()[col], "scope": points["scope"].to_numpy()[row], "space": points["space"].to_numpy()[row], "id": points["id"].to_numpy()[row], "similarity": cos[row, col]}))
+        points, _, met = _met(points, centres)
+        out = []
+        for names, cos in met:
+            row, col = np.nonzero(cos > outer)
+            out.append(pd.DataFrame({"cluster": names[col], "scope": points["scope"].to_numpy()[row], "space": points["space"].to_numpy()[row], "id": points["id"].to_numpy()[row], "similarity": cos[row, col]}))
+        return plain(pd.concat(out, ignore_index=True))
     return run
 
 
@@ -227,17 +276,20 @@ def similarity_groups(df: DataFrame, key: str, vector: str, scope: str, space: s
     """
     rows = df.select(F.col(scope).alias("scope"), F.col(space).alias("space"), F.col(key).cast("bigint").alias("id"), F.col(vector).alias("vector"))
     units = stage(rows.filter("scope IS NOT NULL AND space IS NOT NULL AND id IS NOT NULL AND vector IS NOT NULL").mapInPandas(_units, "scope string, space string, id bigint, vec binary"), "units")
-    sized = units.join(units.groupBy("scope", "space").agg(F.count("*").alias("rows")), ["scope", "space"])
+    counts = stage(units.groupBy("scope", "space").agg(F.count("*").alias("rows")), "counts")
+    sized = units.join(counts, ["scope", "space"])
     whole = sized.filter(f"rows <= {LEAF}").select("scope", "space", F.lit("0").alias("leaf"), F.lit(True).alias("home"), "id", "vec")
     large = sized.filter(f"rows > {LEAF}")
     spread = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     sample = large.filter(spread < F.lit(FIT_ROWS) / F.col("rows"))
 
+    limits = LEAF, ANCHORS
+
     def tree_of(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["rows"].iloc[0])
-        return plain(pd.DataFrame({"scope": [pdf["scope"].iloc[0]], "space": [pdf["space"].iloc[0]], "rows": [n], "model": [pickle.dumps(fit_tree(_matrix(pdf["vec"]), n))]}))
+        return plain(pd.DataFrame({"scope": [pdf["scope"].iloc[0]], "space": [pdf["space"].iloc[0]], "rows": [n], "model": [pickle.dumps(fit_tree(_matrix(pdf["vec"]), n, *limits))]}))
 
-    trees = sample.groupBy("scope", "space").applyInPandas(tree_of, "scope string, space string, rows bigint, model binary")
+    trees = stage(sample.groupBy("scope", "space").applyInPandas(tree_of, "scope string, space string, rows bigint, model binary"), "trees")
     salts = F.ceil(F.col("rows") / SALT_ROWS).cast("int")
     salted = large.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
     tree_rows = trees.select("scope", "space", "model", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
@@ -261,16 +313,43 @@ def similarity_groups(df: DataFrame, key: str, vector: str, scope: str, space: s
     links = local.filter("core").join(held, "id").filter("node <> least").select("node", "least").distinct()
     merged = connected_components(links, "node", "least", "node", "cluster")
     named = stage(local.join(merged, "node", "left").select(*leaf_key, "id", F.coalesce("cluster", "node").alias("cluster")), "named")
-    at = named.select(*leaf_key, "cluster").distinct()
-    partial = "cluster string, n bigint, total binary"
-    member_points = points.filter("home").join(named.select(*leaf_key, "id", "cluster").distinct(), [*leaf_key, "id"])
-    centres = stage(member_points.groupBy(*leaf_key).applyInPandas(_seed, partial).repartition("cluster").mapInPandas(_centre, partial), "centres")
+
+    def sent_to(cosine: float):
+        def run(centres: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+            if not len(centres):
+                return empty(*leaf_key, "cluster", "total")
+            if not len(tree):
+                return plain(centres).assign(leaf="0")[[*leaf_key, "cluster", "total"]].astype({"leaf": object})
+            model = pickle.loads(tree["model"].iloc[0])
+            leaf, row = reach(model, _centres(centres["total"], model["mean"].nbytes), cosine)
+            got = centres.iloc[row][["scope", "space", "cluster", "total"]].reset_index(drop=True)
+            got["leaf"] = pd.Series(leaf, dtype=object)
+            return plain(got)[[*leaf_key, "cluster", "total"]]
+        return run
+
+    def met(centres: DataFrame, rows_: DataFrame, cosine: float, run, schema: str) -> DataFrame:
+        """What `run` makes of the rows of each leaf and the centres that may have `cosine` with one of them."""
+        known = centres.join(counts, ["scope", "space"])
+        single = known.filter(f"rows <= {LEAF}").select("scope", "space", F.lit("0").alias("leaf"), "cluster", "total")
+        dealt = known.filter(f"rows > {LEAF}").withColumn("salt", F.pmod(F.xxhash64("cluster"), salts).cast("int"))
+        routed = dealt.groupBy("scope", "space", "salt").cogroup(tree_rows.groupBy("scope", "space", "salt")).applyInPandas(sent_to(cosine), "scope string, space string, leaf string, cluster string, total binary")
+        return rows_.groupBy(*leaf_key).cogroup(single.unionByName(routed).groupBy(*leaf_key)).applyInPandas(run, schema)
+
+    def recentred(centres: DataFrame, rows_: DataFrame, cosine: float) -> DataFrame:
+        return met(centres, rows_, cosine, _recentred(cosine), _SUMS).repartition("cluster").mapInPandas(_centre, _SUMS)
+
+    # a cluster may be found in a leaf that is the home of none of its members
+    member_points = points.filter("home").join(named.select("scope", "space", "id", "cluster").distinct(), ["scope", "space", "id"])
+    seeds = member_points.groupBy(*leaf_key).applyInPandas(_seed, _SUMS).repartition("cluster").mapInPandas(_centre, _SUMS)
+    # a group may have too few rows in every leaf to be seen there: core points among the rows of no cluster start one
+    divided = points.filter("home").join(counts.filter(f"rows > {LEAF}").select("scope", "space"), ["scope", "space"])
+    lone = stage(divided.join(local.select("scope", "space", "id").distinct(), ["scope", "space", "id"], "left_anti").dropDuplicates(["scope", "space", "id"]).select(*points.columns), "lone")
+    alone = lone.toDF(*lone.columns).select(F.concat_ws("\x1f", "scope", "space", F.lit(""), "id").alias("cluster"), "scope", "space", F.lit(1).cast("bigint").alias("n"), F.col("vec").alias("total"))
+    centres = stage(seeds.unionByName(recentred(alone, lone, NEAR).filter(F.col("n") >= CORE)), "centres")
     middle = (inner + outer) / 2
     for _ in range(2):
-        near = points.groupBy(*leaf_key).cogroup(centres.join(at, "cluster").groupBy(*leaf_key))
-        centres = stage(near.applyInPandas(_recentred(middle), partial).repartition("cluster").mapInPandas(_centre, partial), "centres")
-    near = points.groupBy(*leaf_key).cogroup(centres.join(at, "cluster").groupBy(*leaf_key))
-    around = stage(near.applyInPandas(_around(outer), "cluster string, scope string, space string, id bigint, similarity double"), "around")
+        centres = stage(recentred(centres, points, middle), "centres")
+    around = stage(met(centres, points, outer, _around(outer), "cluster string, scope string, space string, id bigint, similarity double"), "around")
     told = around.groupBy("cluster").agg(F.min("scope").alias("scope"), F.min("space").alias("space"), F.count("*").alias("size"), F.min("similarity").alias("least"), F.min("id").alias("cluster_key"), F.sum("similarity").alias("summed_cos"))
     kept = told.filter((F.col("size") >= least_size) & (F.col("least") >= inner))
     members = around.join(kept.select("cluster", "cluster_key"), "cluster").groupBy("cluster_key", "id").agg(F.max("similarity").alias("similarity"))

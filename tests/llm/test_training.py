@@ -197,6 +197,62 @@ def test_unsplittable_leaf(spark, monkeypatch):
     assert {(r.cluster_key, r.id) for r in clusters.similarity_groups(df, "k", "v", "w", "sp")[0].collect()} == {(0, i) for i in range(300)}
 
 
+def _dust(rng, families, dim, loose):
+    """Families of three to eight round centres that lie close enough to share a part of space with many others."""
+    out, named = [], {}
+    for f in range(families):
+        c = rng.normal(size=dim)
+        c /= np.linalg.norm(c)
+        at = len(out)
+        for _ in range(3 + f % 6):
+            out.append(c + rng.normal(size=dim) * 0.34 / np.sqrt(dim))
+        named[at] = range(at, len(out))
+    return out + [rng.normal(size=dim) for _ in range(loose)], named
+
+
+def _stands(vs, at, inner=0.88, outer=0.80):
+    u = np.array(vs) / np.linalg.norm(vs, axis=1, keepdims=True)
+    c = u[list(at)].mean(axis=0)
+    cos = u @ (c / np.linalg.norm(c))
+    mine = np.isin(np.arange(len(u)), list(at))
+    return cos[mine].min() >= inner and cos[~mine].max() <= outer
+
+
+@pytest.mark.parametrize("families, loose, leaf", [(120, 600, 64), (900, 5000, 4096)])
+def test_groups_scattered_over_leaves(spark, monkeypatch, families, loose, leaf):
+    """Small groups in a deep tree: members in leaves where their group forms no cluster are found, strangers there veto."""
+    monkeypatch.setattr(clusters, "LEAF", leaf)
+    vs, named = _dust(np.random.default_rng(12), families, 40, loose)
+    spoiled = [k for k in named if len(named[k]) >= 7 and _stands(vs, named[k])][:15]
+    for k in spoiled:  # a stranger between outer and inner of the centre spoils the group, in whatever leaf it lies
+        c = np.array([vs[i] / np.linalg.norm(vs[i]) for i in named[k]]).mean(axis=0)
+        c /= np.linalg.norm(c)
+        w = np.random.default_rng(k).normal(size=40)
+        w -= (w @ c) * c
+        vs.append(0.81 * c + np.sqrt(1 - 0.81**2) * w / np.linalg.norm(w))
+    want = {(k, i) for k in named if _stands(vs, named[k]) for i in named[k]}
+    assert len({k for k, _ in want}) > 60 and len(spoiled) == 15 and not {k for k, _ in want} & set(spoiled)
+    df = spark.createDataFrame([(i, "w", "s", [float(x) for x in v]) for i, v in enumerate(vs)], "k long, w string, sp string, v array<float>")
+    members, groups = clusters.similarity_groups(df, "k", "v", "w", "sp")
+    assert {(r.cluster_key, r.id) for r in members.collect()} == want
+    assert {(r.cluster_key, r["size"]) for r in groups.collect()} == {(k, len(named[k])) for k in {k for k, _ in want}}
+
+
+def test_reach():
+    """Every leaf with a home row near enough to a centre gets the centre, and not every leaf does."""
+    rng = np.random.default_rng(13)
+    u = np.array(_dust(rng, 300, 24, 500)[0])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    model = clusters.fit_tree(u, len(u), 100)
+    leaf, row, home = clusters.assign(model, u, np.arange(len(u)))
+    own = {r: name for name, r, h in zip(leaf, row, home) if h}
+    assert len(own) == len(u) and len(set(own.values())) > 10
+    for cosine in (0.8, 0.97):
+        sent = set(zip(*clusters.reach(model, u, cosine)))
+        assert all((own[j], i) in sent for i, j in zip(*np.nonzero(u @ u.T >= cosine)))
+    assert len(sent) < len(u) * len(set(own.values())) / 2
+
+
 # ---- problem 1
 
 
