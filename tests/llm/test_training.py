@@ -428,3 +428,22 @@ def test_shared_spans(spark):
         if "zzz" not in a[r.start_a : r.start_a + r["size"]]:  # a stretch ends where the texts differ or end
             assert not (r.start_a and r.start_b and a[r.start_a - 1] == b[r.start_b - 1])
             assert a[r.start_a + r["size"]] != b[r.start_b + r["size"]] if max(r.start_a + r["size"] - len(a), r.start_b + r["size"] - len(b)) < 0 else True
+
+
+def test_shared_stretches_of_hot_chunks(spark, monkeypatch):
+    """Chunks of many texts give the same parts and the same stretches, up to both ends."""
+    monkeypatch.setattr(shared_spans, "HOT", 2)
+    test_shared_parts(spark)
+    test_shared_spans(spark)
+
+
+def test_shared_footer(spark):
+    """A footer that stands in more than HOT texts counts as a whole, wherever its first chunk begins."""
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    foot = make(200)
+    texts = {k: make(100 + k) + chr(0x4E00 + k) + foot + chr(0x4E00 + k) + make(50) for k in range(shared_spans.HOT + 6)}
+    df = spark.createDataFrame(list(texts.items()), "k long, t string")
+    assert {r.shared_chars for r in shared_spans.shared_parts(df, "k", "t").collect()} == {200}
+    spans = shared_spans.shared_spans(df, "k", "t").collect()
+    assert len(spans) == len(texts) * (len(texts) - 1) // 2 and {r["size"] for r in spans} == {200}
