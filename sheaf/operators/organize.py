@@ -10,7 +10,7 @@ from ..functions.text import folder_of, slug_of, stem_of
 
 MOST_SLUG = 60
 DESTINATION_SIMILARITY, DESTINATION_MARGIN, FOLDER_FILES = 0.86, 0.03, 2
-LINKAGE_SIMILARITY, LINKAGE_ROWS = 0.86, 400
+LINKAGE_SIMILARITY = 0.86
 
 
 def duplicate_groups(files: DataFrame, scope: str, key: str, content_hash: str) -> DataFrame:
@@ -81,9 +81,12 @@ def average_linkage(vectors: np.ndarray, least: float = LINKAGE_SIMILARITY) -> n
     size = np.ones(n)
     sim = vectors @ vectors.T
     np.fill_diagonal(sim, -np.inf)
+    # the best partner of each row, so that a merge looks through the rows it touches only
+    best = np.argmax(np.round(sim, 9), axis=1) if n else label
+    most = np.round(sim[label, best], 9)
     while n > 1:
-        at = int(np.argmax(np.round(sim, 9)))
-        a, b = sorted(divmod(at, len(sim)))
+        at = int(np.argmax(most))
+        a, b = sorted((at, int(best[at])))
         if not sim[a, b] >= least:
             break
         both = (size[a] * sim[a] + size[b] * sim[b]) / (size[a] + size[b])
@@ -92,19 +95,24 @@ def average_linkage(vectors: np.ndarray, least: float = LINKAGE_SIMILARITY) -> n
         sim[b], sim[:, b] = -np.inf, -np.inf
         size[a] += size[b]
         label[label == b] = a
+        now = np.round(sim[:, a], 9)
+        nearer = (now > most) | ((now == most) & (a < best))
+        best[nearer], most[nearer] = a, now[nearer]
+        for i in {a, b, *np.flatnonzero(((best == a) | (best == b)) & ~nearer).tolist()}:
+            row = np.round(sim[i], 9)
+            best[i] = int(np.argmax(row))
+            most[i] = row[best[i]]
     return label
 
 
 def linkage_groups(rows: DataFrame, by: str, key: str, vector: str, least: float = LINKAGE_SIMILARITY) -> DataFrame:
-    """(by, key, cluster): average linkage inside each group of at most LINKAGE_ROWS rows, cluster being its smallest key.
+    """(by, key, cluster): average linkage inside each group, cluster being its smallest key.
 
-    Larger groups are refused: they are what density clustering is for.
+    A group is worked on in one task, with 8 bytes for each pair of its rows.
     """
     schema = f"{by} {dict(rows.dtypes)[by]}, {key} {dict(rows.dtypes)[key]}, cluster {dict(rows.dtypes)[key]}"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > LINKAGE_ROWS:
-            raise ValueError(f"a group of {len(pdf)} rows is beyond average linkage")
         pdf = pdf.sort_values(key)
         v = np.array([np.asarray(x, np.float64) for x in pdf[vector]])
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)

@@ -136,6 +136,29 @@ def test_names_and_groups(spark):
     assert got(organize.duplicate_groups(h, "w", "id", "h")) == [("w", "h", 2, 1)]
 
 
+def _linkage_of_all_pairs(vectors, least):
+    """Average linkage as it is defined: the best of all pairs of clusters, each time anew."""
+    sim = vectors @ vectors.T
+    held = {i: [i] for i in range(len(vectors))}
+    while len(held) > 1:
+        value, a, b = min((-round(sim[np.ix_(held[a], held[b])].mean(), 9), a, b) for a in held for b in held if a < b)
+        if -value < least:
+            break
+        held[a] += held.pop(b)
+    return [next(k for k, v in held.items() if i in v) for i in range(len(vectors))]
+
+
+def test_linkage_of_large_groups(spark):
+    rng = np.random.default_rng(5)
+    for n, copies in ((40, 1), (24, 3)):
+        v = np.repeat(rng.normal(size=(n // copies, 4)), copies, axis=0)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        assert organize.average_linkage(v, 0.5).tolist() == _linkage_of_all_pairs(v, 0.5)
+    v = np.repeat(np.eye(3), 300, axis=0)
+    rows = spark.createDataFrame([("big", i, x.tolist()) for i, x in enumerate(v)] + [("small", 1000, [1.0, 0.0, 0.0])], "g string, id long, v array<double>")
+    assert set(got(organize.linkage_groups(rows, "g", "id", "v"))) == {("big", i, i // 300 * 300) for i in range(900)} | {("small", 1000, 1000)}
+
+
 def test_linkage_and_cohesion(spark):
     v = np.array([[1, 0], [0.99, 0.1], [0, 1.0]])
     v /= np.linalg.norm(v, axis=1, keepdims=True)
