@@ -182,7 +182,11 @@ q AS (SELECT v AS qv, chunk_id AS qid FROM u ORDER BY chunk_id LIMIT 1)
 SELECT chunk_id, round(list_cosine_similarity(v, qv), 5) AS cosine FROM u, q WHERE chunk_id <> qid ORDER BY round(list_cosine_similarity(v, qv), 9) DESC, chunk_id LIMIT 25
 """)
 def vector_top(spark, d):
-    """The 25 chunks most similar to one query vector: a scan, a top-k and a broadcast of one row."""
+    """The 25 chunks most similar to one query vector: a scan, a top-k and a broadcast of one row.
+
+    A report on a single vector, that of the smallest chunk_id of space-main, and not a search for many queries:
+    p1_neighbors answers for every chunk_id divisible by 20 of all spaces, by graph.
+    """
     v = table(spark, d, "chunk_vectors").filter("space_id = 'space-main'").select("chunk_id", "vector").filter(V.usable(F.col("vector"), F.lit(64)))
     q = v.orderBy("chunk_id").limit(1).select(F.col("vector").alias("qv"), F.col("chunk_id").alias("qid"))
     near = v.distinct().join(F.broadcast(q), F.col("chunk_id") != F.col("qid")).select("chunk_id", F.round(V.cosine(F.col("vector"), F.col("qv")), 9).alias("c"))
