@@ -120,7 +120,13 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbors, p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_passages, p5_found, p5_labels, p6_found, p6_groups, p7_packs, p7_fill, p8_mixes, p8_shares, p9_found, p9_parts, p9_spans)}
+def p9_members(spark: SparkSession, d: str) -> DataFrame:
+    """The document that stands in p9_spans for each document: the smallest id with the same text."""
+    members = shared_spans.copies_of(table(spark, d, "documents"), "doc_id", "text")
+    return members.withColumnsRenamed({"id": "doc_id", "rep": "rep_doc_id"})
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbors, p2_found, p2_forms, p3_found, p3_groups, p4_found, p4_passages, p5_found, p5_labels, p6_found, p6_groups, p7_packs, p7_fill, p8_mixes, p8_shares, p9_found, p9_parts, p9_spans, p9_members)}
 
 #: Where SQL can state the result over whole tables: every oversized item, from the page ranges alone.
 ORACLES = {

@@ -447,3 +447,9 @@ def test_shared_footer(spark):
     assert {r.shared_chars for r in shared_spans.shared_parts(df, "k", "t").collect()} == {200}
     spans = shared_spans.shared_spans(df, "k", "t").collect()
     assert len(spans) == len(texts) * (len(texts) - 1) // 2 and {r["size"] for r in spans} == {200}
+
+
+def test_members_of_shared_spans(spark):
+    """Ids of copies are found from the representatives that the spans name."""
+    df = spark.createDataFrame([(7, "a" * 200), (3, "a" * 200), (3, "a" * 200), (5, "b"), (None, "b"), (9, None), (8, "")], "k long, t string")
+    assert got(shared_spans.copies_of(df, "k", "t")) == {(7, 3, 200), (3, 3, 200), (5, 5, 1), (8, 8, 0)}
