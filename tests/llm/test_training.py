@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -187,14 +189,67 @@ def test_groups(spark, monkeypatch, leaf):
     assert clusters.similarity_groups(df.limit(0), "k", "v", "w", "sp")[0].collect() == []
 
 
-def test_unsplittable_leaf(spark, monkeypatch):
-    """A hot family in one spot is divided at random and joined again through its anchors."""
+def test_hot_spot(spark, monkeypatch):
+    """A family in one spot, a third of it equal vectors, is divided and joined again through its core points."""
     monkeypatch.setattr(clusters, "LEAF", 50)
-    monkeypatch.setattr(clusters, "ANCHORS", 20)
-    rng = np.random.default_rng(4)
-    vs = _families(rng, [300], noise=0.02, loose=0)
+    vs = _families(np.random.default_rng(4), [300], noise=0.02, loose=0)
+    vs += [vs[7]] * 150
     df = spark.createDataFrame([(i, "w", "s", [float(x) for x in v]) for i, v in enumerate(vs)], "k long, w string, sp string, v array<float>")
-    assert {(r.cluster_key, r.id) for r in clusters.similarity_groups(df, "k", "v", "w", "sp")[0].collect()} == {(0, i) for i in range(300)}
+    members, groups = clusters.similarity_groups(df, "k", "v", "w", "sp")
+    assert {(r.cluster_key, r.id) for r in members.collect()} == {(0, i) for i in range(450)}
+    assert [(r["size"], r.medoid) for r in groups.collect()][0][0] == 450
+
+
+def test_group_of_equal_vectors(spark):
+    df = spark.createDataFrame([(i, "w", "s", v) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0], [2.0, 0.0], [1.0, 0.0], [0.0, 3.0]])], "k long, w string, sp string, v array<float>")
+    members, groups = clusters.similarity_groups(df, "k", "v", "w", "sp")
+    assert {(r.cluster_key, r.id, round(r.similarity, 6)) for r in members.collect()} == {(0, 0, 1.0), (0, 2, 1.0), (0, 3, 1.0)}
+    assert [tuple(r) for r in groups.select("size", "cohesion", "typical").collect()] == [(3, 1.0, [0, 2, 3])]
+
+
+def _planted(rng, n, groups, dim, cosines):
+    """Groups of three to five whose members have a given cosine to the centre, among random directions; and those that stand."""
+    out = []
+    for g in range(groups):
+        c = rng.normal(size=dim)
+        c /= np.linalg.norm(c)
+        o = rng.normal(size=(3 + g % 3, dim))
+        o -= (o @ c)[:, None] * c
+        o -= o.mean(axis=0)
+        o /= np.linalg.norm(o, axis=1, keepdims=True)
+        t = cosines[g % len(cosines)]
+        out += list(t * c + np.sqrt(1 - t * t) * o)
+    x = np.concatenate([np.array(out), rng.normal(size=(n - len(out), dim))]).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want, at = set(), 0
+    for g in range(groups):
+        mine = np.arange(at, at + 3 + g % 3)
+        at = mine[-1] + 1
+        c = u[mine].sum(axis=0)
+        s = u @ (c / np.linalg.norm(c))
+        if s[mine].min() >= 0.88 and (s > 0.80).sum() == len(mine):
+            want |= {(int(mine[0]), int(i)) for i in mine}
+    return x, want
+
+
+@pytest.mark.parametrize("n, dim, leaf", [(20_000, 64, 32_768), (20_000, 64, 6_000), (100_000, 64, 32_768), (20_000, 384, 6_000)])
+def test_no_planted_group_is_lost(spark, monkeypatch, tmp_path, n, dim, leaf):
+    """600 groups at cosines of 0.881 to 0.97 among random directions, in one leaf and in several."""
+    monkeypatch.setattr(clusters, "LEAF", leaf)
+    x, want = _planted(np.random.default_rng(1), n, 600, dim, [0.881, 0.89, 0.91, 0.94, 0.97])
+    pq.write_table(pa.table({"k": pa.array(range(n)), "v": pa.array(list(x))}), tmp_path / "v.parquet", row_group_size=n // 8)
+    df = spark.read.parquet(str(tmp_path)).withColumns({"w": F.lit("w"), "s": F.lit("s")})
+    found = {(r[0], r[1]) for r in clusters.similarity_groups(df, "k", "v", "w", "s")[0].select("cluster_key", "id").collect()}
+    assert len(want) > 1700 and want <= found
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    by = {}
+    for k, i in found - want:  # parts of wide groups may be groups of their own; all must stand
+        by.setdefault(k, []).append(i)
+    for k in by:
+        mine = [i for c, i in found if c == k]
+        c = u[mine].sum(axis=0)
+        s = u @ (c / np.linalg.norm(c))
+        assert min(mine) == k and len(mine) >= 3 and s[mine].min() >= 0.88 - 1e-6 and (s > 0.80 + 1e-6).sum() <= len(mine)
 
 
 def _dust(rng, families, dim, loose):
@@ -239,18 +294,36 @@ def test_groups_scattered_over_leaves(spark, monkeypatch, families, loose, leaf)
 
 
 def test_reach():
-    """Every leaf with a home row near enough to a centre gets the centre, and not every leaf does."""
+    """Every leaf with a row near enough to a vector gets it, and not every leaf does."""
     rng = np.random.default_rng(13)
     u = np.array(_dust(rng, 300, 24, 500)[0])
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     model = clusters.fit_tree(u, len(u), 100)
-    leaf, row, home = clusters.assign(model, u, np.arange(len(u)))
-    own = {r: name for name, r, h in zip(leaf, row, home) if h}
-    assert len(own) == len(u) and len(set(own.values())) > 10
+    own = clusters.homes(model, (u - model["mean"]) @ model["axes"].T)
+    assert len(set(own)) > 10 and np.bincount(own).max() <= 100
     for cosine in (0.8, 0.97):
-        sent = set(zip(*clusters.reach(model, u, cosine)))
+        sent = set(zip(*(x.tolist() for x in clusters.reach(model, u, cosine))))
         assert all((own[j], i) in sent for i, j in zip(*np.nonzero(u @ u.T >= cosine)))
-    assert len(sent) < len(u) * len(set(own.values())) / 2
+    assert len(sent) < len(u) * len(set(own)) / 2
+
+
+def test_components():
+    """Blocks of any size give the components of the whole comparison."""
+    u = np.array(_dust(np.random.default_rng(14), 60, 24, 50)[0])
+    u = (u / np.linalg.norm(u, axis=1, keepdims=True)).astype(np.float32)
+    near = u @ u.T
+    for block in (1000, 4_000_000):
+        clusters.BLOCK, kept = block, clusters.BLOCK
+        try:
+            label, linked = clusters.components(u, len(u), (0.6, 0.8))
+        finally:
+            clusters.BLOCK = kept
+        for k, level in enumerate((0.6, 0.8)):
+            full = (near >= level) & ~np.eye(len(u), dtype=bool)
+            want = np.arange(len(u))
+            for _ in range(len(u)):
+                want = np.minimum(want, np.where(full, want[None, :], len(u)).min(axis=1))
+            assert (label[k] == want).all() and (linked[k] == full.any(axis=1)).all()
 
 
 # ---- problem 1
