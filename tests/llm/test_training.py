@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on fixtures with nulls, copies, hot groups and clashing columns."""
 
+import os
 import random
 
 import numpy as np
@@ -146,6 +147,67 @@ def test_language():
     assert [(r[0], r[1]) for r in language.label(model, both)][:2] == [(0, "mixed"), (1, "en")] and language.label(model, both)[3][:2] == (3, "fil")
 
 
+FOREIGN = {
+    "nl": "De vergadering van gisteren werd door de voorzitter geopend en daarna spraken de leden over de plannen voor het komende jaar. Wij hebben alle stukken gelezen, maar er zijn nog veel vragen over de kosten van het nieuwe gebouw.",
+    "sv": "Mötet i går öppnades av ordföranden och sedan talade medlemmarna om planerna för det kommande året. Vi har läst alla handlingar, men det finns fortfarande många frågor om kostnaderna för den nya byggnaden.",
+    "pl": "Wczorajsze spotkanie otworzył przewodniczący, a potem członkowie rozmawiali o planach na nadchodzący rok. Przeczytaliśmy wszystkie dokumenty, ale wciąż jest wiele pytań o koszty nowego budynku.",
+    "sw": "Mkutano wa jana ulifunguliwa na mwenyekiti na baadaye wanachama walizungumza kuhusu mipango ya mwaka ujao. Tumesoma nyaraka zote, lakini bado kuna maswali mengi kuhusu gharama za jengo jipya.",
+    "fi": "Puheenjohtaja avasi eilisen kokouksen ja sen jälkeen jäsenet puhuivat ensi vuoden suunnitelmista. Olemme lukeneet kaikki asiakirjat, mutta uuden rakennuksen kustannuksista on vielä monta kysymystä.",
+    "vi": "Cuộc họp hôm qua được chủ tịch khai mạc và sau đó các thành viên nói về kế hoạch cho năm tới. Chúng tôi đã đọc tất cả tài liệu, nhưng vẫn còn nhiều câu hỏi về chi phí của tòa nhà mới.",
+    "tr": "Dünkü toplantı başkan tarafından açıldı ve ardından üyeler gelecek yılın planları hakkında konuştu. Bütün belgeleri okuduk, ancak yeni binanın maliyeti hakkında hâlâ birçok soru var.",
+    "la": "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae, nostra Galli appellantur. Hi omnes lingua, institutis, legibus inter se differunt.",
+    "el": "Η χθεσινή συνάντηση άνοιξε από τον πρόεδρο και μετά τα μέλη μίλησαν για τα σχέδια του επόμενου έτους.",
+    "EL": "ΤΟ ΚΑΤΑ ΤΟΝ ΝΟΜΟ ΕΙΝΑΙ ΤΟ ΜΟΝΟ ΚΑΙ ΚΑΤΑ ΤΟΝ ΝΟΜΟ ΤΟ ΕΝΑ",
+    "ru": "Вчерашнее собрание открыл председатель, а затем члены говорили о планах на следующий год. Мы прочитали все документы, но остаётся много вопросов.",
+    "es": "La reunión de ayer fue abierta por el presidente y luego los miembros hablaron de los planes para el próximo año. Hemos leído todos los documentos, pero todavía hay muchas preguntas sobre los costos del nuevo edificio.",
+    "fr": "La réunion d'hier a été ouverte par le président, puis les membres ont parlé des projets pour l'année prochaine. Nous avons lu tous les documents, mais il reste beaucoup de questions sur les coûts du nouveau bâtiment.",
+    "de": "Die gestrige Sitzung wurde vom Vorsitzenden eröffnet, danach sprachen die Mitglieder über die Pläne für das kommende Jahr. Wir haben alle Unterlagen gelesen, aber es gibt noch viele Fragen zu den Kosten des neuen Gebäudes.",
+    "it": "La riunione di ieri è stata aperta dal presidente e poi i membri hanno parlato dei piani per il prossimo anno. Abbiamo letto tutti i documenti, ma ci sono ancora molte domande sui costi del nuovo edificio.",
+    "pt": "A reunião de ontem foi aberta pelo presidente e depois os membros falaram sobre os planos para o próximo ano. Lemos todos os documentos, mas ainda há muitas perguntas sobre os custos do novo edifício.",
+    "id": "Rapat kemarin dibuka oleh ketua dan kemudian para anggota berbicara tentang rencana untuk tahun depan. Kami telah membaca semua dokumen, tetapi masih ada banyak pertanyaan tentang biaya gedung baru.",
+    "ro": "Ședința de ieri a fost deschisă de președinte, iar apoi membrii au vorbit despre planurile pentru anul viitor. Am citit toate documentele, dar mai sunt multe întrebări despre costurile noii clădiri.",
+    "hu": "A tegnapi ülést az elnök nyitotta meg, majd a tagok a jövő évi tervekről beszéltek. Minden iratot elolvastunk, de az új épület költségeiről még sok kérdés van.",
+    "cs": "Včerejší schůzi zahájil předseda a poté členové mluvili o plánech na příští rok. Přečetli jsme všechny dokumenty, ale stále je mnoho otázek o nákladech na novou budovu.",
+    "da": "Mødet i går blev åbnet af formanden, og derefter talte medlemmerne om planerne for det kommende år. Vi har læst alle papirerne, men der er stadig mange spørgsmål om udgifterne til den nye bygning.",
+}
+
+
+@pytest.fixture(scope="module")
+def fitted():
+    path = "/root/testdata/sf0.1/language_samples.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no samples")
+    rows = pq.read_table(path).to_pylist()
+    return language.fit([(r["language"], r["text"]) for r in sorted(rows, key=lambda r: r["sample_id"])])
+
+
+@pytest.mark.parametrize("name", FOREIGN)
+def test_other_languages_are_rejected(fitted, name):
+    found = language.label(fitted, FOREIGN[name])
+    assert found[0][1] == "unknown" and found[0][2] > 0.9 and len(found) == 1
+
+
+@pytest.mark.parametrize("want, text", [
+    ("en", "The committee opened the meeting yesterday and afterwards everybody talked about plans for next year, although many questions about building costs remain unanswered."),
+    ("en", "Scientists discovered that ocean temperatures rose faster during the last decade than previously estimated."),
+    ("fil", "Kumain kami ng sinigang sa bahay ng lola ko noong Linggo."),
+    ("fil", "Binuksan ng pangulo ang pulong kahapon at pagkatapos ay nag-usap ang mga kasapi tungkol sa mga plano sa susunod na taon."),
+    ("mixed", "Please send the invoice tomorrow kasi kailangan na ng accounting yung mga resibo bago mag-five."),
+    ("en", "The r\u0435port was s\u0435nt t\u043e th\u0435 m\u0435mb\u0435rs \u043ef th\u0435 b\u043e\u0430rd b\u0435f\u043er\u0435 th\u0435 m\u0435\u0435ting."),
+])
+def test_own_languages_are_kept(fitted, want, text):
+    """Texts that no sample has the words of, and one with look-alike letters."""
+    got = language.label(fitted, text)[0]
+    assert got[1] == want and got[2] > 0.5
+
+
+def test_other_alphabets_on_raw_text():
+    """Words all of look-alikes belong to the alphabet of their paragraph."""
+    assert language.words("\u03a4\u039f \u039a\u0391\u03a4\u0391") == ["жж", "жжжж"]
+    assert language.words("one \u0430 two \u0440\u0430\u0443 three") == ["one", "a", "two", "pay", "three"]
+    assert language.words("one two \u043a\u043e\u0442") == ["one", "two", "жжж"]
+
+
 def test_detect_languages(spark):
     samples = spark.createDataFrame([(i, *s) for i, s in enumerate(SAMPLES)], "sample_id long, language string, text string")
     texts = spark.createDataFrame([(1, "the members of the board"), (1, "the members of the board"), (2, None), (None, "x"), (3, "")], "file_id long, content string").withColumn("language", F.lit("zz"))
