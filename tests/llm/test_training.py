@@ -556,11 +556,15 @@ def test_shared_spans(spark):
     for k in sorted(texts):
         first.setdefault(texts[k], k)
     want = {(first[texts[a]], first[texts[b]]) for a in texts for b in texts if texts[a] != texts[b] and _shared(texts[a], texts[b], 180)}
-    assert {(r.id_a, r.id_b) for r in rows} == {p for p in want if p[0] < p[1]}
+    want = {p for p in want if p[0] < p[1]}
+    if shared_spans.HOT > 2:
+        assert {(r.id_a, r.id_b) for r in rows} == want
+    else:  # each text is tied to a smaller one for every window it shares with one
+        assert {(r.id_a, r.id_b) for r in rows} <= want and {r.id_b for r in rows} == {b for _, b in want}
     for r in rows:
         a, b = texts[r.id_a], texts[r.id_b]
         assert r["size"] >= 180 and a[r.start_a : r.start_a + r["size"]] == b[r.start_b : r.start_b + r["size"]]
-        if "zzz" not in a[r.start_a : r.start_a + r["size"]]:  # a stretch ends where the texts differ or end
+        if shared_spans.HOT > 2 and "zzz" not in a[r.start_a : r.start_a + r["size"]]:  # a stretch ends where the texts differ or end
             assert not (r.start_a and r.start_b and a[r.start_a - 1] == b[r.start_b - 1])
             assert a[r.start_a + r["size"]] != b[r.start_b + r["size"]] if max(r.start_a + r["size"] - len(a), r.start_b + r["size"] - len(b)) < 0 else True
 
@@ -581,7 +585,20 @@ def test_shared_footer(spark):
     df = spark.createDataFrame(list(texts.items()), "k long, t string")
     assert {r.shared_chars for r in shared_spans.shared_parts(df, "k", "t").collect()} == {200}
     spans = shared_spans.shared_spans(df, "k", "t").collect()
-    assert len(spans) == len(texts) * (len(texts) - 1) // 2 and {r["size"] for r in spans} == {200}
+    # chunks at the edges of the footer may be cut alike in a few texts only, which are then met pair by pair
+    assert {(r.id_a, r.id_b) for r in spans} >= {(0, k) for k in texts if k} and {r["size"] for r in spans if r.id_a == 0} == {200} and all(r["size"] <= 200 for r in spans)
+    assert len(got(shared_spans.shared_pairs(df, "k", "t"))) == len(texts) * (len(texts) - 1) // 2
+
+
+def test_shared_passage_of_many(spark, monkeypatch):
+    """One passage in 50,000 texts: parts and spans grow with the texts, not with their pairs; frequent digests are met apart."""
+    foot = "".join(chr(0x4E00 + i * 7 % 2000) for i in range(230))
+    df = spark.range(50_000).select(F.col("id").alias("k"), F.concat(F.repeat(F.md5(F.col("id").cast("string")), 3), F.lit(foot), F.sha2(F.col("id").cast("string"), 256)).alias("t"))
+    assert shared_spans._frequent(shared_spans._rows(df, "k", "t"), 180).count() > 0
+    told = shared_spans.shared_parts(df, "k", "t").groupBy("shared_chars", "n_stretches").count().collect()
+    assert [tuple(r) for r in told] == [(230, 1, 50_000)]
+    spans = shared_spans.shared_spans(df, "k", "t").groupBy("id_a", "start_a", "start_b", "size").count().collect()
+    assert [tuple(r) for r in spans] == [(0, 96, 96, 230, 49_999)]
 
 
 def test_members_of_shared_spans(spark):
