@@ -3,9 +3,10 @@
 For each mix the total is the largest at which every source that has tokens at all can reach its share within its
 repeats.  The rates r of a source's documents are those nearest to equal rates, in relative entropy and bounded by
 max_repeats, that give the source its tokens: r = min(max_repeats, exp(l * x)) with x a document's tokens over the
-source's mean.  The l of all sources are found by Newton's method on the convex dual; each iteration is one
-distributed aggregation over the table of (source, size, number of documents), and only one number per target comes
-to the driver.  Rates become copies: the whole part, and one more for the documents with the largest (fraction minus
+source's mean.  A source that binds the total has every rate at max_repeats, in closed form.  The l of all others are
+found together by Newton's method on the convex dual, held inside brackets: each iteration is one distributed
+aggregation over the table of (source, size, number of documents) at the Newton point and at PROBES points that cut
+the bracket, and only PROBES + 1 pairs of numbers per target come to the driver.  Rates become copies: the whole part, and one more for the documents with the largest (fraction minus
 a hashed uniform number), as many as stay within the source's tokens (the cut is found by a histogram); a last document of the
 nearest size fills what is missing.
 """
@@ -18,7 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.staging import stage
 
-ITERATIONS, TOLERANCE = 60, 1e-9
+ITERATIONS, TOLERANCE, PROBES = 12, 1e-9, 15
+#: A tilt at which every document has the most repeats, and the least and largest tilt that is looked for.
+ALL, BOUND = 1e12, 1e6
 BUCKETS = 4096
 
 
@@ -32,35 +35,51 @@ def _sized_targets(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return met.join(total, "mix_id").withColumn("wanted", F.when(F.col("available") > 0, F.col("target_share") * F.col("total")).otherwise(0.0))
 
 
+def _points(low: float, high: float) -> list[float]:
+    """Points that cut a bracket: even in value once it is narrow, even in order of magnitude about 0 before."""
+    if high - low <= 4:
+        return [low + (high - low) * (n + 1) / (PROBES + 1) for n in range(PROBES)]
+    a, b = math.asinh(low), math.asinh(high)
+    return [math.sinh(a + (b - a) * (n + 1) / (PROBES + 1)) for n in range(PROBES)]
+
+
 def tilts(groups: DataFrame, targets: list) -> dict[tuple[str, str], float]:
-    """The dual variable of each target; `groups` has source, n_tokens and docs, `targets` rows of _sized_targets."""
+    """The dual variable of each target; `groups` has source, n_tokens and docs, `targets` rows of _sized_targets.
+    Raises ArithmeticError if a target is not met within ITERATIONS."""
     open_ = {(t["mix_id"], t["source"]): t for t in targets if t["available"] > 0}
+    done = {k: ALL for k, t in open_.items() if t["wanted"] >= t["available"] * t["max_repeats"] * (1 - 1e-12)}
     at = {k: 0.0 for k in open_}
-    bounds = {k: (-60.0 * t["docs"], 60.0 * t["docs"]) for k, t in open_.items()}
+    bounds = {k: (-BOUND, BOUND) for k in open_}
     spark = groups.sparkSession
-    done: dict[tuple[str, str], float] = {}
     for _ in range(ITERATIONS):
-        rest = [(m, s, float(at[m, s]), float(open_[m, s]["max_repeats"]), open_[m, s]["available"] / open_[m, s]["docs"]) for m, s in open_ if (m, s) not in done]
+        rest = [k for k in open_ if k not in done]
         if not rest:
-            break
-        now = spark.createDataFrame(rest, "mix_id string, source string, l double, most double, mean double")
+            return done
+        asked = [(*k, n, float(l), float(open_[k]["max_repeats"]), open_[k]["available"] / open_[k]["docs"]) for k in rest for n, l in enumerate([at[k], *_points(*bounds[k])])]
+        now = spark.createDataFrame(asked, "mix_id string, source string, n int, l double, most double, mean double")
         x = F.col("n_tokens") / F.col("mean")
-        y = F.least(F.col("l") * x, F.lit(700.0))
+        y = F.greatest(F.least(F.col("l") * x, F.lit(700.0)), F.lit(-700.0))
         r = F.least(F.col("most"), F.exp(y))
         bend = F.when(F.exp(y) < F.col("most"), r * x * F.col("n_tokens")).otherwise(0.0)
-        sums = groups.join(F.broadcast(now), "source").groupBy("mix_id", "source").agg(F.sum(r * F.col("n_tokens") * F.col("docs")).alias("tokens"), F.sum(bend * F.col("docs")).alias("slope"))
+        sums = groups.join(F.broadcast(now), "source").groupBy("mix_id", "source", "n", "l").agg(F.sum(r * F.col("n_tokens") * F.col("docs")).alias("tokens"), F.sum(bend * F.col("docs")).alias("slope"))
+        best: dict[tuple[str, str], tuple[float, float, float]] = {}
         for row in sums.collect():
             k = (row["mix_id"], row["source"])
             off = row["tokens"] - open_[k]["wanted"]
             low, high = bounds[k]
-            if abs(off) <= TOLERANCE * open_[k]["wanted"] or high - low < 1e-12:
-                done[k] = at[k]
-                continue
-            bounds[k] = (low, at[k]) if off > 0 else (at[k], high)
-            step = at[k] - off / row["slope"] if row["slope"] > 0 else math.inf
+            bounds[k] = (low, min(high, row["l"])) if off > 0 else (max(low, row["l"]), high)
+            if k not in best or abs(off) < abs(best[k][0]):
+                best[k] = (off, row["l"], row["slope"])
+        for k, (off, l, slope) in best.items():
             low, high = bounds[k]
+            if abs(off) <= TOLERANCE * open_[k]["wanted"] or high - low <= 1e-13 * max(1.0, abs(l)):
+                done[k] = l
+                continue
+            step = l - off / slope if slope > 0 else math.inf
             at[k] = step if low < step < high else (low + high) / 2
-    return at | done
+    if len(done) < len(open_):
+        raise ArithmeticError(f"no rates found within {ITERATIONS} iterations for {sorted(set(open_) - set(done))}")
+    return done
 
 
 def mix(sized: DataFrame, targets: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:

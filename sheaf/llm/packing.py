@@ -4,7 +4,8 @@ An item has a size in each of three dimensions - tokens, one document, attention
 container a capacity in each.  Items come largest first; among the open containers with room in every dimension the
 one is taken whose weighted squared residual after placement is least (or, with rule "dot", whose residual has the
 largest weighted dot-product with the item).  An item larger than the token capacity is cut into full pieces, each a
-container of its own, and a remainder that is packed like any other item; no other item is split.
+container of its own, and a remainder that is packed like any other item; no other item is split.  An item whose
+attention cost alone exceeds that capacity cannot share a container with anything and stands alone.
 
 Items are divided by a hash of their id into shards of about SHARD_ITEMS, packed independently: what a shard leaves
 open is a few containers, against thousands that it fills.
@@ -22,6 +23,8 @@ from .frames import empty, plain
 SHARD_ITEMS = 20_000
 #: Weights of the squared residual in tokens, documents and attention cost.
 WEIGHTS = (1.0, 0.01, 0.01)
+#: Attention cost of a container as a share of the token capacity squared; tokens of capacity per item of the most items in one, and the least that is allowed.
+COST_SHARE, TOKENS_AN_ITEM, LEAST_ITEMS = 0.95, 32, 16
 
 
 def best_fit(sizes: np.ndarray, capacity: int, most_items: int, most_cost: float, rule: str = "norm") -> np.ndarray:
@@ -32,6 +35,10 @@ def best_fit(sizes: np.ndarray, capacity: int, most_items: int, most_cost: float
     used = opened = 0
     w = np.array(WEIGHTS) / np.array([capacity, most_items, most_cost], float) ** 2
     for i, t in enumerate(sizes):
+        if t * t > most_cost:
+            where[i] = opened
+            opened += 1
+            continue
         a, b, c = tokens[:used], items[:used], cost[:used]
         ok = np.flatnonzero((a >= t) & (b >= 1) & (c >= t * t))
         if len(ok):
@@ -58,17 +65,17 @@ def best_fit(sizes: np.ndarray, capacity: int, most_items: int, most_cost: float
     return where
 
 
-def pack(sizes: DataFrame, containers: DataFrame, key: str = "id", size: str = "n_tokens", most_items: int | None = None, cost_share: float = 1.0, rule: str = "norm") -> DataFrame:
+def pack(sizes: DataFrame, containers: DataFrame, key: str = "id", size: str = "n_tokens", most_items: int | None = None, cost_share: float = COST_SHARE, rule: str = "norm") -> DataFrame:
     """(pack_id, pack_no, key, piece_no, start_token, n_tokens): where every item or piece of an item lies.
 
     `containers` has pack_id and capacity_tokens, one run per row; it is a table of a few rows by design and is read to
-    the driver.  At most `most_items` items (by default a quarter of the token capacity, so that only empty and tiny
-    items ever meet it) and an attention cost of `cost_share` * capacity squared go into one container; a cost share
-    below 1 would bar large items from fitting at all and is refused.  Items of size 0 are placed like others; null
+    the driver.  At most `most_items` items (by default one for every TOKENS_AN_ITEM tokens of capacity, LEAST_ITEMS at least) and an attention
+    cost of `cost_share` * capacity squared go into one container; a single item above that cost has a container to itself.
+    Items of size 0 are placed like others; null
     keys or sizes take no part, nor do containers with a null or non-positive capacity; a repeated key counts once.
     """
-    if cost_share < 1:
-        raise ValueError("a container must be able to hold one item of its token capacity")
+    if cost_share <= 0 or (most_items is not None and most_items < 1):
+        raise ValueError("a container must be able to hold an item")
     runs = sorted((r[0], int(r[1])) for r in containers.filter("pack_id IS NOT NULL AND capacity_tokens > 0").select("pack_id", "capacity_tokens").distinct().collect())
     out = f"pack_id string, pack_no string, {key} bigint, piece_no int, start_token bigint, n_tokens bigint"
     spark = sizes.sparkSession
@@ -91,7 +98,7 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "id", size: str = "
             return empty("pack_id", "pack_no", key, "piece_no", "start_token", "n_tokens")
         pdf = pdf.sort_values(["n", "id"], ascending=[False, True])
         capacity, shard = int(pdf["capacity"].iloc[0]), int(pdf["shard"].iloc[0])
-        where = best_fit(pdf["n"].to_numpy(np.int64), capacity, most_items or max(1, capacity // 4), cost_share * capacity * capacity, rule)
+        where = best_fit(pdf["n"].to_numpy(np.int64), capacity, most_items or max(LEAST_ITEMS, capacity // TOKENS_AN_ITEM), cost_share * capacity * capacity, rule)
         return plain(pd.DataFrame({"pack_id": pdf["pack_id"].to_numpy(object), "pack_no": [f"s{shard}-{w}" for w in where], key: pdf["id"].to_numpy(), "piece_no": pdf["piece"].to_numpy(), "start_token": (pdf["piece"] * capacity).to_numpy(), "n_tokens": pdf["n"].to_numpy()}))
 
     packed = parts.groupBy("pack_id", "shard").applyInPandas(run, out)
