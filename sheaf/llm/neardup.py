@@ -63,22 +63,30 @@ def shingles(found: list[str], width: int = 3) -> np.ndarray:
     return np.unique(rolled)
 
 
+_LOT = 4096
+
+
 @lru_cache(maxsize=1)
-def _universal() -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers (odd) and offsets of the hash family x * a + b modulo 2**32, as columns."""
+def _universal() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multipliers and offsets of the hash family, as rows, and room for its values: x -> the upper half of x * a + b
+    modulo 2**64, for x of 32 bits, which is strongly universal."""
     rng = np.random.default_rng(SEED)
     n = BANDS * ROWS
-    return (rng.integers(0, 2**31, (n, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)), rng.integers(0, 2**32, (n, 1), dtype=np.uint32)
+    return rng.integers(0, 2**64, (1, n), dtype=np.uint64), rng.integers(0, 2**64, (1, n), dtype=np.uint64), np.empty((_LOT, n), np.uint64)
 
 
 def minima(items: np.ndarray) -> np.ndarray:
     """The signature: the least value of each universal hash over the set, 32 bits each."""
-    a, b = _universal()
-    x = (items >> np.uint64(32)).astype(np.uint32)
-    low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
-    for part in np.array_split(x, max(1, len(x) // 2048)):
-        low = np.minimum(low, (a * part + b).min(axis=1))
-    return low
+    a, b, room = _universal()
+    x = (items >> np.uint64(32))[:, None]
+    low = np.full(a.shape[1], np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(x), _LOT):
+        part = x[at : at + _LOT]
+        values = room[: len(part)]
+        np.multiply(part, a, out=values)
+        np.add(values, b, out=values)
+        np.minimum(low, values.min(axis=0), out=low)
+    return (low >> np.uint64(32)).astype(np.uint32)
 
 
 def _keys(rows: np.ndarray, width: int) -> np.ndarray:
@@ -118,14 +126,19 @@ def _members(width: int):
 
 
 def _by_rarest(texts: DataFrame, threshold: float, width: int) -> DataFrame:
-    """(rep_a, rep_b) of all pairs of texts (rep, text) that share one of the rarest members of both and whose sizes allow the threshold."""
+    """(rep_a, rep_b) of all pairs of texts (rep, text) that share one of the rarest members of both and whose sizes, and
+    what follows the shared member in the order of rarity, allow the threshold."""
     tokens = stage(texts.mapInPandas(_members(width), "rep bigint, size int, token bigint").distinct(), "tokens")
     counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token")
     ranked = counted.withColumn("rank", F.expr("row_number() OVER (PARTITION BY rep ORDER BY df, token)"))
-    rare = stage(ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).filter("df > 1").select("rep", "size", "token"), "rare")
-    a, b = rare.withColumnsRenamed({"rep": "rep_a", "size": "size_a"}), rare.withColumnsRenamed({"rep": "rep_b", "size": "size_b"})
+    rare = stage(ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).filter("df > 1").select("rep", "size", "token", "rank"), "rare")
+    a, b = (rare.withColumnsRenamed({c: f"{c}_{x}" for c in ("rep", "size", "rank")}) for x in ("a", "b"))
     fits = (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9) & (F.col("rep_a") < F.col("rep_b"))
-    return a.join(b, "token").filter(fits).select("rep_a", "rep_b").distinct()
+    # the first member that two sets share leaves at most so many more to share; as many as the threshold needs must be left
+    needed = (F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-9
+    left = F.least(F.col("size_a") - F.col("rank_a"), F.col("size_b") - F.col("rank_b")) + 1
+    met = a.join(b, "token").filter(fits).groupBy("rep_a", "rep_b").agg(F.max(left).alias("left"), F.first(needed).alias("needed"))
+    return met.filter("left >= needed").select("rep_a", "rep_b")
 
 
 def _agreeing(floor: float):

@@ -28,11 +28,33 @@ def test_canonical_is_stable_and_segmentwise(text):
     once = textform.canonical(text)
     assert textform.canonical(once) == once
     # splicing segments gives what normalizing the whole text gives
-    whole = textform._segment.__wrapped__(text) if not text.isascii() else text
-    assert once == whole
+    assert once == textform._normal(text)
 
 
-@pytest.mark.parametrize("a, b", [("ｆｉｌｅ", "file"), ("ﬁle", "file"), ("niño", "niño"), ("n​ino", "nino"), ("a b", "a b"), ("а", "a"), ("e​́", "é"), ("x\x00y", "xy"), ("ё", "ë"), ("　", " ")])
+@given(st.text(max_size=20))
+@settings(max_examples=500, deadline=None)
+def test_canonical_of_any_text(text):
+    """Splicing gives what normalizing the whole text gives, for whatever characters."""
+    plain = textform._CONTROLS.sub("", text)
+    assert textform.canonical(text) == (textform._normal(plain) if not plain.isascii() else plain)
+    assert textform.canonical(textform.canonical(text)) == textform.canonical(text)
+
+
+def test_stable_characters():
+    """What the quick check calls starters that never compose backwards is left alone, letter by letter."""
+    assert all(textform._stable(c) for c in "éñ한ж中ไ") and not any(textform._stable(c) for c in "\u0301\u1161\u11a8\u09beа\u200bＡﬁ\u212b")
+    text = "中文 ไทย " * 50
+    assert textform.canonical(text) == text and textform.canonical(text + "e\u0301") == text + "é"
+
+
+def test_cache_is_bounded():
+    """Long runs of marks are not kept."""
+    before = textform._segment.cache_info().currsize
+    textform.canonical("a" + "\u0301" * 10_000)
+    assert textform._segment.cache_info().currsize == before
+
+
+@pytest.mark.parametrize("a, b", [("ｆｉｌｅ", "file"), ("ﬁle", "file"), ("niño", "niño"), ("n​ino", "nino"), ("a b", "a b"), ("а", "a"), ("e​́", "é"), ("x\x00y", "xy"), ("ё", "ë"), ("α", "a"), ("ı", "i"), ("Ꭺ", "A"), ("ꓐ", "B"), ("ё̄", "ë̄"), ("　", " ")])
 def test_same_look(a, b):
     assert textform.canonical(a) == textform.canonical(b)
 
