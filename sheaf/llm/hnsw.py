@@ -234,13 +234,21 @@ class Graph:
                 entry, _ = _beam(self.x, layer.nbr, self.visited, q, entry, 4)
         return entry
 
-    def search(self, q: np.ndarray, k: int, ef: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, sims) of the k nearest found; `own` gives each query's own row, where the walk then begins."""
+    def search(self, q: np.ndarray, k: int, ef: int, own: np.ndarray | None = None, descend: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, sims) of the k nearest found.  `own` gives each query's own row, where the walk begins too, or, without
+        `descend`, only: enough for neighbours that are close."""
         ids, sims = [], []
         for a in range(0, len(q), QUERY_BATCH):
             part = np.ascontiguousarray(q[a : a + QUERY_BATCH], np.float32)
-            entry = self._descend(part) if own is None else self.place[own[a : a + QUERY_BATCH], None].astype(np.int32)
+            entry = self._descend(part) if own is None or descend else np.empty((len(part), 0), np.int32)
+            if own is not None:
+                entry = np.concatenate((self.place[own[a : a + QUERY_BATCH], None].astype(np.int32), entry), axis=1)
             i, s = _beam(self.x, self.layers[-1].nbr, self.visited, part, entry, max(ef, k))
+            twice = np.zeros(i.shape, bool)  # a node may be met as forward and as reverse neighbour at once
+            twice[:, 1:] = (i[:, 1:] == i[:, :-1]) & (i[:, 1:] >= 0)
+            if twice.any():
+                order = np.argsort(twice, axis=1, kind="stable")
+                i, s = np.take_along_axis(np.where(twice, -1, i), order, 1), np.take_along_axis(np.where(twice, -np.inf, s), order, 1)
             ids.append(np.where(i[:, :k] >= 0, self.order[np.maximum(i[:, :k], 0)], -1))
             sims.append(s[:, :k])
         if not ids:

@@ -1,6 +1,6 @@
 """Problem 1: the most similar vectors for every vector, by one navigable graph per shard and a merge.
 
-Vectors of a space are divided into cells by the nearest of a few centroids, about SHARD_ROWS rows to a cell; the
+Vectors of a space are divided into cells by the nearest of a few centroids, about SHARD_BYTES of vectors to a cell; the
 centroids are fitted on a bounded sample, every vector is indexed.  A cell that the sample shows to be larger is
 divided further by a hash of the vector.  Each shard builds its graph (see hnsw) and answers for its own vectors and
 for those whose centroid is almost as near: within `margin` of the best cosine, whatever number of cells that is.
@@ -18,17 +18,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .hnsw import Graph
 
-#: Rows of a shard; rows per space that centroids are fitted on; most cells of a space (beyond it cells are divided by hash).
-SHARD_ROWS, FIT_ROWS, MOST_CELLS = 65_536, 8192, 4096
+#: Bytes of vectors in a shard; rows per space that centroids are fitted on; most cells of a space (beyond it cells are divided by hash).
+SHARD_BYTES, FIT_ROWS, MOST_CELLS = 16 << 20, 8192, 4096
 #: Links of the graphs that have to find neighbours that are hardly nearer than all others.
 DENSE = {"forward": 12, "reverse": 24, "mends": 8}
 
 
+def shard_rows(width: int) -> int:
+    """Rows of a shard of vectors with `width` numbers."""
+    return max(64, SHARD_BYTES // (4 * width))
+
+
 def fit_cells(sample: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """(centroids, shards of each cell) for a space of `count` vectors."""
-    k = min(MOST_CELLS, max(1, -(-count // SHARD_ROWS)), max(1, len(sample)))
+    most = shard_rows(sample.shape[1])
+    k = min(MOST_CELLS, max(1, -(-count // most)), max(1, len(sample)))
     if k == 1:
-        return np.zeros((1, sample.shape[1]), np.float32), np.array([max(1, -(-count // (2 * SHARD_ROWS)))])
+        return np.zeros((1, sample.shape[1]), np.float32), np.array([max(1, -(-count // (2 * most)))])
     rng = np.random.default_rng(11)
     c = sample[rng.choice(len(sample), k, replace=False)]
     for _ in range(8):
@@ -39,7 +45,7 @@ def fit_cells(sample: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
             c[j] = total / max(np.linalg.norm(total), 1e-12)
     own = (sample @ c.T).argmax(axis=1)
     rows = np.bincount(own, minlength=k) * (count / len(sample))
-    return c.astype(np.float32), np.maximum(1, np.ceil(rows / (2 * SHARD_ROWS))).astype(np.int64)
+    return c.astype(np.float32), np.maximum(1, np.ceil(rows / (2 * most))).astype(np.int64)
 
 
 def _units(vectors: pa.Array, width: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,24 +111,24 @@ def _answered(k: int, ef: int, least: float, ef_build: int, links: dict[str, int
             if h:
                 at = node.setdefault(v, len(node))
                 if at == len(members):
-                    members.append(i)
+                    members.append([i])
                 else:
-                    members[at] += i
+                    members[at].append(i)
         out: tuple[list, list, list] = ([], [], [])
         if node:
             x = np.frombuffer(b"".join(node), np.float32).reshape(len(node), -1)
             graph = Graph(x, ef_build, **links)
-            held = [np.unique(np.frombuffer(m, np.int64)) for m in members]
-            asked: dict[bytes, bytes] = {}
+            held = [np.unique(np.frombuffer(b"".join(m), np.int64)) for m in members]
+            asked: dict[bytes, list[bytes]] = {}
             for v, a in zip(vecs, asks):
                 if a:
-                    asked[v] = asked.get(v, b"") + a
+                    asked.setdefault(v, []).append(a)
             for own in (True, False):
                 q = [v for v in asked if (v in node) is own]
                 if not q:
                     continue
                 rows = np.array([node[v] for v in q]) if own else None
-                near, sims = graph.search(np.frombuffer(b"".join(q), np.float32).reshape(len(q), -1), k + 1, ef, rows)
+                near, sims = graph.search(np.frombuffer(b"".join(q), np.float32).reshape(len(q), -1), k + 1, ef, rows, descend=bool(links))
                 near = np.where(sims >= least, near, -1)
                 for n in np.flatnonzero((near >= 0).any(axis=1)):
                     # only as many of a node's smallest ids as can be among the k most similar
@@ -131,7 +137,7 @@ def _answered(k: int, ef: int, least: float, ef_build: int, links: dict[str, int
                     cos = np.repeat([s for s, _ in pool], [len(p) for _, p in pool])
                     order = np.lexsort((other, -cos))
                     other, cos = other[order], cos[order]
-                    for me in np.unique(np.frombuffer(asked[q[n]], np.int64)):
+                    for me in np.unique(np.frombuffer(b"".join(asked[q[n]]), np.int64)):
                         rest = np.flatnonzero(other[: k + 1] != me)[:k] if len(pool) else []
                         out[0].append(np.full(len(rest), me))
                         out[1].append(other[rest])
@@ -162,7 +168,7 @@ def nearest(vectors: DataFrame, spaces: DataFrame, k: int = 10, least: float = -
     for name, width in widths.items():
         n = counts.get(name, 0)
         sample = np.zeros((0, width), np.float32)
-        if n > SHARD_ROWS:
+        if n > shard_rows(width):
             got = rows.filter((F.col("space") == name) & (spread < FIT_ROWS / n)).select("vector").toArrow().column("vector").combine_chunks()
             sample = _units(got, width, np.arange(len(got)))[1]
         cells[name] = fit_cells(sample, n)

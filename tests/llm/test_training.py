@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from sheaf.llm import clusters, hnsw, language, mixing, neardup, neighbors, packing, shared_spans, splitting, textform, tokens
+from sheaf.llm import clusters, hnsw, language, mixing, neardup, neighbors, packing, queries, shared_spans, splitting, textform, tokens
 
 WORDS = [f"{a}{b}" for a in ("ka", "lo", "mi", "ta", "su", "re", "ni") for b in ("ra", "bo", "ti", "ne", "lu", "sa", "pi")]
 
@@ -422,7 +422,7 @@ def _brute(ids, vs, k):
 
 @pytest.mark.parametrize("shard, margin", [(65536, 0.08), (100, 2.0)])
 def test_nearest(spark, monkeypatch, shard, margin):
-    monkeypatch.setattr(neighbors, "SHARD_ROWS", shard)
+    monkeypatch.setattr(neighbors, "shard_rows", lambda width: shard)
     rng = np.random.default_rng(1)
     vs = _families(rng, [12] * 20, dim=16, loose=200)
     rows = [(i * 3, "a", [float(x) for x in v]) for i, v in enumerate(vs)]
@@ -437,6 +437,34 @@ def test_nearest(spark, monkeypatch, shard, margin):
     assert neighbors.nearest(df.limit(0), spaces).collect() == []
 
 
+def test_recall_of_shipped_settings(spark):
+    """The queries' own settings against brute force on the largest space of the test tables: all ten neighbours of ids
+    divisible by 20, and every pair from the cosine of p1_found on."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(folder):
+        pytest.skip("no tables")
+    rows = {}
+    for r in pq.read_table(f"{folder}/chunk_vectors.parquet", columns=["chunk_id", "space_id", "vector"]).to_pylist():
+        v = r["vector"]
+        if r["space_id"] == "space-main" and r["chunk_id"] is not None and v is not None and len(v) == 64 and None not in v and np.isfinite(v).all() and np.any(v):
+            rows[r["chunk_id"]] = v
+    ids = np.array(sorted(rows))
+    u = np.array([rows[i] for i in ids], np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    asked = ids[ids % 20 == 0]
+    sims = u[np.searchsorted(ids, asked)] @ u.T
+    sims[np.arange(len(asked)), np.searchsorted(ids, asked)] = -2
+    tenth = np.sort(sims, axis=1)[:, -10]
+    found = queries.p1_neighbors(spark, folder).filter("space_id = 'space-main'").collect()
+    at = {i: n for n, i in enumerate(asked.tolist())}
+    good = sum(sims[at[r.chunk_id], np.searchsorted(ids, r.neighbor_chunk_id)] >= tenth[at[r.chunk_id]] - 1e-6 for r in found)
+    assert len(found) == 10 * len(asked) and good >= 0.95 * len(found), good / len(found)
+    pairs = {(r.chunk_id_a, r.chunk_id_b) for r in queries.p1_found(spark, folder).filter("space_id = 'space-main'").collect()}
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :10]
+    want = {tuple(sorted((int(i), int(ids[j])))) for n, i in enumerate(asked) for j in order[n] if sims[n, j] >= queries.P1_COSINE + 1e-6}
+    assert len(want & pairs) >= 0.98 * len(want)
+
+
 def test_nearest_copies(spark):
     """Equal vectors are neighbours of cosine 1, smaller ids first, however many there are."""
     v, w = [1.0, 2.0, 3.0], [3.0, -2.0, 0.5]
