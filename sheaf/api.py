@@ -40,7 +40,7 @@ class Library:
         limit = max(1, min(limit, 100))
         parsed = search.parse(query)
         if parsed is None:
-            scored = search.bm25(self._chunks(), F.col("chunk_text"), query, normalised=False)
+            scored = search.bm25(self._chunks(), ["chunk_id", "document_id"], "chunk_text", query, normalised=False)
             return search.capped_then_grouped(scored, "document_id", "chunk_id", limit)
         files = self._files().join(self._texts().select("file_id", "content"), "file_id", "left")
         return search.operator_search(files, parsed, F.col("name"), F.col("title"), F.col("relative_path"), F.col("content")).drop("content").orderBy(F.desc("score"), "relative_path").limit(limit)
@@ -53,13 +53,13 @@ class Library:
 
     def semantic_search(self, query: str, vector: list[float], space: str, limit: int = 10) -> DataFrame:
         """Hybrid ranking: every passage with a cosine or a keyword score; the gate looks at all cosines of the scope."""
-        keyword = search.bm25(self._chunks(), F.col("chunk_text"), query).select("chunk_id", "document_id", F.col("score").alias("keyword"))
+        keyword = search.bm25(self._chunks(), ["chunk_id", "document_id"], "chunk_text", query).withColumnRenamed("score", "keyword")
         v = table(self.spark, self.tables, "chunk_vectors").filter(F.col("space_id") == space).filter(V.usable(F.col("vector"), F.lit(len(vector)))).select("chunk_id", V.cosine(F.col("vector"), F.array(*map(F.lit, vector))).alias("cosine")).distinct()
-        both = keyword.join(v, "chunk_id", "left").withColumn("__q", F.lit(1))
-        gate = search.evidence_gate(both, "__q", "cosine").select("passed")
+        both = keyword.join(v.distinct(), "chunk_id", "left")
+        gate = search.scope_gate(both, "cosine").select("passed")
         met = both.join(F.broadcast(gate), how="left").filter((F.coalesce("passed", F.lit(False)) & (F.col("cosine") >= 0.35)) | (F.col("keyword") >= 0.5))
         scored = met.withColumn("score", V.fused(F.coalesce("cosine", F.lit(0.0)), F.col("keyword")))
-        return search.group_passages(scored.drop("passed", "__q"), "document_id", "chunk_id", 3, limit)
+        return search.group_passages(scored.drop("passed"), "document_id", "chunk_id", 3, limit)
 
     def list_duplicates(self) -> DataFrame:
         return organize.duplicate_groups(self._files().filter("status IN ('indexed', 'unsupported')"), "workspace_id", "file_id", "content_hash")

@@ -18,13 +18,15 @@ def exact_duplicate_groups(spark, d):
 
 
 @query("""
-WITH t AS (SELECT DISTINCT file_id, sha256(content) AS h FROM document_texts WHERE content <> '')
-SELECT a.file_id AS file_id_a, b.file_id AS file_id_b FROM t a JOIN t b ON a.h = b.h AND a.file_id < b.file_id
+WITH t AS (SELECT DISTINCT file_id, sha256(content) AS h FROM document_texts WHERE content <> ''), c AS (SELECT h, min(file_id) AS class_id, count(*) AS copies FROM t GROUP BY 1 HAVING count(*) > 1)
+SELECT file_id, class_id, copies FROM t JOIN c USING (h)
 """)
 def duplicate_pairs(spark, d):
-    """Files with the same text, by the hash of what is stored now (kept hashes may be of older revisions)."""
-    t = table(spark, d, "document_texts").filter("content <> ''").select("file_id", F.sha2("content", 256).alias("h")).distinct()
-    return t.select(F.col("file_id").alias("file_id_a"), "h").join(t.select(F.col("file_id").alias("file_id_b"), "h"), "h").filter("file_id_a < file_id_b").drop("h")
+    """Files with the same text as another, by the hash of what is stored now (kept hashes may be of older revisions): one row
+    per file with its class - the smallest id - and the number of copies, not one per pair."""
+    t = table(spark, d, "document_texts").filter("content <> ''").select("file_id", F.unhex(F.sha2("content", 256)).alias("h")).distinct()
+    c = t.groupBy("h").agg(F.min("file_id").alias("class_id"), F.count("*").alias("copies")).filter("copies > 1")
+    return t.join(c, "h").select("file_id", "class_id", "copies")
 
 
 @query("""
@@ -50,26 +52,84 @@ def collection_cohesion(spark, d):
     """Recomputed mean pairwise cosine of every suggested collection."""
     m = table(spark, d, "suggested_members").filter("vector IS NOT NULL AND collection_id IS NOT NULL").select("file_id", "collection_id", "vector").distinct()
     u = m.select("collection_id", V.unit(F.col("vector")).alias("u")).filter("u IS NOT NULL")
-    return organize.cohesion(u, "collection_id", "u", 64).select("collection_id", "n", F.round("cohesion", 5).alias("cohesion"))
+    return organize.cohesion(u, "collection_id", "u").select("collection_id", "n", F.round("cohesion", 5).alias("cohesion"))
 
 
-@query("""
-WITH m AS (SELECT DISTINCT s.file_id, s.workspace_id, s.space_id, s.vector::DOUBLE[] AS v, CASE WHEN contains(d.relative_path, '/') THEN regexp_replace(d.relative_path, '/[^/]*$', '') ELSE '' END AS folder FROM suggested_members s JOIN indexed_documents d USING (file_id) WHERE vector IS NOT NULL),
-u AS (SELECT file_id, workspace_id, space_id, folder, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM m WHERE list_dot_product(v, v) > 0),
-p AS (SELECT workspace_id, space_id, folder, i, sum(v[i]) AS s FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM u) GROUP BY ALL),
-c AS (SELECT workspace_id, space_id, folder AS candidate, list(s ORDER BY i) AS s FROM p GROUP BY ALL),
-n AS (SELECT workspace_id, space_id, folder AS candidate, count(*) AS n FROM u GROUP BY ALL),
-x AS (SELECT file_id, workspace_id, space_id, folder, candidate, n - (folder = candidate)::INT AS others, v, list_transform(range(1, 65), lambda i: s[i] - (folder = candidate)::INT * v[i]) AS rest FROM u JOIN c USING (workspace_id, space_id) JOIN n USING (workspace_id, space_id, candidate)),
-y AS (SELECT *, CASE WHEN sqrt(list_dot_product(rest, rest)) > 1e-9 THEN list_dot_product(rest, v) / sqrt(list_dot_product(rest, rest)) END AS sim FROM x),
-b AS (SELECT file_id, workspace_id, space_id, folder, max(sim) FILTER (WHERE folder = candidate AND others > 0) AS home, max({'similarity': sim, 'candidate': candidate}) FILTER (WHERE folder <> candidate AND others >= 2 AND sim IS NOT NULL) AS best FROM y GROUP BY ALL)
-SELECT file_id, workspace_id, space_id, folder AS own_folder, best.candidate AS folder, round(best.similarity, 6) AS similarity, round(best.similarity - coalesce(home, -1), 6) AS margin FROM b
-WHERE best IS NOT NULL AND round(best.similarity, 6) >= 0.86 AND round(best.similarity - coalesce(home, -1), 6) >= 0.03
-""")
+# for every file and folder of its scope, the sum over the folder's files of another content
+_AFFINITY = """
+m AS (SELECT s.file_id, min(s.workspace_id) AS workspace_id, min(s.space_id) AS space_id, min(s.vector::DOUBLE[]) AS v, min(d.relative_path) AS path, min(d.content_hash) AS hash FROM suggested_members s JOIN indexed_documents d USING (file_id) WHERE vector IS NOT NULL AND d.content_hash IS NOT NULL GROUP BY 1),
+u AS (SELECT file_id, workspace_id, space_id, path, hash, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS home, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM m WHERE list_dot_product(v, v) > 0),
+w AS (SELECT a.file_id, b.home AS candidate, i, sum(b.v[i]) AS s, count(*) AS others FROM u a JOIN u b ON a.workspace_id = b.workspace_id AND a.space_id = b.space_id AND a.hash <> b.hash, unnest(range(1, 65)) AS t(i) GROUP BY 1, 2, 3),
+x AS (SELECT file_id, candidate, list(s ORDER BY i) AS rest, max(others) AS others FROM w GROUP BY 1, 2),
+y AS (SELECT u.*, candidate, others, list_dot_product(rest, v) / sqrt(list_dot_product(rest, rest)) AS sim FROM x JOIN u USING (file_id) WHERE list_dot_product(rest, rest) > 1e-18),
+c AS (SELECT file_id, sim FROM y WHERE candidate = home),
+b AS (SELECT y.*, row_number() OVER (PARTITION BY file_id ORDER BY round(sim, 9) DESC, candidate) AS k FROM y WHERE candidate <> home AND others >= 2),
+l AS (SELECT b.file_id, b.workspace_id, b.space_id, b.path, b.home, b.candidate, b.sim, round(b.sim - coalesce(c.sim, 0), 6) AS margin FROM b LEFT JOIN c USING (file_id) WHERE k = 1),
+z AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, space_id ORDER BY margin DESC, path, file_id) AS turn FROM l WHERE round(sim, 6) >= 0.86 AND margin >= 0.03),
+affinity AS (SELECT file_id, workspace_id, space_id, path AS relative_path, home AS own_folder, candidate AS folder, round(sim, 6) AS similarity, margin FROM z WHERE turn <= 10)"""
+
+
+def _affinity(spark, d):
+    m = table(spark, d, "suggested_members").filter("vector IS NOT NULL").select("file_id", "workspace_id", "space_id", "vector").dropDuplicates(["file_id"])
+    files = table(spark, d, "indexed_documents").groupBy("file_id").agg(F.min("relative_path").alias("relative_path"), F.min("content_hash").alias("content_hash"))
+    u = m.join(files, "file_id").select("file_id", "workspace_id", "space_id", "relative_path", "content_hash", T.folder_of(F.col("relative_path")).alias("home"), V.unit(F.col("vector")).alias("u"))
+    return organize.folder_affinity(u, "file_id", ["workspace_id", "space_id"], "home", "relative_path", "content_hash", "u")
+
+
+@query(f"WITH {_AFFINITY} SELECT * FROM affinity")
 def folder_affinity(spark, d):
-    m = table(spark, d, "suggested_members").filter("vector IS NOT NULL").select("file_id", "workspace_id", "space_id", "vector")
-    files = table(spark, d, "indexed_documents").select("file_id", T.folder_of(F.col("relative_path")).alias("folder")).distinct()
-    u = m.dropDuplicates(["file_id"]).join(files, "file_id").select("file_id", "workspace_id", "space_id", "folder", V.unit(F.col("vector")).alias("u")).filter("u IS NOT NULL")
-    return organize.folder_affinity(u, "file_id", ["workspace_id", "space_id"], "folder", "u", 64)
+    """Files that are clearly nearer to another folder than to their own; copies are no reason to move."""
+    return _affinity(spark, d)
+
+
+_EDITABLE = "status = 'indexed' AND media_type <> 'application/pdf'"
+_HELD = f"fs AS (SELECT DISTINCT file_id, workspace_id, relative_path, content_hash, {_EDITABLE} AS editable FROM indexed_documents)"
+
+
+def _held(spark, d):
+    return table(spark, d, "indexed_documents").select("file_id", "workspace_id", "relative_path", "content_hash", F.expr(_EDITABLE).alias("editable")).distinct()
+
+
+def _free_sql(wanted: str) -> str:
+    """Wishes (file_id, workspace_id, relative_path, destination) that are portable and free."""
+    return f"""
+g AS (SELECT * FROM {wanted} WHERE lower(destination) <> lower(relative_path) AND (workspace_id, lower(destination)) NOT IN (SELECT (workspace_id, lower(relative_path)) FROM fs)
+  AND len(list_filter(string_split(destination, '/'), lambda p: p IN ('', '.', '..') OR regexp_matches(p, '[\x00-\x1f<>:"|?*\\\\]') OR regexp_matches(p, '[. ]$') OR regexp_matches(lower(p), '^(con|prn|aux|nul|com[1-9]|lpt[1-9])([.].*)?$'))) = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, lower(destination) ORDER BY relative_path, file_id) AS k FROM g)
+SELECT file_id, workspace_id, relative_path, destination FROM o WHERE k = 1"""
+
+
+@query(f"""
+WITH {_AFFINITY}, {_HELD},
+want AS (SELECT fs.file_id, fs.workspace_id, fs.relative_path, CASE WHEN folder <> '' THEN folder || '/' ELSE '' END || list_extract(string_split(fs.relative_path, '/'), -1) AS destination FROM affinity JOIN fs USING (file_id) WHERE editable AND content_hash IS NOT NULL),
+{_free_sql("want")}
+""")
+def destination_moves(spark, d):
+    """Moves to the nearer folder under the file's own name, where that is free."""
+    return organize.destinations(_affinity(spark, d), _held(spark, d), "file_id", "workspace_id", "relative_path", "content_hash", "editable")
+
+
+@query(f"""
+WITH {_HELD}, nm AS (SELECT DISTINCT file_id, regexp_replace(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM (SELECT name, unnest(members) AS file_id FROM suggested_collections WHERE name IS NOT NULL)),
+want AS (SELECT fs.file_id, workspace_id, relative_path, CASE WHEN contains(relative_path, '/') THEN regexp_replace(relative_path, '/[^/]*$', '/') ELSE '' END || slug || '.' || list_extract(string_split(list_extract(string_split(relative_path, '/'), -1), '.'), -1) AS destination
+  FROM nm JOIN fs USING (file_id) WHERE editable AND content_hash IS NOT NULL AND slug <> '' AND length(slug) <= 60 AND contains(list_extract(string_split(relative_path, '/'), -1), '.')),
+{_free_sql("want")}
+""")
+def model_filenames(spark, d):
+    """Renames to written names; the names of suggested collections stand for names that a model wrote for their members."""
+    names = table(spark, d, "suggested_collections").filter("name IS NOT NULL").select(F.explode("members").alias("file_id"), "name").distinct()
+    return organize.generated_names(names, _held(spark, d), "file_id", "workspace_id", "relative_path", "content_hash", "editable", "name")
+
+
+@query(f"""
+WITH f AS (SELECT DISTINCT file_id, name, title, {_EDITABLE} AS editable FROM indexed_documents),
+w AS (SELECT *, list_filter(string_split_regex(lower(regexp_replace(name, '[.][^.]*$', '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS ws FROM f)
+SELECT file_id FROM w WHERE editable AND title IS NULL AND len(list_filter(ws, lambda w: NOT (list_contains([{", ".join(f"'{w}'" for w in T.GENERIC_WORDS)}], w) OR regexp_full_match(w, '[0-9]+') OR regexp_full_match(w, '[^0-9]{{1,4}}[0-9]+')))) = 0
+""")
+def needs_a_name(spark, d):
+    """Editable files that no title names and whose name says nothing."""
+    files = table(spark, d, "indexed_documents").select("file_id", "name", "title", F.expr(_EDITABLE).alias("editable")).distinct()
+    return files.filter(F.col("editable") & F.col("title").isNull() & T.is_generic_stem(T.stem_of(F.col("name")))).select("file_id")
 
 
 @query("""

@@ -177,19 +177,23 @@ m AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS k F
 
 @query(_LINES + r"SELECT file_id, line_no::INTEGER AS line_no, trim(regexp_replace(line, '\r$', '')) AS line FROM m WHERE k <= 5")
 def line_mentions(spark, d):
-    return ripple.line_mentions(table(spark, d, "document_texts").select("file_id", "content").distinct(), "file_id", "content", "budget for the")
+    return ripple.line_mentions(table(spark, d, "document_texts").select("file_id", "content"), "file_id", "content", "budget for the")
 
 
 @query(f"""
-WITH {_LINKS}, m AS (SELECT DISTINCT file_id FROM document_texts WHERE regexp_matches(' ' || lower(content) || ' ', '[^\\p{{L}}\\p{{N}}]budget for the[^\\p{{L}}\\p{{N}}]')),
-c AS (SELECT a.file_id AS a, b.file_id AS b FROM (SELECT DISTINCT file_id, content_hash FROM document_texts WHERE size_bytes > 0) a JOIN (SELECT DISTINCT file_id, content_hash FROM document_texts WHERE size_bytes > 0) b ON a.content_hash = b.content_hash AND a.file_id < b.file_id),
-i AS (SELECT target AS target_id, source AS other_id, 0 AS r FROM links WHERE target IS NOT NULL AND source IN (SELECT file_id FROM m) UNION ALL SELECT source, target, 1 FROM links WHERE target IN (SELECT file_id FROM m) UNION ALL SELECT a, b, 0 FROM c UNION ALL SELECT b, a, 0 FROM c)
-SELECT target_id, other_id, CASE WHEN min(r) = 0 THEN 'evidence' ELSE 'hint' END AS strength FROM i WHERE target_id <> other_id GROUP BY 1, 2
+WITH {_RELATIONS}, im AS (SELECT DISTINCT file_id FROM document_texts WHERE regexp_matches(' ' || lower(content) || ' ', '[^\\p{{L}}\\p{{N}}]budget for the[^\\p{{L}}\\p{{N}}]')),
+ip AS (SELECT DISTINCT file_id, workspace_id, relative_path, content_hash FROM indexed_documents),
+ii AS (SELECT target AS t, source AS o, 'in' AS k FROM rel WHERE kind = 'link' UNION ALL SELECT source, target, 'out' FROM rel WHERE kind = 'link' UNION ALL SELECT source, target, 'similar' FROM rel WHERE kind = 'similarity' UNION ALL SELECT target, source, 'similar' FROM rel WHERE kind = 'similarity'),
+near AS (SELECT t, o, bool_or(k = 'in') AS comes, bool_or(k = 'out') AS goes FROM ii WHERE t <> o AND o IN (SELECT file_id FROM im) GROUP BY 1, 2),
+ic AS (SELECT a.file_id AS t, b.file_id AS o FROM ip a JOIN ip b ON a.workspace_id = b.workspace_id AND a.content_hash = b.content_hash AND a.content_hash <> '' AND a.file_id <> b.file_id),
+iu AS (SELECT t, o, CASE WHEN comes OR goes THEN 'evidence' ELSE 'similarityOnly' END AS strength, CASE WHEN comes AND goes THEN 'links both ways' WHEN comes THEN 'links to the target' WHEN goes THEN 'is linked from the target' ELSE 'is similar' END AS reason FROM near
+  UNION ALL SELECT t, o, 'similarityOnly', 'is a copy' FROM ic WHERE (t, o) NOT IN (SELECT (t, o) FROM near)),
+ir AS (SELECT iu.*, row_number() OVER (PARTITION BY t ORDER BY CASE WHEN strength = 'evidence' THEN 0 ELSE 1 END, relative_path, o) AS k FROM iu JOIN ip ON ip.file_id = iu.o)
+SELECT t AS target_id, o AS other_id, strength, reason FROM ir WHERE k <= 25
 """)
 def impact_candidates(spark, d):
-    """For every document: the linked ones that mention the phrase, and its identical copies."""
-    texts = table(spark, d, "document_texts").select("file_id", "content", "content_hash", "size_bytes").distinct()
-    told = ripple.line_mentions(texts, "file_id", "content", "budget for the").select(F.col("file_id").alias("other_id"))
-    same = texts.filter("size_bytes > 0").select("file_id", "content_hash")
-    copies = same.select(F.col("file_id").alias("a"), "content_hash").join(same.select(F.col("file_id").alias("b"), "content_hash"), "content_hash").filter("a < b").select("a", "b")
-    return ripple.impacts(_links(spark, d).filter("target IS NOT NULL"), copies, told, "target_id", "other_id")
+    """For every document: the linked and similar ones that mention the phrase, and its identical copies."""
+    told = ripple.line_mentions(table(spark, d, "document_texts"), "file_id", "content", "budget for the").select(F.col("file_id").alias("other_id"))
+    files = table(spark, d, "indexed_documents").select(F.col("file_id").alias("other_id"), "workspace_id", "relative_path", "content_hash")
+    edges = _similar(spark, d).select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit("similarity").alias("kind"))
+    return ripple.impacts(_links(spark, d).filter("target IS NOT NULL"), edges, told, files, "target_id", "other_id", "relative_path", "content_hash", "workspace_id")

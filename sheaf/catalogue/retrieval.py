@@ -37,16 +37,49 @@ b AS (SELECT chunk_id, {score} AS score FROM r)"""
 
 @query(f"WITH {_bm25_sql(True)} SELECT chunk_id, round(score, 6) AS score FROM b WHERE score > 0")
 def bm25_normalised(spark, d):
-    return search.bm25(_chunks(spark, d), F.col("chunk_text"), WORDS).filter("score > 0").select("chunk_id", F.round("score", 6).alias("score"))
+    return search.bm25(table(spark, d, "chunks"), ["chunk_id"], "chunk_text", WORDS).filter("score > 0").select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_bm25_sql(False)} SELECT chunk_id, round(score, 6) AS score FROM b WHERE score > 0")
 def fts_rank(spark, d):
-    return search.bm25(_chunks(spark, d), F.col("chunk_text"), WORDS, normalised=False).filter("score > 0").select("chunk_id", F.round("score", 6).alias("score"))
+    return search.bm25(table(spark, d, "chunks"), ["chunk_id"], "chunk_text", WORDS, normalised=False).filter("score > 0").select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_C} SELECT term, chunk_id, count(*)::INTEGER AS tf, n::INTEGER AS length FROM (SELECT chunk_id, len({TOKENS.format(x='chunk_text')}) AS n, unnest({TOKENS.format(x='chunk_text')}) AS term FROM c) GROUP BY term, chunk_id, n")
+def postings(spark, d):
+    """The inverted index: what a written index would hold."""
+    return search.postings(table(spark, d, "chunks").select("chunk_id", "chunk_text").dropDuplicates(["chunk_id"]), "chunk_id", "chunk_text")
+
+
+@query(f"WITH {_bm25_sql(False)} SELECT chunk_id, round(score, 6) AS score FROM b WHERE score > 0")
+def postings_rank(spark, d):
+    """The full-text rank read from an inverted index that is written first, divided by term."""
+    import uuid
+
+    from ..plans.staging import shared_dir
+
+    place = f"{shared_dir(spark)}/sheaf-postings-{uuid.uuid4().hex}"
+    chunks = table(spark, d, "chunks").select("chunk_id", "chunk_text").dropDuplicates(["chunk_id"])
+    part = F.pmod(F.xxhash64("term"), F.lit(64))
+    search.postings(chunks, "chunk_id", "chunk_text").withColumn("part", part).write.partitionBy("part").parquet(f"{place}/terms")
+    search.lengths_of(chunks, "chunk_id", "chunk_text").write.parquet(f"{place}/lengths")
+    parts = [r[0] for r in spark.createDataFrame([(t,) for t in _TERMS], "term string").select(part).distinct().collect()]
+    index = spark.read.parquet(f"{place}/terms").filter(F.col("part").isin(parts))
+    found = search.ranked_postings(index, spark.read.parquet(f"{place}/lengths"), "chunk_id", WORDS)
+    return found.filter("score > 0").select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""
-WITH {_bm25_sql(True)},
+WITH {_C}, t AS (SELECT *, {TOKENS.format(x='chunk_text')} AS toks FROM c), h AS (SELECT * FROM t WHERE list_has_any(toks, [{", ".join(f"'{t}'" for t in _TERMS)}]))
+SELECT round((SELECT avg(length(chunk_text)) FROM c), 6) AS average_chars, sum(len(toks))::BIGINT AS tokens, sum(length(chunk_text))::BIGINT AS chars, round((SELECT avg(length(chunk_text)) FROM c) * sum(len(toks)) / sum(length(chunk_text)), 6) AS average_length FROM h
+""")
+def estimated_length(spark, d):
+    told = search.estimated_length(table(spark, d, "chunks"), ["chunk_id"], "chunk_text", WORDS)
+    return told.select(F.round("average_chars", 6).alias("average_chars"), "tokens", "chars", F.round("average_length", 6).alias("average_length"))
+
+
+@query(f"""
+WITH {_bm25_sql(False)},
 s AS (SELECT b.chunk_id, document_id, round(score, 9) AS score FROM b JOIN c USING (chunk_id) WHERE score > 0 ORDER BY round(score, 9) DESC, chunk_id LIMIT 160),
 g AS (SELECT document_id, max(score) AS doc_score FROM s GROUP BY 1 ORDER BY doc_score DESC, document_id LIMIT 20),
 k AS (SELECT document_id, doc_score, row_number() OVER (ORDER BY doc_score DESC, document_id) AS doc_rank FROM g),
@@ -54,32 +87,35 @@ p AS (SELECT s.*, doc_rank, row_number() OVER (PARTITION BY s.document_id ORDER
 SELECT document_id, chunk_id, doc_rank, passage_rank, round(score, 6) AS score FROM p WHERE passage_rank <= 3
 """)
 def keyword_search(spark, d):
-    """The flagship: the best passages, capped, grouped to the twenty best documents with at most three passages each."""
-    scored = search.bm25(_chunks(spark, d), F.col("chunk_text"), WORDS).withColumn("score", F.round("score", 9))
+    """The flagship: the passages best by full-text rank, capped, grouped to the twenty best documents with at most three
+    passages each."""
+    scored = search.bm25(table(spark, d, "chunks"), ["chunk_id", "document_id"], "chunk_text", WORDS, normalised=False).withColumn("score", F.round("score", 9))
     found = search.capped_then_grouped(scored, "document_id", "chunk_id", 20)
     return found.select("document_id", "chunk_id", F.col("doc_rank").cast("bigint").alias("doc_rank"), F.col("passage_rank").cast("bigint").alias("passage_rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"""
-WITH {_bm25_sql(True)},
+WITH {_bm25_sql(False)},
 h AS (SELECT DISTINCT document_id, content_hash FROM indexed_documents WHERE content_hash IS NOT NULL),
 g AS (SELECT document_id, max(round(score, 9)) AS doc_score FROM b JOIN c USING (chunk_id) WHERE score > 0 GROUP BY 1),
 k AS (SELECT document_id, content_hash, doc_score, row_number() OVER (ORDER BY doc_score DESC, document_id) AS rank FROM g JOIN h USING (document_id)),
-f AS (SELECT content_hash FROM k GROUP BY 1 ORDER BY min(rank) LIMIT 10)
-SELECT document_id, content_hash, rank FROM k WHERE content_hash IN (SELECT content_hash FROM f)
+f AS (SELECT content_hash, row_number() OVER (ORDER BY min(rank)) AS place FROM k GROUP BY 1 ORDER BY min(rank) LIMIT 10)
+SELECT document_id, content_hash, place, round(doc_score, 6) AS doc_score FROM k JOIN f USING (content_hash)
 """)
 def distinct_content_limit(spark, d):
-    scored = search.bm25(_chunks(spark, d), F.col("chunk_text"), WORDS).filter("score > 0").groupBy("document_id").agg(F.max(F.round("score", 9)).alias("doc_score"))
+    """Documents of the first ten different contents; copies ride along.  Only those ten are put in order."""
+    scored = search.bm25(table(spark, d, "chunks"), ["chunk_id", "document_id"], "chunk_text", WORDS, normalised=False).filter("score > 0").groupBy("document_id").agg(F.max(F.round("score", 9)).alias("score"))
     hashes = table(spark, d, "indexed_documents").filter("content_hash IS NOT NULL").select("document_id", "content_hash").distinct()
-    ranked = scored.join(hashes, "document_id").withColumn("rank", F.expr("row_number() OVER (ORDER BY doc_score DESC, document_id)").cast("bigint"))
-    return search.limit_distinct_contents(ranked, "content_hash", "rank", 10).select("document_id", "content_hash", "rank")
+    ranked = scored.join(hashes, "document_id")
+    first = search.first_contents(ranked, "content_hash", "document_id", 10)
+    return ranked.join(F.broadcast(first), "content_hash").select("document_id", "content_hash", F.col("place").cast("bigint").alias("place"), F.round("score", 6).alias("doc_score"))
 
 
 @query(f"""
 WITH {_C} SELECT chunk_id, round(len(list_intersect(list_distinct({TOKENS.format(x='chunk_text')}), [{", ".join(f"'{t}'" for t in _TERMS)}])) / {len(_TERMS)}.0, 6) AS overlap FROM c
 """)
 def term_overlap_search(spark, d):
-    return _chunks(spark, d).select("chunk_id", F.round(search.term_overlap(F.col("chunk_text"), WORDS), 6).alias("overlap"))
+    return table(spark, d, "chunks").select("chunk_id", F.round(search.term_overlap(F.col("chunk_text"), WORDS), 6).alias("overlap")).distinct()
 
 
 def _count_sql(column: str, term: str) -> str:
@@ -160,21 +196,36 @@ def evidence_gate(spark, d):
 
 
 @query("""
-WITH s AS (SELECT DISTINCT query_chunk_id, document_id, ordinal, cosine::DOUBLE AS cosine, coalesce(keyword, 0)::DOUBLE AS keyword FROM chunk_scores WHERE cosine IS NOT NULL AND NOT isnan(cosine)),
-a AS (SELECT *, cosine + 0.01 * CASE WHEN isnan(keyword) THEN 0 ELSE keyword END AS fused FROM s WHERE cosine >= 0.35 OR (keyword >= 0.5 AND NOT isnan(keyword))),
+WITH s AS (SELECT DISTINCT query_chunk_id, document_id, ordinal, cosine::DOUBLE AS cosine, CASE WHEN keyword IS NULL OR isnan(keyword) THEN 0 ELSE keyword::DOUBLE END AS keyword FROM chunk_scores WHERE cosine IS NOT NULL AND NOT isnan(cosine)),
+g AS (SELECT query_chunk_id, max(cosine) >= 0.813 AND (count(*) < 5 OR max(cosine) - median(cosine) >= 0.031) AS passed FROM s GROUP BY 1),
+a AS (SELECT s.*, cosine + 0.01 * keyword AS fused FROM s JOIN g USING (query_chunk_id) WHERE (passed AND cosine >= 0.35) OR keyword >= 0.5),
 b AS (SELECT query_chunk_id, document_id, max(round(fused, 6)) AS doc_score, count(*) AS passages FROM a GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_chunk_id ORDER BY doc_score DESC, document_id) AS rank FROM b)
 SELECT query_chunk_id, document_id, doc_score, passages, rank FROM r WHERE rank <= 10
 """)
 def hybrid_top(spark, d):
-    """Cosine with the keyword tie-break over admitted passages, the ten best documents of each query."""
+    """Cosine with the keyword tie-break over admitted passages, the ten best documents of each query.
+
+    A passage is admitted by its cosine only if the query passes the evidence gate, or by its keyword score.
+    """
     s = table(spark, d, "chunk_scores").select("query_chunk_id", "document_id", "ordinal", F.col("cosine").cast("double").alias("cosine"), F.nanvl(F.coalesce("keyword", F.lit(0.0)).cast("double"), F.lit(0.0)).alias("keyword")).filter("cosine IS NOT NULL AND NOT isnan(cosine)").distinct()
-    a = s.filter("cosine >= 0.35 OR keyword >= 0.5").withColumn("fused", F.round(V.fused(F.col("cosine"), F.col("keyword")), 6))
+    gate = search.evidence_gate(s, "query_chunk_id", "cosine").select("query_chunk_id", "passed")
+    a = s.join(gate, "query_chunk_id").filter("(passed AND cosine >= 0.35) OR keyword >= 0.5").withColumn("fused", F.round(V.fused(F.col("cosine"), F.col("keyword")), 6))
     b = a.groupBy("query_chunk_id", "document_id").agg(F.max("fused").alias("doc_score"), F.count("*").alias("passages"))
     r = b.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_chunk_id ORDER BY doc_score DESC, document_id)").cast("bigint"))
     return r.filter("rank <= 10").select("query_chunk_id", "document_id", "doc_score", "passages", "rank")
 
 
+@query("""
+WITH c AS (SELECT DISTINCT cosine::DOUBLE AS c, query_chunk_id, document_id, ordinal FROM chunk_scores WHERE cosine IS NOT NULL AND NOT isnan(cosine))
+SELECT count(*) AS n, round(max(c), 5) AS top, round(median(c), 5) AS median, max(c) >= 0.813 AND (count(*) < 5 OR max(c) - median(c) >= 0.031) AS passed FROM c
+""")
+def scope_gate(spark, d):
+    """The gate over all kept cosines as if of one search: the median by counting, not by sorting."""
+    s = table(spark, d, "chunk_scores").select("query_chunk_id", "document_id", "ordinal", "cosine").distinct()
+    return search.scope_gate(s, "cosine").select("n", F.round("top", 5).alias("top"), F.round("median", 5).alias("median"), "passed")
+
+
 @query("""
 WITH v AS (SELECT DISTINCT chunk_id, vector FROM chunk_vectors WHERE space_id = 'space-main' AND vector IS NOT NULL AND len(vector) = 64),
 u AS (SELECT chunk_id, vector::DOUBLE[] AS v FROM v WHERE len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(vector::DOUBLE[], vector::DOUBLE[]) > 0),
@@ -189,7 +240,8 @@ def vector_top(spark, d):
     """
     v = table(spark, d, "chunk_vectors").filter("space_id = 'space-main'").select("chunk_id", "vector").filter(V.usable(F.col("vector"), F.lit(64)))
     q = v.orderBy("chunk_id").limit(1).select(F.col("vector").alias("qv"), F.col("chunk_id").alias("qid"))
-    near = v.distinct().join(F.broadcast(q), F.col("chunk_id") != F.col("qid")).select("chunk_id", F.round(V.cosine(F.col("vector"), F.col("qv")), 9).alias("c"))
+    # repeated rows give equal numbers: these are made distinct, not the vectors
+    near = v.join(F.broadcast(q), F.col("chunk_id") != F.col("qid")).select("chunk_id", F.round(V.cosine(F.col("vector"), F.col("qv")), 9).alias("c")).distinct()
     return near.orderBy(F.desc("c"), "chunk_id").limit(25).select("chunk_id", F.round("c", 5).alias("cosine"))
 
 
@@ -240,18 +292,24 @@ def eligible_documents(spark, d):
 
 @query("""
 WITH s AS (SELECT DISTINCT query_chunk_id, document_id, ordinal, cosine, fused FROM chunk_scores),
+h AS (SELECT document_id, min(content_hash) AS hash FROM indexed_documents GROUP BY 1),
 w AS (SELECT query_chunk_id, document_id, max(fused::DOUBLE) AS f, max(cosine::DOUBLE) FILTER (WHERE NOT isnan(cosine)) AS c FROM s WHERE fused IS NOT NULL AND NOT isnan(fused) GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_chunk_id ORDER BY f DESC, document_id) AS rank FROM w),
-k AS (SELECT query_chunk_id, count(*) AS relevant, count(*) FILTER (WHERE rank <= 5) AS found FROM r WHERE c >= 0.6 GROUP BY 1)
-SELECT query_chunk_id, relevant, found, round(found / relevant, 6) AS recall, found = relevant AS all_found FROM k
+r AS (SELECT w.*, coalesce('h' || hash, 'd' || w.document_id) AS content, row_number() OVER (PARTITION BY query_chunk_id ORDER BY f DESC, w.document_id) AS rank FROM w LEFT JOIN h ON h.document_id = w.document_id),
+d AS (SELECT query_chunk_id, content, row_number() OVER (PARTITION BY query_chunk_id ORDER BY min(rank)) AS place FROM r GROUP BY 1, 2),
+t AS (SELECT r.*, place <= 5 AS top FROM r JOIN d USING (query_chunk_id, content))
+SELECT query_chunk_id, count(*) FILTER (WHERE c >= 0.6) AS relevant, count(*) FILTER (WHERE c >= 0.6 AND top) AS found, round(count(*) FILTER (WHERE c >= 0.6 AND top) / count(*) FILTER (WHERE c >= 0.6), 6) AS recall,
+  count(*) FILTER (WHERE c >= 0.6 AND top) = count(*) FILTER (WHERE c >= 0.6) AS all_found, CASE WHEN count(*) FILTER (WHERE c < 0.3) > 0 THEN count(*) FILTER (WHERE c < 0.3 AND top) = 0 END AS no_negative
+FROM t GROUP BY 1 HAVING count(*) FILTER (WHERE c >= 0.6) > 0
 """)
 def recall_at_five(spark, d):
+    """Retrieval checks of kept score lists: documents from cosine 0.6 on stand for relevant ones, those under 0.3 for negatives."""
     s = table(spark, d, "chunk_scores").distinct().filter("fused IS NOT NULL AND NOT isnan(fused)")
     sound = F.when(~F.isnan("cosine"), F.col("cosine").cast("double"))
     w = s.groupBy("query_chunk_id", "document_id").agg(F.max(F.col("fused").cast("double")).alias("f"), F.max(sound).alias("c"))
-    r = w.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_chunk_id ORDER BY f DESC, document_id)"))
-    told = lab.recall_at_k(r, w.filter("c >= 0.6"), "query_chunk_id", "document_id", "rank")
-    return told.select("query_chunk_id", "relevant", "found", F.round("recall", 6).alias("recall"), "all_found")
+    hashes = table(spark, d, "indexed_documents").groupBy("document_id").agg(F.min("content_hash").alias("hash"))
+    r = w.join(hashes, "document_id", "left").withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_chunk_id ORDER BY f DESC, document_id)"))
+    told = lab.retrieval_checks(r, w.filter("c >= 0.6"), w.filter("c < 0.3"), "query_chunk_id", "document_id", "rank", "hash")
+    return told.select("query_chunk_id", "relevant", "found", F.round("recall", 6).alias("recall"), "all_found", "no_negative")
 
 
 @query("""

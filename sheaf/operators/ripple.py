@@ -25,18 +25,38 @@ def line_mentions(texts: DataFrame, key: str, text: str, phrase: str, most: int
     """(key, line_no, line): the first lines of each document that mention the phrase, or its date in other words."""
     rows = texts.select(F.col(key), F.col(text).alias("__text")).filter(F.col("__text").rlike(_pattern(phrase)))
     lines = rows.select(key, F.posexplode(F.split("__text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(_pattern(phrase)))
-    return lines.select(key, "line_no", F.trim(F.regexp_replace("line", r"\r$", "")).alias("line")).withColumn("__n", F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY line_no)")).filter(F.col("__n") <= most).drop("__n")
+    return lines.select(key, "line_no", F.trim(F.regexp_replace("line", r"\r$", "")).alias("line")).distinct().withColumn("__n", F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY line_no)")).filter(F.col("__n") <= most).drop("__n")
 
 
-def impacts(links: DataFrame, copies: DataFrame, mentions: DataFrame, target: str, other: str) -> DataFrame:
-    """(target, other, strength): documents linked with a target that mention what is replaced, and identical copies.
+def impacts(links: DataFrame, edges: DataFrame, mentions: DataFrame, files: DataFrame, target: str, other: str, path: str, content: str, scope: str, most: int = MOST) -> DataFrame:
+    """(target, other, strength, reason) for every target: what to review when the mentioned phrase is replaced in it.
 
-    A copy or a link to the target is evidence, a link from it is a hint; evidence beats a hint.
+    `links` (source, target) are explicit links, `edges` (a, b, kind) displayed edges of kind shared-fact or similarity,
+    `mentions` (other) the files that mention the phrase, `files` has other, scope, path and content.  A file linked with the
+    target either way, or in a shared fact with it, that mentions the phrase is evidence; one that is only similar and
+    mentions it is similarityOnly, and so is an identical copy in the target's scope, whether or not it mentions it.
+    Evidence first, then by path, `most` for each target.
+
+    Of the copies of one content only the first by path can be among a target's `most`: each content gives that many,
+    so a content that a third of all files have makes no pairs of all with all.
     """
     told = mentions.select(F.col(other)).distinct()
-    near = links.select(F.col("target").alias(target), F.col("source").alias(other), F.lit(0).alias("rank")).unionByName(links.select(F.col("source").alias(target), F.col("target").alias(other), F.lit(1).alias("rank"))).join(told, other, "left_semi")
-    same = copies.select(F.col("a").alias(target), F.col("b").alias(other), F.lit(0).alias("rank")).unionByName(copies.select(F.col("b").alias(target), F.col("a").alias(other), F.lit(0).alias("rank")))
-    return near.unionByName(same).filter(f"{target} <> {other}").groupBy(target, other).agg(F.min("rank").alias("rank")).select(target, other, F.when(F.col("rank") == 0, "evidence").otherwise("hint").alias("strength"))
+    ends = lambda df, a, b, rank: df.select(F.col(a).alias(target), F.col(b).alias(other), rank.alias("__rank"))
+    kind = F.when(F.col("kind") == "shared-fact", 4).otherwise(8)
+    near = ends(links, "target", "source", F.lit(1)).unionByName(ends(links, "source", "target", F.lit(2))).unionByName(ends(edges, "a", "b", kind)).unionByName(ends(edges, "b", "a", kind))
+    met = near.filter(F.col(target) != F.col(other)).join(told, other, "left_semi").groupBy(target, other).agg(F.bit_or("__rank").alias("__rank"))
+    known = files.select(F.col(other), F.col(scope).alias("__scope"), F.col(path).alias("__path"), F.col(content).alias("__content")).distinct()
+    sound = known.filter("__scope IS NOT NULL AND __content IS NOT NULL AND __content <> ''")
+    first = sound.withColumn("__turn", F.expr(f"row_number() OVER (PARTITION BY __scope, __content ORDER BY __path, {other})")).filter(F.col("__turn") <= most + 1)
+    same = sound.select(F.col(other).alias(target), "__scope", "__content").join(first.select("__scope", "__content", other), ["__scope", "__content"]).filter(F.col(target) != F.col(other))
+    copies = same.join(met.select(target, other), [target, other], "left_anti").select(target, other, F.lit(16).alias("__rank"))
+    r = F.col("__rank")
+    has = lambda bit: r.bitwiseAND(F.lit(bit)) > 0
+    reason = F.when(has(1) & has(2), "links both ways").when(has(1), "links to the target").when(has(2), "is linked from the target").when(has(4), "may state the same fact").when(has(8), "is similar").otherwise("is a copy")
+    strength = F.when(has(7), "evidence").otherwise("similarityOnly")
+    placed = met.unionByName(copies).join(known.select(other, "__path"), other).select(target, other, strength.alias("strength"), reason.alias("reason"), "__path")
+    turned = placed.withColumn("__turn", F.expr(f"row_number() OVER (PARTITION BY {target} ORDER BY strength <> 'evidence', __path, {other})"))
+    return turned.filter(F.col("__turn") <= most).select(target, other, "strength", "reason")
 
 
 def replaced_phrase(before: str, after: str, most: int = 120) -> str | None:

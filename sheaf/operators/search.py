@@ -30,30 +30,77 @@ def _is(word: str):
     return lambda t: t == word
 
 
-def _stats(sized: DataFrame, terms: list[str]) -> DataFrame:
-    """One row: passages, average length, and the number of passages with each term."""
-    return sized.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"), *(F.sum(F.array_contains("t", w).cast("int")).alias(f"df_{i}") for i, w in enumerate(terms)))
+def terms_in_order(query: str) -> list[str]:
+    """Distinct terms of a query in the order in which they first stand, MOST_TERMS at most: what the full-text index is asked for."""
+    word, found = "", []
+    for c in query + " ":
+        if c.isalnum():
+            word += c
+        elif word:
+            found.append(word.lower())
+            word = ""
+    return list(dict.fromkeys(found))[:MOST_TERMS]
+
+
+def match_expression(terms: list[str]) -> str | None:
+    """The terms quoted and joined by OR, those that are not plain words left out; None if none is left."""
+    kept = [f'"{t}"' for t in terms if t and t.isalnum()]
+    return " OR ".join(kept) or None
+
+
+def term_counts(passages: DataFrame, keys: list[str], text: str, terms: list[str]) -> DataFrame:
+    """(*keys, length, tf): tokens of each passage and how often it has each term.  A null text counts as empty.
+
+    This is what ranking needs of a text: everything after it - dropping repeated rows, statistics, scores - moves a
+    few numbers per passage, never the text.
+    """
+    held = passages.select(*keys, tokens(F.coalesce(text, F.lit(""))).alias("__t"))
+    tf = F.array(*(F.size(F.filter("__t", _is(w))) for w in terms)) if terms else F.array().cast("array<int>")
+    return held.select(*keys, F.size("__t").alias("length"), tf.alias("tf")).distinct()
+
+
+def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, key, tf, length): the inverted index of the passages, one row per term and passage; a null text has none.
+
+    To be written partitioned or bucketed by term, so that a query reads the terms it names: see ranked_postings.
+    """
+    held = passages.select(key, tokens(F.coalesce(text, F.lit(""))).alias("__t")).select(key, F.size("__t").cast("int").alias("length"), F.explode("__t").alias("term"))
+    return held.groupBy("term", key).agg(F.count("*").cast("int").alias("tf"), F.max("length").alias("length"))
+
 
+def lengths_of(passages: DataFrame, key: str, text: str) -> DataFrame:
+    """(n, avg_len): the row of statistics that goes with postings."""
+    sized = passages.select(key, F.size(tokens(F.coalesce(text, F.lit("")))).alias("length")).distinct()
+    return sized.agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"))
 
-def bm25(passages: DataFrame, text: str, query: str, normalised: bool = True) -> DataFrame:
-    """`passages` with column score: BM25 of the query's terms, 0 where none is met.
+
+def ranked_postings(index: DataFrame, statistics: DataFrame, key: str, query: str) -> DataFrame:
+    """(key, score): the full-text rank from postings and their statistics; only the query's terms are read."""
+    found = index.filter(F.col("term").isin(terms_of(query)))
+    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
+    met = found.join(F.broadcast(frequency), "term").join(F.broadcast(statistics))  # as many rows as the query has terms, and one
+    weight = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest(F.col("avg_len"), F.lit(1.0))))
+    return met.groupBy(key).agg(F.sum(part).alias("score"))
+
+
+def bm25(passages: DataFrame, keys: list[str], text: str, query: str, normalised: bool = True) -> DataFrame:
+    """(*keys, score): BM25 of the query's terms for each passage, 0 where none is met; a repeated passage counts once.
 
     Normalised: stop words and terms in at least 90 % of the passages weigh nothing, and scores are divided by the
-    sum of weights and capped at 1.  Otherwise the full-text rank: weights of at least 1e-6, no division.  A null text
-    counts as empty.  One pass gathers a single row of statistics, which is broadcast; scoring is local to a row.
+    sum of weights and capped at 1.  Otherwise the full-text rank: weights of at least 1e-6, no division.  A text is
+    tokenised once, where it is read; statistics are one row, which is broadcast, gathered from the same narrow table.
     """
     terms = terms_of(query)
-    sized = passages.withColumn("__t", tokens(F.coalesce(text, F.lit(""))))
+    counts = term_counts(passages, keys, text, terms)
     if not terms:
-        return sized.drop("__t").withColumn("score", F.lit(0.0))
-    stats = _stats(sized.select(F.col("__t").alias("t")), terms)
-    stats = stats.select(*(F.col(c).alias(f"__{c}") for c in stats.columns))
-    joined = sized.join(F.broadcast(stats))
-    length = K1 * (1 - B + B * F.size("__t") / F.greatest(F.col("__avg_len"), F.lit(1.0)))
+        return counts.select(*keys, F.lit(0.0).alias("score"))
+    stats = counts.agg(F.count("*").alias("__n"), F.avg("length").alias("__avg_len"), *(F.count_if(F.col("tf")[i] > 0).alias(f"__df_{i}") for i in range(len(terms))))
+    joined = counts.join(F.broadcast(stats))
+    length = K1 * (1 - B + B * F.col("length") / F.greatest(F.col("__avg_len"), F.lit(1.0)))
     total, most = F.lit(0.0), F.lit(0.0)
     for i, w in enumerate(terms):
-        df = F.coalesce(F.col(f"__df_{i}"), F.lit(0))
-        tf = F.size(F.filter("__t", _is(w)))
+        df, tf = F.coalesce(F.col(f"__df_{i}"), F.lit(0)), F.col("tf")[i]
         if normalised:
             weight = F.lit(0.0) if w in STOP_WORDS else F.when(df >= F.greatest(F.col("__n") * 0.9, F.lit(2.0)), 0.0).otherwise(F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5)))
         else:
@@ -61,7 +108,15 @@ def bm25(passages: DataFrame, text: str, query: str, normalised: bool = True) ->
         most = most + weight
         total = total + F.when(tf > 0, weight * tf * (K1 + 1) / (tf + length)).otherwise(0.0)
     score = F.when(most > 0, F.least(F.lit(1.0), total / most)).otherwise(0.0) if normalised else total
-    return joined.withColumn("score", score).select(*passages.columns, "score")
+    return joined.select(*keys, score.alias("score"))
+
+
+def estimated_length(passages: DataFrame, keys: list[str], text: str, query: str) -> DataFrame:
+    """(average_chars, tokens, chars, average_length): the average number of tokens, estimated as the average number of
+    characters times the tokens per character of the passages that hold a term of the query; 0 where none does."""
+    held = passages.select(*keys, F.char_length(F.coalesce(text, F.lit(""))).alias("chars"), F.size(tokens(F.coalesce(text, F.lit("")))).alias("tokens"), F.arrays_overlap(tokens(F.coalesce(text, F.lit(""))), array_of(terms_of(query))).alias("hit")).distinct()
+    told = held.agg(F.avg("chars").alias("average_chars"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("tokens"))), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("chars"))), F.lit(0)).alias("chars"))
+    return told.withColumn("average_length", F.coalesce(F.when(F.col("chars") > 0, F.col("average_chars") * F.col("tokens") / F.col("chars")), F.lit(0.0)))
 
 
 def term_overlap(text: Column, query: str) -> Column:
@@ -95,10 +150,51 @@ def capped_then_grouped(scored: DataFrame, document: str, passage: str, limit: i
     return group_passages(top, document, passage, per_document, limit)
 
 
+def first_contents(scored: DataFrame, content: str, document: str, limit: int) -> DataFrame:
+    """(content, best, first_document, place): the `limit` contents whose best document (ties: the smaller id) comes first.
+
+    One aggregation per content and a top-k; no order over all documents is made.
+    """
+    best = scored.groupBy(content).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(document).alias("d"))).alias("b"))
+    top = best.select(content, (-F.col("b.s")).alias("best"), F.col("b.d").alias("first_document")).orderBy(F.desc("best"), "first_document").limit(limit)
+    return top.withColumn("place", F.expr("row_number() OVER (ORDER BY best DESC, first_document)"))
+
+
+def merged_results(index_hits: DataFrame, name_hits: DataFrame, documents: DataFrame, document: str, order: str) -> DataFrame:
+    """(document, list, place): hits in the text first, then hits in names that are not among them; each document once,
+    only documents that are still there, each list in its own `order`."""
+    both = index_hits.select(document, F.lit("text").alias("list"), F.lit(0).alias("__l"), F.col(order).alias("place")).unionByName(name_hits.select(document, F.lit("name").alias("list"), F.lit(1).alias("__l"), F.col(order).alias("place")))
+    first = both.groupBy(document).agg(F.min(F.struct("__l", "place", "list")).alias("x"))
+    return first.join(documents.select(document).distinct(), document, "left_semi").select(document, "x.list", "x.place")
+
+
 def evidence_gate(scores: DataFrame, query: str, cosine: str) -> DataFrame:
     """Per query: n, top, median, margin and whether there is evidence at all; null and NaN cosines do not count."""
     sound = scores.filter(F.col(cosine).isNotNull() & ~F.isnan(cosine))
     told = sound.groupBy(query).agg(F.count("*").alias("n"), F.max(cosine).cast("double").alias("top"), F.median(cosine).alias("median"))
+    return _gated(told)
+
+
+def scope_gate(scores: DataFrame, cosine: str, bins: int = 4096) -> DataFrame:
+    """The same for all scores of one scope as one row, with no sort of them: the middle is found by counting.
+
+    A first pass counts the cosines in `bins` equal parts of -1 to 1; a second one takes the few values of the parts in
+    which the middle ones lie, unless those are more than a task should hold, and is exact.
+    """
+    sound = scores.filter(F.col(cosine).isNotNull() & ~F.isnan(cosine)).select(F.col(cosine).cast("double").alias("c"))
+    part = F.least(F.greatest(F.floor((F.col("c") + 1) / 2 * bins), F.lit(0)), F.lit(bins - 1))
+    counted = sound.groupBy(part.alias("part")).agg(F.count("*").alias("m"))
+    run = counted.withColumns({"before": F.expr("coalesce(sum(m) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"), "n": F.expr("sum(m) OVER ()")})  # at most `bins` rows
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    edges = run.filter(((F.col("before") <= low) & (low < F.col("before") + F.col("m"))) | ((F.col("before") <= high) & (high < F.col("before") + F.col("m")))).select("part", "before", "n")
+    inside = sound.withColumn("part", part).join(F.broadcast(edges), "part").groupBy("part", "before", "n", "c").agg(F.count("*").alias("k"))
+    placed = inside.withColumn("at", F.expr("before + sum(k) OVER (PARTITION BY part ORDER BY c) - k"))
+    covers = lambda x: (F.col("at") <= x) & (x < F.col("at") + F.col("k"))
+    middle = placed.agg(F.max("n").alias("n"), F.max(F.when(covers(low), F.col("c"))).alias("a"), F.max(F.when(covers(high), F.col("c"))).alias("b"))
+    return _gated(middle.join(sound.agg(F.max("c").alias("top"))).filter("n IS NOT NULL").select("n", "top", ((F.col("a") + F.col("b")) / 2).alias("median")))
+
+
+def _gated(told: DataFrame) -> DataFrame:
     margin = F.col("top") - F.col("median")
     return told.withColumn("margin", margin).withColumn("passed", (F.col("top") >= GATE_TOP) & ((F.col("n") < GATE_LEAST) | (margin >= GATE_MARGIN)))
 

@@ -66,11 +66,11 @@ def test_operator_search(spark):
 
 def test_bm25_edges(spark):
     empty = spark.createDataFrame([], "id int, t string")
-    assert search.bm25(empty, F.col("t"), "budget").collect() == []
+    assert search.bm25(empty, ["id"], "t", "budget").collect() == []
     rows = spark.createDataFrame([(1, "budget budget"), (2, None), (3, "plan"), (4, "the plan"), (5, "x")], "id int, t string")
-    scores = {r.id: r.score for r in search.bm25(rows, F.col("t"), "the budget").collect()}
+    scores = {r.id: r.score for r in search.bm25(rows, ["id"], "t", "the budget").collect()}
     assert scores[1] > 0 and scores[2] == scores[3] == scores[4] == 0
-    assert {r.score for r in search.bm25(rows, F.col("t"), " ?! ").collect()} == {0.0}
+    assert {r.score for r in search.bm25(rows, ["id"], "t", " ?! ").collect()} == {0.0}
 
 
 def test_gate(spark):
@@ -166,7 +166,7 @@ def test_linkage_and_cohesion(spark):
     rows = spark.createDataFrame([("g", i, [float(x) for x in r]) for i, r in enumerate(v)] + [("h", 9, [1.0, 0.0])], "g string, id long, v array<double>")
     assert got(organize.linkage_groups(rows, "g", "id", "v")) == [("g", 0, 0), ("g", 1, 0), ("g", 2, 2), ("h", 9, 9)]
     mean = np.mean([v[i] @ v[j] for i, j in ((0, 1), (0, 2), (1, 2))])
-    assert {r.g: round(r.cohesion, 9) for r in organize.cohesion(rows, "g", "v", 2).collect()} == {"g": round(mean, 9), "h": 1.0}
+    assert {r.g: round(r.cohesion, 9) for r in organize.cohesion(rows, "g", "v").collect()} == {"g": round(mean, 9), "h": 1.0}
 
 
 def test_vectors(spark):
@@ -206,10 +206,96 @@ def test_ripple(spark):
     assert got(ripple.line_mentions(t, "id", "t", "May 20")) == [(2, 1, "May 20 na")]
 
 
+def test_folder_affinity(spark):
+    """Copies are no reason to move, a missing home counts as 0, of equal folders the smaller is taken, ten per scope."""
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [
+        (1, "w", "x/1", "x", "h1", a), (2, "w", "a/2", "a", "h2", a), (3, "w", "a/3", "a", "h3", a), (4, "w", "b/4", "b", "h4", a), (5, "w", "b/5", "b", "h5", a),
+        (6, "w", "x/6", "x", "h6", b), (7, "w", "y/7", "y", "h7", b), (8, "w", "c/8", "c", "h7", b), (9, "w", "c/9", "c", "h7", b), (10, "w", "c/10", "c", None, b), (11, "w", "z/11", "z", "h11", None),
+    ]
+    df = spark.createDataFrame(rows, "k int, w string, p string, f string, h string, v array<double>")
+    told = {r.k: (r.folder, r.similarity, r.margin) for r in organize.folder_affinity(df, "k", ["w"], "f", "p", "h", "v").collect()}
+    # 1 is as near to a as to b and its home holds only the opposite; 6 is near to c; 7 has only copies in c, 2 to 5 lie well
+    assert told == {1: ("a", 1.0, 1.0), 6: ("c", 1.0, 1.0)}
+    many = spark.createDataFrame([(i, "w", f"x{i}/{i}", f"x{i}", f"h{i}", a) for i in range(30)] + [(100 + i, "w", f"d/{i}", "d", f"g{i}", a) for i in range(3)], "k int, w string, p string, f string, h string, v array<double>")
+    assert organize.folder_affinity(many, "k", ["w"], "f", "p", "h", "v").count() == 10
+    assert organize.folder_affinity(df.limit(0), "k", ["w"], "f", "p", "h", "v").collect() == []
+
+
+def test_free_paths(spark):
+    files = spark.createDataFrame([(1, "w", "n/a.md", "h", True), (2, "w", "n/b.md", "h", True), (3, "w", "N/C.md", "h", True), (4, "w", "n/d", "h", True), (5, "w", "n/e.md", None, True), (6, "w", "n/f.pdf", "h", False), (7, "w", "g.md", "h", True)], "k int, w string, p string, h string, e boolean")
+    names = spark.createDataFrame([(1, "New Plan"), (2, "new plan!"), (3, "A"), (4, "x"), (5, "x"), (6, "x"), (7, "con"), (7, None), (1, "?")], "k int, name string")
+    assert got(organize.generated_names(names, files, "k", "w", "p", "h", "e", "name")) == [(1, "w", "n/a.md", "n/new-plan.md")]
+    moves = spark.createDataFrame([(1, ""), (2, "n"), (7, "n"), (3, "q")], "k int, folder string")
+    assert got(organize.destinations(moves, files, "k", "w", "p", "h", "e")) == [(1, "w", "n/a.md", "a.md"), (3, "w", "N/C.md", "q/C.md"), (7, "w", "g.md", "n/g.md")]
+    taken = spark.createDataFrame([("w", "A.MD")], "w string, p string")
+    wish = spark.createDataFrame([(1, "w", "n/a.md", "a.md")], "k int, w string, p string, destination string")
+    assert organize.free_paths(wish, files, "w", "p", "k", taken).collect() == []
+
+
+def test_impacts(spark):
+    """A link either way is evidence, an identical copy only similar; what does not mention the phrase is left out, but for copies."""
+    files = spark.createDataFrame([(1, "w", "t.md", "h"), (2, "w", "out.md", "a"), (3, "w", "in.md", "b"), (4, "w", "copy.md", "h"), (5, "v", "far.md", "h"), (6, "w", "fact.md", "c"), (7, "w", "sim.md", "d"), (8, "w", "mute.md", "e"), (9, "w", "z.md", "h")], "o int, w string, p string, c string")
+    links = spark.createDataFrame([(1, 2), (3, 1), (8, 1), (1, 9)], "source int, target int")
+    edges = spark.createDataFrame([(6, 1, "shared-fact"), (1, 7, "similarity"), (3, 1, "similarity")], "a int, b int, kind string")
+    told = spark.createDataFrame([(i,) for i in (2, 3, 6, 7, 9)], "o int")
+    found = [tuple(r)[1:] for r in ripple.impacts(links, edges, told, files, "t", "o", "p", "c", "w").filter("t = 1").collect()]
+    assert sorted(found) == [
+        (2, "evidence", "is linked from the target"), (3, "evidence", "links to the target"), (4, "similarityOnly", "is a copy"),
+        (6, "evidence", "may state the same fact"), (7, "similarityOnly", "is similar"), (9, "evidence", "is linked from the target"),
+    ]
+    two = ripple.impacts(links, edges, told, files, "t", "o", "p", "c", "w", most=5).filter("t = 1").collect()
+    assert sorted(r.o for r in two) == [2, 3, 4, 6, 9]
+    assert ripple.impacts(links.limit(0), edges.limit(0), told.limit(0), files.limit(0), "t", "o", "p", "c", "w").collect() == []
+
+
+def test_impacts_of_many_copies(spark):
+    """A content that all files have gives as many rows per file as are kept, and no more."""
+    files = spark.range(400).select(F.col("id").alias("o"), F.lit("w").alias("w"), F.format_string("%05d", "id").alias("p"), F.lit("h").alias("c"))
+    none = spark.createDataFrame([], "source long, target long")
+    found = ripple.impacts(none, spark.createDataFrame([], "a long, b long, kind string"), spark.createDataFrame([], "o long"), files, "t", "o", "p", "c", "w", most=3)
+    assert found.count() == 1200 and sorted(r.o for r in found.filter("t = 1").collect()) == [0, 2, 3]
+
+
+def test_scope_gate(spark):
+    """The same verdict as by sorting, for even and odd numbers, ties and nothing."""
+    import statistics
+
+    rng = __import__("random").Random(4)
+    for values in ([0.9], [0.9, 0.1], [rng.uniform(-1, 1) for _ in range(501)] + [0.95], [0.5] * 100 + [0.82, 0.83], [1.0, -1.0, 1.0, -1.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "c double")
+        r = search.scope_gate(df, "c").first()
+        assert (r.n, r.top) == (len(values), max(values)) and abs(r.median - statistics.median(values)) < 1e-12
+        assert r.passed == search.evidence_gate(df.withColumn("q", F.lit(1)), "q", "c").first().passed
+    assert search.scope_gate(spark.createDataFrame([], "c double"), "c").collect() == []
+
+
+def test_no_text_is_shuffled(spark, tmp_path):
+    """Ranking moves numbers: the passages' text is above no exchange."""
+    spark.createDataFrame([(1, 2, "a budget"), (1, 2, "a budget"), (2, 2, None)], "c long, d long, t string").write.parquet(str(tmp_path / "c"))
+    plan = search.bm25(spark.read.parquet(str(tmp_path / "c")), ["c", "d"], "t", "budget", False)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any(" t#" in line for line in exchanges)
+
+
+def test_lab_records(spark):
+    runs = spark.createDataFrame([("r1", "qa", "m", "valid", "running", 1, "h1"), ("r2", "qa", "m", "failed", "done", 2, "h2"), ("r3", "sum", "n", "valid", "running", 9, None)], "id string, task string, model string, outcome string, state string, at int, out string")
+    assert got(lab.outcome_counts(runs, "model", "outcome")) == [("m", "failed", 1), ("m", "valid", 1), ("n", "valid", 1)]
+    assert [r.id for r in lab.listed_runs(runs, "at", "id").collect()] == ["r3", "r2", "r1"]
+    assert [r.id for r in lab.listed_runs(runs, "at", "id", task="qa", outcome="valid").collect()] == ["r1"]
+    assert got(lab.interrupted(runs, "state", "at", F.lit(5)).select("id", "state")) == [("r1", "interrupted"), ("r2", "done"), ("r3", "running")]
+    reviews = spark.createDataFrame([("r1", "h1", 5, "ok"), ("r1", "h1", 3, "bad"), ("r1", "hx", 4, "other"), ("r2", "h2", 7, "ok")], "id string, out string, at int, note string")
+    told = {r.id: [x.note for x in r.reviews or []] for r in lab.reviewed(runs, reviews, "id", "out", "at").collect()}
+    assert told == {"r1": ["bad", "ok"], "r2": ["ok"], "r3": []}
+    assert got(lab.latest_reviews(reviews, "out", "at", "note").select("out", "note")) == [("h1", "ok"), ("h2", "ok"), ("hx", "other")]
+
+
 def test_lab(spark):
-    r = spark.createDataFrame([(1, "a", 1), (1, "b", 6), (2, "c", 1)], "q int, d string, r int")
-    rel = spark.createDataFrame([(1, "a"), (1, "b"), (2, "z")], "q int, d string")
-    assert got(lab.recall_at_k(r, rel, "q", "d", "r")) == [(1, 2, 1, 0.5, False), (2, 1, 0, 0.0, False)]
+    # query 1: b is a copy of a and takes no place, so that g is the fifth content; h is the sixth
+    r = spark.createDataFrame([(1, d, n, h) for n, (d, h) in enumerate([("a", "x"), ("b", "x"), ("c", "y"), ("e", None), ("f", None), ("g", "w"), ("h", "v")])] + [(2, "c", 1, "y")], "q int, d string, r int, h string")
+    rel = spark.createDataFrame([(1, "a"), (1, "b"), (1, "g"), (1, "h"), (2, "z"), (3, "a")], "q int, d string")
+    neg = spark.createDataFrame([(1, "h"), (2, "c")], "q int, d string")
+    assert got(lab.retrieval_checks(r, rel, neg, "q", "d", "r", "h")) == [(1, 4, 3, 0.75, False, True), (2, 1, 0, 0.0, False, False), (3, 1, 0, 0.0, False, None)]
     s = spark.createDataFrame([(True, None), (False, True), (None, None)], "a boolean, b boolean").select(lab.tri_state([F.col("a"), F.col("b")]))
     assert [x[0] for x in s.collect()] == ["passed", "failed", "unknown"]
     assert one(spark, lab.fact_present(F.col("t"), F.col("f")), t="on 20 Oct 2026", f="October 20, 2026") is True
