@@ -16,4 +16,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import library, retrieval, relating, organizing, changes, answering  # noqa: E402, F401
+from . import library, retrieval, relating, organizing, changes, answering, serving  # noqa: E402, F401

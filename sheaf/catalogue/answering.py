@@ -21,9 +21,9 @@ SELECT chunk_id, file_id FROM c JOIN f USING (document_id) JOIN t USING (file_id
 def verbatim_passages(spark, d):
     """Passages of the older cutting that still stand word for word in their file."""
     files = table(spark, d, "indexed_documents").select("document_id", "file_id").distinct()
-    quotes = table(spark, d, "chunks").select("chunk_id", "document_id", "chunk_text").distinct().join(files, "document_id").drop("document_id")
-    texts = table(spark, d, "document_texts").select("file_id", "content").distinct()
-    return answers.verbatim_sources(quotes, texts, "chunk_text", "content", ["file_id"]).select("chunk_id", "file_id")
+    quotes = table(spark, d, "chunks").select("chunk_id", "document_id", "chunk_text").join(files, "document_id").drop("document_id")
+    texts = table(spark, d, "document_texts").select("file_id", "content")
+    return answers.verbatim_sources(quotes, texts, "chunk_text", "content", ["file_id"]).select("chunk_id", "file_id").distinct()
 
 
 @query("""
@@ -41,8 +41,8 @@ WITH t AS (SELECT DISTINCT file_id, content FROM document_texts), h AS (SELECT f
 SELECT file_id, hits, hits = 1 AS applicable FROM h
 """)
 def resolved_edits(spark, d):
-    texts = table(spark, d, "document_texts").select("file_id", "content").distinct()
-    return answers.resolved_edit(texts, "file_id", "content", "budget", "plan").drop("edited")
+    texts = table(spark, d, "document_texts").select("file_id", "content")
+    return answers.resolved_edit(texts, "file_id", "content", "budget", "plan").drop("edited").distinct()
 
 
 @query("""
@@ -94,5 +94,5 @@ def graph_map(spark, d):
 SELECT chunk_id FROM (SELECT DISTINCT chunk_id, chunk_text FROM chunks) WHERE regexp_matches(' ' || trim(strip_accents(lower(chunk_text))) || ' ', '[^\\p{L}\\p{N}_](resibo|receipt)[^\\p{L}\\p{N}_]')
 """)
 def mentioning_passages(spark, d):
-    chunks = table(spark, d, "chunks").select("chunk_id", "chunk_text").distinct()
-    return answers.mentioning(chunks, "chunk_text", ["resibo", "receipt"]).select("chunk_id")
+    chunks = table(spark, d, "chunks").select("chunk_id", "chunk_text")
+    return answers.mentioning(chunks, "chunk_text", ["resibo", "receipt"]).select("chunk_id").distinct()

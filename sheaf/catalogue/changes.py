@@ -113,15 +113,20 @@ def latest_vectors(spark, d):
 def streamed_index(spark, d):
     """The index as a stream of arriving rows leaves it: micro-batches merged by file, the row indexed last stays.
 
-    Runs the stream to the end of what is there; state and table lie in the shared folder.
+    The rows arrive in several files, one a micro-batch, and before and after the true rows come outdated ones of the
+    same files, which must not win.  Runs the stream to the end of what is there; state and table lie in the shared folder.
     """
     import uuid
 
-    from ..plans.staging import shared_dir
-    from ..streaming.ingest import ingest
-
-    place = f"{shared_dir(spark)}/sheaf-stream-{uuid.uuid4().hex}"
-    rows = table(spark, d, "indexed_documents").select("file_id", "workspace_id", "relative_path", "status", "content_hash", "indexed_at")
-    stream = spark.readStream.schema(table(spark, d, "indexed_documents").schema).parquet(f"{d}/indexed_documents.parque[t]").select(*rows.columns).filter("file_id IS NOT NULL")
-    ingest(stream, f"{place}/table", f"{place}/state", ["file_id"], "indexed_at").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{place}/table").drop("indexed_at")
+    from ..plans.staging import own_dir
+    from ..sources.folder import read_table
+    from ..streaming.ingest import ingest, watch
+
+    place = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = table(spark, d, "indexed_documents").select("file_id", "workspace_id", "relative_path", "status", "content_hash", F.coalesce("indexed_at", F.timestamp_seconds(F.lit(1))).alias("indexed_at")).filter("file_id IS NOT NULL")
+    old = rows.withColumns({"status": F.lit("outdated"), "indexed_at": F.timestamp_seconds(F.lit(0))})
+    for part in (old, rows, old):
+        part.coalesce(1).write.mode("append").parquet(f"{place}/arriving")
+    kind = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    ingest(watch(spark, f"{place}/arriving", kind, 1), f"{place}/table", f"{place}/state", ["file_id"], "indexed_at").awaitTermination()
+    return read_table(spark, f"{place}/table").drop("indexed_at")

@@ -106,9 +106,8 @@ WITH c AS (SELECT DISTINCT chunk_id, chunk_text FROM chunks)
 SELECT count(*) AS chunks, sum(length(chunk_text)) AS chars, sum(strlen(chunk_text)) AS bytes, round(avg(length(chunk_text)), 6) AS avg_chars, max(length(chunk_text)) AS longest FROM c
 """)
 def corpus_stats(spark, d):
-    chunks = table(spark, d, "chunks").select("chunk_id", "chunk_text").distinct()
-    n = F.char_length("chunk_text")
-    return chunks.agg(F.count("*").alias("chunks"), F.sum(n).alias("chars"), F.sum(F.octet_length("chunk_text")).alias("bytes"), F.round(F.avg(n), 6).alias("avg_chars"), F.max(n).cast("bigint").alias("longest"))
+    chunks = table(spark, d, "chunks").select("chunk_id", F.char_length("chunk_text").alias("n"), F.octet_length("chunk_text").alias("b")).distinct()
+    return chunks.agg(F.count("*").alias("chunks"), F.sum("n").alias("chars"), F.sum("b").alias("bytes"), F.round(F.avg("n"), 6).alias("avg_chars"), F.max("n").cast("bigint").alias("longest"))
 
 
 @query(f"""
@@ -116,8 +115,8 @@ WITH c AS (SELECT DISTINCT chunk_id, chunk_text FROM chunks)
 SELECT term, count(*) AS chunks FROM (SELECT unnest(list_distinct({TOKENS.format(x='chunk_text')})) AS term FROM c) GROUP BY term
 """)
 def token_document_frequency(spark, d):
-    chunks = table(spark, d, "chunks").select("chunk_id", "chunk_text").distinct()
-    return chunks.select(F.explode(F.array_distinct(T.tokens(F.col("chunk_text")))).alias("term")).groupBy("term").agg(F.count("*").alias("chunks"))
+    terms = table(spark, d, "chunks").select("chunk_id", F.explode(F.array_distinct(T.tokens(F.col("chunk_text")))).alias("term"))
+    return terms.groupBy("term").agg(F.count_distinct("chunk_id").alias("chunks"))
 
 
 @query("""
@@ -128,12 +127,14 @@ SELECT CASE WHEN content IS NULL THEN 'unread' WHEN c.content_hash IS DISTINCT F
 FROM c LEFT JOIN f USING (document_id) LEFT JOIN t USING (file_id) GROUP BY 1
 """)
 def passage_states(spark, d):
-    chunks = table(spark, d, "chunks").select("chunk_id", "document_id", "chunk_text", "start_offset", "end_offset", "content_hash").distinct()
+    """Passages and texts meet once, as they lie; what repeated rows say is made distinct afterwards."""
+    chunks = table(spark, d, "chunks").select("chunk_id", "document_id", "chunk_text", "start_offset", "end_offset", "content_hash")
     files = table(spark, d, "indexed_documents").select("document_id", "file_id").distinct()
-    texts = table(spark, d, "document_texts").select("file_id", "content", F.col("content_hash").alias("now_hash")).distinct()
+    texts = table(spark, d, "document_texts").select("file_id", "content", F.col("content_hash").alias("now_hash"))
     same = T.byte_slice(F.col("content"), F.col("start_offset"), F.col("end_offset")) == F.encode("chunk_text", "UTF-8")
     state = F.when(F.col("content").isNull(), "unread").when(~F.col("content_hash").eqNullSafe(F.col("now_hash")), "changed").when(same, "current").otherwise("displaced")
-    return chunks.join(files, "document_id", "left").join(texts, "file_id", "left").groupBy(state.alias("state")).agg(F.count("*").alias("passages"))
+    told = chunks.join(files, "document_id", "left").join(texts, "file_id", "left").select("chunk_id", "document_id", "start_offset", "end_offset", state.alias("state")).distinct()
+    return told.groupBy("state").agg(F.count("*").alias("passages"))
 
 
 @query("""
@@ -180,14 +181,14 @@ def index_chunks(spark, d):
     """Every text cut anew into passages of at most 1200 characters (a generator: no SQL)."""
     from ..operators.chunking import chunk
 
-    return chunk(table(spark, d, "document_texts"), "file_id", "content", "pages").drop("chunk_text")
+    return chunk(table(spark, d, "document_texts"), "file_id", "content", "pages", with_text=False)
 
 
 @query()
 def summary_passages(spark, d):
     from ..operators.chunking import SUMMARY_BYTES, chunk
 
-    return chunk(table(spark, d, "document_texts"), "file_id", "content", None, SUMMARY_BYTES, "bytes").drop("chunk_text", "page")
+    return chunk(table(spark, d, "document_texts"), "file_id", "content", None, SUMMARY_BYTES, "bytes", False).drop("page")
 
 
 @query()
@@ -201,6 +202,7 @@ def clause_facts(spark, d):
 def shared_facts(spark, d):
     from ..operators import facts
 
+    """Texts that state the same fact, by class."""
     return facts.shared_facts(facts.clause_facts(table(spark, d, "document_texts"), "file_id", "content"), "file_id")
 
 
@@ -209,11 +211,11 @@ def revision_diffs(spark, d):
     """Line differences between each passage of the older cutting and what stands at its place now."""
     from ..operators.diffs import diff_lines
 
-    chunks = table(spark, d, "chunks").select("chunk_id", "document_id", "chunk_text", "start_offset", "end_offset").distinct()
+    chunks = table(spark, d, "chunks").select("chunk_id", "document_id", "chunk_text", "start_offset", "end_offset")
     files = table(spark, d, "indexed_documents").select("document_id", "file_id").distinct()
-    texts = table(spark, d, "document_texts").select("file_id", "content").distinct()
+    texts = table(spark, d, "document_texts").select("file_id", "content")
     now = F.try_validate_utf8(T.byte_slice(F.col("content"), F.col("start_offset"), F.col("end_offset")).cast("string"))
-    return diff_lines(chunks.join(files, "document_id").join(texts, "file_id").select("chunk_id", "chunk_text", now.alias("now")), "chunk_id", "chunk_text", "now")
+    return diff_lines(chunks.join(files, "document_id").join(texts, "file_id").select("chunk_id", "chunk_text", now.alias("now")), "chunk_id", "chunk_text", "now").distinct()
 
 
 @query("""
@@ -225,5 +227,5 @@ SELECT file_id, count(*) AS lines, count(*) FILTER (WHERE n = 0 OR (odd <= n * C
 def readable_lines(spark, d):
     from ..sources.folder import is_readable
 
-    lines = table(spark, d, "document_texts").select("file_id", "content").distinct().select("file_id", F.explode(F.split("content", "\n")).alias("line"))
-    return lines.groupBy("file_id").agg(F.count("*").alias("lines"), F.count_if(is_readable(F.col("line"))).alias("readable"))
+    lines = F.split("content", "\n")
+    return table(spark, d, "document_texts").filter("content IS NOT NULL").select("file_id", F.size(lines).cast("bigint").alias("lines"), F.size(F.filter(lines, is_readable)).cast("bigint").alias("readable")).distinct()

@@ -188,3 +188,46 @@ def escape_delimiters(text: Column, words: tuple[str, ...] = ("SOURCE_BEGIN", "S
 def collapsed(text: Column) -> Column:
     """Lower-cased with white space collapsed, for verbatim comparison."""
     return F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\r\f]+", " "))
+
+
+def terms_in_order(text: Column, most: int = 32) -> Column:
+    """Distinct tokens in the order in which they first stand, `most` at most."""
+    return F.slice(F.array_distinct(tokens(text)), 1, most)
+
+
+# The accented forms a plain letter is marked in.
+_FORMS = {p: "".join(a for a, q in zip(_ACCENTED, _PLAIN) if q == p) for p in sorted(set(_PLAIN))}
+
+
+def highlighted(text: Column, terms: list[str], whole: bool = False) -> Column:
+    """array<struct<text, hit>>: the text in pieces, in order, those that match a term marked; case and accents aside.
+
+    A term marks every word that begins with it, to the word's end; with `whole` it marks itself only, as a token of its
+    own (no letter, digit or _ beside it).  One pattern per call, in the JVM.
+    """
+    def quoted(term: str) -> str:
+        return "".join(f"[{c}{_FORMS[c]}]\\p{{M}}*" if c in _FORMS else (c if c.isalnum() else "\\" + c) + r"\p{M}*" for c in term)
+
+    none = F.when(text != "", F.array(F.struct(text.alias("text"), F.lit(False).alias("hit")))).otherwise(F.array().cast("array<struct<text:string,hit:boolean>>"))
+    if not terms:
+        return none
+    any_ = "|".join(quoted(t) for t in sorted(terms, key=len, reverse=True))
+    edge, rest = (r"[\p{L}\p{N}_\p{M}]", "") if whole else (r"[\p{L}\p{N}\p{M}]", r"[\p{L}\p{N}\p{M}]*")
+    pattern = rf"(?iu)(?<!{edge})(?:{any_}){rest}" + (rf"(?!{edge})" if whole else "")
+    marked = F.regexp_replace(text, rf"({pattern})", "\u0001\u0002$1\u0001")
+    parts = F.filter(F.split(marked, "\u0001"), lambda x: x != "")
+    return F.transform(parts, lambda x: F.struct(F.replace(x, F.lit("\u0002"), F.lit("")).alias("text"), x.startswith("\u0002").alias("hit")))
+
+
+def line_at(text: Column, position: Column) -> Column:
+    """The trimmed line of a text that holds a position (characters from 1)."""
+    line = F.size(F.split(F.substr(text, F.lit(1), F.greatest(position - 1, F.lit(0)).cast("int")), "\n"))
+    return F.trim(F.regexp_replace(F.get(F.split(text, "\n"), line - 1), r"[ \t\r]+$", ""))
+
+
+def model_json(text: Column) -> Column:
+    """The JSON of a model's output: without the fence that models like to put around it; null if there is none or it is not valid."""
+    bare = F.trim(F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
+    inner = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"(?s)^```json(.*)```$", 1), r"^\s+", ""), r"\s+$", "")
+    json = F.when(bare.startswith("```json") & bare.endswith("```") & (F.length(bare) >= 10), inner).otherwise(bare)
+    return F.when(F.try_parse_json(json).isNotNull(), json)

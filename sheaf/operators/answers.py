@@ -71,3 +71,39 @@ def mentioning(passages: DataFrame, text: str, terms: list[str]) -> DataFrame:
     for t in terms:
         any_ |= occurrences(folded, t) > 0
     return passages.filter(any_)
+
+
+GROUP_PASSAGES, MOST_STAGES = 4, 8
+
+
+def summary_groups(passages: DataFrame, document: str, order: str) -> DataFrame:
+    """`passages` with stage (from 0) and covered: four passages make a group, a document gives eight groups at most; what
+    lies beyond is not covered and makes its summary a partial one."""
+    turned = passages.withColumn("__n", F.expr(f"row_number() OVER (PARTITION BY {document} ORDER BY {order})"))
+    stage_ = F.floor((F.col("__n") - 1) / GROUP_PASSAGES).cast("int")
+    return turned.withColumns({"stage": stage_, "covered": stage_ < MOST_STAGES}).drop("__n")
+
+
+def summarised(passages: DataFrame, document: str, order: str, text: str, note, whole) -> DataFrame:
+    """(document, summary, notes, covered, passages, partial): a summary in two steps with a model of one's own.
+
+    `note` makes a note (str or None) of a list of texts, `whole` a summary of a list of notes; both are called where the
+    rows are, a document's groups apart from one another.  A document without any note has a null summary.
+    """
+    import pandas as pd
+
+    kind = dict(passages.dtypes)[document]
+    grouped = summary_groups(passages, document, order)
+
+    def noted(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        return pd.DataFrame({document: pdf[document].iloc[:1], "stage": pdf["stage"].iloc[:1], "note": [note(pdf[text].tolist())], "n": [len(pdf)]})
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        notes = [x for x in pdf.sort_values("stage")["note"] if x]
+        return pd.DataFrame({document: pdf[document].iloc[:1], "summary": [whole(notes) if notes else None], "notes": [len(notes)], "covered": [int(pdf["n"].sum())]})
+
+    notes = grouped.filter("covered").groupBy(document, "stage").applyInPandas(noted, f"{document} {kind}, stage int, note string, n bigint")
+    told = notes.groupBy(document).applyInPandas(joined, f"{document} {kind}, summary string, notes int, covered bigint")
+    counted = grouped.groupBy(document).agg(F.count("*").alias("passages"))
+    return told.join(counted, document).withColumn("partial", F.col("covered") < F.col("passages"))

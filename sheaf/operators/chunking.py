@@ -54,14 +54,14 @@ def passages(text: str, limit: int, unit: str = "chars") -> list[tuple[int, int]
     return merged
 
 
-def chunk(texts: DataFrame, key: str, text: str, pages: str | None = None, limit: int = INDEX_CHARS, unit: str = "chars") -> DataFrame:
+def chunk(texts: DataFrame, key: str, text: str, pages: str | None = None, limit: int = INDEX_CHARS, unit: str = "chars", with_text: bool = True) -> DataFrame:
     """(key, ordinal, start_offset, end_offset, page, chunk_text); offsets in UTF-8 bytes, page null where there are none.
 
     Null and blank texts give no passage; repeated rows count once; page ranges beyond the text are clipped.
     """
     kind = dict(texts.dtypes)[key]
     page_col = F.col(pages) if pages else F.lit(None).cast("array<struct<page:int,start_offset:bigint,end_offset:bigint>>")
-    rows = texts.select(F.col(key), F.col(text).alias("__text"), page_col.alias("__pages")).filter(f"{key} IS NOT NULL AND __text IS NOT NULL").distinct()
+    rows = texts.select(F.col(key), F.col(text).alias("__text"), page_col.alias("__pages")).filter(f"{key} IS NOT NULL AND __text IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -76,4 +76,6 @@ def chunk(texts: DataFrame, key: str, text: str, pages: str | None = None, limit
                         n += 1
             yield pd.DataFrame(out, columns=[key, "ordinal", "start_offset", "end_offset", "page", "chunk_text"], dtype=object)
 
-    return rows.mapInPandas(run, f"{key} {kind}, ordinal int, start_offset bigint, end_offset bigint, page int, chunk_text string")
+    cut = rows.mapInPandas(run, f"{key} {kind}, ordinal int, start_offset bigint, end_offset bigint, page int, chunk_text string")
+    # a text delivered twice gives equal passages; where their text is not asked for it is not moved
+    return cut.distinct() if with_text else cut.drop("chunk_text").distinct()

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import remove, staged
+
+#: Rounds after which something is wrong: paths of 2**MOST_ROUNDS nodes need no more.
+MOST_ROUNDS = 64
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,14 +42,19 @@ def connected_components(edges: DataFrame, left: str, right: str, node: str = "n
     in one task.
     """
     raw = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    current = stage(raw.filter("u <> v").distinct(), "edges")
+    spark = edges.sparkSession
+    current, path = staged(raw.filter("u <> v").distinct(), "edges")
     before = None
-    while True:
-        current = stage(_small_star(_large_star(current)), "star")
+    for _ in range(MOST_ROUNDS):
+        following, written = staged(_small_star(_large_star(current)), "star")
+        remove(spark, path)
+        current, path = following, written
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
         before = tuple(now)
+    else:
+        raise ArithmeticError(f"components did not settle in {MOST_ROUNDS} rounds")
     star = current.select(F.col("u").alias(node), F.col("v").alias(root))
     roots = star.select(F.col(root).alias(node)).distinct().withColumn(root, F.col(node))
     loops = raw.filter("u = v").select(F.col("u").alias(node)).distinct().withColumn(root, F.col(node))

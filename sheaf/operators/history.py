@@ -76,3 +76,41 @@ def rebuilt_activity(plans: DataFrame, history_: DataFrame, outcomes: DataFrame,
     met = a.join(b, [plan, index], "full").join(c, [plan, index], "full")
     done = F.coalesce("in_history", F.lit(False))
     return met.select(plan, index, F.coalesce("in_plan", F.lit(False)).alias("in_plan"), done.alias("in_history"), F.coalesce("__outcome", F.when(done, "succeeded").otherwise("notStarted")).alias("outcome"))
+
+
+def page_with_more(rows: DataFrame, order: list[str], after: tuple | None, size: int = PAGE) -> DataFrame:
+    """keyset_page with has_more: whether rows follow the page; one row more than the page is looked at."""
+    ahead = keyset_page(rows, order, after, size + 1)
+    turned = ahead.withColumns({"__n": F.expr(f"row_number() OVER (ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in order)})"), "has_more": F.expr(f"count(*) OVER () > {size}")})
+    return turned.filter(F.col("__n") <= size).drop("__n")
+
+
+def recent(history_: DataFrame, scope: str, key: str, at: str, most: int = 8) -> DataFrame:
+    """(scope, key, last_at, place): the keys used last in each scope, each once; ties go to the smaller key."""
+    last = history_.filter(f"{key} IS NOT NULL AND {at} IS NOT NULL").groupBy(scope, key).agg(F.max(at).alias("last_at"))
+    return last.withColumn("place", F.expr(f"row_number() OVER (PARTITION BY {scope} ORDER BY last_at DESC, {key})")).filter(F.col("place") <= most)
+
+
+def state_faults(operations: DataFrame, observed: DataFrame, scope: str, path: str, content_hash: str) -> DataFrame:
+    """`operations` (scope, operation_kind, before_path, before_hash, after_path) with fault: why the state of the files
+    forbids one, null if nothing does.
+
+    targetMissing - what it changes is not there; targetChanged - it is another content than was seen; destinationExists -
+    a create, rename or move would write over something (paths without case).
+    """
+    now = observed.filter(f"{path} IS NOT NULL").groupBy(scope, F.lower(path).alias("__low")).agg(F.max(content_hash).alias("__hash"))
+    reads, writes = F.col("operation_kind") != "create", F.col("operation_kind").isin("create", "rename", "move")
+    source = now.select(scope, F.col("__low").alias("__from"), F.col("__hash").alias("__now"), F.lit(True).alias("__there"))
+    target = now.select(scope, F.col("__low").alias("__to"), F.lit(True).alias("__taken"))
+    met = operations.withColumns({"__from": F.lower("before_path"), "__to": F.lower("after_path")}).join(source, [scope, "__from"], "left").join(target, [scope, "__to"], "left")
+    fault = (
+        F.when(reads & F.col("before_path").isNotNull() & F.col("__there").isNull(), "targetMissing")
+        .when(reads & F.col("before_path").isNotNull() & F.col("before_hash").isNotNull() & ~F.col("before_hash").eqNullSafe(F.col("__now")), "targetChanged")
+        .when(writes & F.col("__taken").isNotNull() & ~F.col("__from").eqNullSafe(F.col("__to")), "destinationExists")
+    )
+    return met.withColumn("fault", fault).drop("__from", "__to", "__now", "__there", "__taken")
+
+
+def plan_review(operations: DataFrame, plan: str, kind: str, key: str) -> DataFrame:
+    """(plan, kind, operations, files): what a reviewer sees of a plan, by kind of operation."""
+    return operations.groupBy(plan, kind).agg(F.count("*").alias("operations"), F.count_distinct(key).alias("files"))

@@ -141,3 +141,98 @@ def first_findings(duplicates: DataFrame, links: DataFrame, most: int = 3) -> Da
     both = duplicates.withColumn("kind", F.lit(0)).unionByName(links.withColumn("kind", F.lit(1)))
     pairs = both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("kind").alias("kind"), F.bool_or(F.col("folder_a") != F.col("folder_b")).alias("cross_folder"))
     return pairs.orderBy("kind", F.desc("cross_folder"), "a", "b").limit(most).select(F.when(F.col("kind") == 0, "duplicate").otherwise("link").alias("kind"), "a", "b", "cross_folder")
+
+
+def pair_evidence(scores: DataFrame, left: str, right: str, left_at: str, right_at: str, cosine: str, least: float = 0.80, most: int = 6) -> DataFrame:
+    """(a, b, best, at_a, at_b, n, evidence): per two documents (a < b) the best pair of passages and up to `most` of
+    those from cosine `least` on, best first; ties go to the smaller place in a, then in b.
+
+    `scores` are pairs of passages that a search has found, so nothing is joined: one aggregation over a few numbers.
+    """
+    swap = F.col(left) > F.col(right)
+    turned = scores.filter(F.col(cosine).isNotNull() & ~F.isnan(cosine) & (F.col(left) != F.col(right))).select(
+        F.least(left, right).alias("a"), F.greatest(left, right).alias("b"), F.col(cosine).cast("double").alias("c"),
+        F.when(swap, F.col(right_at)).otherwise(F.col(left_at)).alias("at_a"), F.when(swap, F.col(left_at)).otherwise(F.col(right_at)).alias("at_b"),
+    ).groupBy("a", "b", "at_a", "at_b").agg(F.max("c").alias("c"))
+    ranked = turned.withColumn("__n", F.expr("row_number() OVER (PARTITION BY a, b ORDER BY c DESC, at_a, at_b)")).filter(F.col("__n") <= most)
+    sound = F.when(F.col("c") >= least, F.struct("__n", "at_a", "at_b"))
+    told = ranked.groupBy("a", "b").agg(F.min_by(F.struct("c", "at_a", "at_b"), "__n").alias("x"), F.array_sort(F.collect_list(sound)).alias("e"))
+    return told.select("a", "b", F.col("x.c").alias("best"), F.col("x.at_a").alias("at_a"), F.col("x.at_b").alias("at_b"), F.size("e").alias("n"), F.transform("e", lambda y: F.struct(y["at_a"].alias("at_a"), y["at_b"].alias("at_b"))).alias("evidence"))
+
+
+def edge_origin(kind: Column) -> tuple[Column, Column]:
+    """(origin, confirmed) of a relation by its kind: what is read from the files themselves is confirmed, all else is to be checked."""
+    origin = F.when(kind == "link", "document link").when(kind == "copy", "same bytes").when(kind == "model", "model").otherwise("embedding")
+    return origin, kind.isin("link", "copy")
+
+
+def starting_files(files: DataFrame, key: str, path: str, kind: str, value: str | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """(key) of the files a map starts from: all, one file, the files below a folder ('' for all), or the hits of a topic."""
+    ids = files.select(key, path).distinct()
+    if kind == "file":
+        ids = ids.filter(F.col(key).cast("string") == str(value))
+    elif kind == "folder":
+        ids = ids.filter(F.col(path).startswith(f"{value}/")) if value else ids
+    elif kind == "topic":
+        ids = ids.join(hits.select(key).distinct(), key, "left_semi") if hits is not None else ids.limit(0)
+    elif kind != "all":
+        raise ValueError(kind)
+    return ids.select(key)
+
+
+def touching(pairs: DataFrame, start: DataFrame, key: str) -> DataFrame:
+    """The pairs (a, b) of which at least one end is in `start`."""
+    s = start.select(F.col(key).alias("__s")).distinct()
+    a, b = pairs.join(s, F.col("a") == F.col("__s"), "left_semi"), pairs.join(s, F.col("b") == F.col("__s"), "left_semi")
+    return a.unionByName(b).distinct()
+
+
+def summary_scope(pairs: DataFrame, focus: int | str | None = None, most: int = 50) -> DataFrame:
+    """(document, place): the documents a summary of relations looks at - the focus, the ends of its strongest pairs, the
+    ends of the strongest pairs of all - in the order in which they come up.
+
+    `pairs` has a, b and strength; equal strengths go by a, then b.  Only the first pairs can matter: of each list as many
+    as documents are wanted are put in order, by a top-k.
+    """
+    spark = pairs.sparkSession
+    order = [F.desc("strength"), F.asc("a"), F.asc("b")]
+    kind = dict(pairs.dtypes)["a"]
+    empty = pairs.select("a", "b", "strength").limit(0)
+    near = pairs.filter((F.col("a") == F.lit(focus)) | (F.col("b") == F.lit(focus))).select("a", "b", "strength").orderBy(*order).limit(most) if focus is not None else empty
+    top = pairs.select("a", "b", "strength").orderBy(*order).limit(most)
+    both = near.withColumn("part", F.lit(1)).unionByName(top.withColumn("part", F.lit(2)))
+    placed = both.withColumn("n", F.expr("row_number() OVER (PARTITION BY part ORDER BY strength DESC, a, b)"))
+    ends = placed.select("part", "n", F.posexplode(F.array("a", "b")).alias("end", "document"))
+    if focus is not None:
+        own = pairs.filter((F.col("a") == F.lit(focus)) | (F.col("b") == F.lit(focus))).limit(1)
+        ends = own.select(F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit(0).alias("end"), F.lit(focus).cast(kind).alias("document")).unionByName(ends)
+    first = ends.groupBy("document").agg(F.min(F.struct("part", "n", "end")).alias("x")).orderBy("x").limit(most)
+    return first.select("document", F.expr("row_number() OVER (ORDER BY x)").alias("place"))
+
+
+def summary_selection(relations_: DataFrame, scope: DataFrame, focus: int | str | None = None, most: int = 8) -> DataFrame:
+    """(source, target, kind, score, place, passages): the relations inside a scope whose passages a summary reads.
+
+    `relations_` has source, target, kind (link, shared-fact, similarity), score and passages (array of struct document,
+    start, end).  Relations of the focus first, then by kind, the higher score, source and target; passages are taken in
+    that order, each once, until `most` are held; relations that add none to them are left out.
+    """
+    inside = scope.select("document")
+    met = relations_.join(inside.withColumnRenamed("document", "source"), "source", "left_semi").join(inside.withColumnRenamed("document", "target"), "target", "left_semi").filter(F.size("passages") > 0)
+    far = F.lit(1) if focus is None else F.when((F.col("source") == F.lit(focus)) | (F.col("target") == F.lit(focus)), 0).otherwise(1)
+    rank = F.when(F.col("kind") == "link", 0).when(F.col("kind") == "shared-fact", 1).otherwise(2)
+    ranked = met.withColumns({"__far": far, "__rank": rank, "__score": F.when(F.col("kind") == "link", F.lit(0.0)).otherwise(F.coalesce(F.col("score").cast("double"), F.lit(0.0)))})
+    # a scope has a bounded number of documents, so its relations are few and may be put in one order
+    placed = ranked.withColumn("place", F.expr("row_number() OVER (ORDER BY __far, __rank, __score DESC, source, target)"))
+    each = placed.select("place", F.posexplode("passages").alias("n", "p"))
+    first = each.groupBy("p").agg(F.min(F.struct("place", "n")).alias("x"))
+    held = first.select("p", F.col("x.place").alias("place"), F.expr("row_number() OVER (ORDER BY x)").alias("turn")).filter(F.col("turn") <= most)
+    kept = held.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "p"))), lambda y: y["p"]).alias("taken"))
+    return placed.join(kept, "place").select("source", "target", "kind", "score", "place", F.col("taken").alias("passages"))
+
+
+def next_job(pending: DataFrame, scope: str, seq: str, pointers: DataFrame, pointer: str) -> DataFrame:
+    """(scope, seq) of the next piece of work of each scope: the first at or after its pointer, else the first of all."""
+    at = pending.join(pointers.select(scope, pointer), scope, "left")
+    best = at.groupBy(scope).agg(F.min(F.struct((F.col(seq) < F.coalesce(pointer, F.lit(0))).alias("wrapped"), F.col(seq).alias("s"))).alias("x"))
+    return best.select(scope, F.col("x.s").alias(seq))

@@ -53,3 +53,61 @@ def under_any(path: Column, prefixes: list[str]) -> Column:
     for p in prefixes:
         got |= (path == p) | path.startswith(f"{p.rstrip('/')}/")
     return got
+
+
+def retry_outcomes(before: DataFrame, now: DataFrame, key: str, now_ms: Column, supported: Column, asked: DataFrame | None = None) -> DataFrame:
+    """(key, outcome): scan_outcomes with the two outcomes that need more than two states.
+
+    `before` has also failures and failed_ms of unreadable files.  A file that is there but not `supported` (a column of
+    `now`) is unsupported unless it is unchanged; an unreadable one whose wait is not over, that has not changed since and
+    that is not among the keys `asked` for again, is deferredStale or deferredFailed: it is not read.
+    """
+    told = scan_outcomes(before, now, key)
+    kept = before.select(key, "failures", "failed_ms", F.col("size_bytes").alias("__size"), F.col("modified_at").alias("__at"), F.col("status").alias("__status"))
+    here = now.select(key, supported.alias("__supported"), F.col("size_bytes").alias("__size_now"), F.col("modified_at").alias("__at_now"))
+    met = told.join(kept, key, "left").join(here, key, "left")
+    wanted = F.lit(False)
+    if asked is not None:
+        met = met.join(asked.select(key).distinct().withColumn("__asked", F.lit(True)), key, "left")
+        wanted = F.coalesce("__asked", F.lit(False))
+    changed = ~(F.col("__size").eqNullSafe(F.col("__size_now")) & F.col("__at").eqNullSafe(F.col("__at_now")))
+    waits = F.col("__status").isin("stale", "failed") & ~retry_due(F.coalesce("failures", F.lit(0)), F.coalesce("failed_ms", F.lit(0)), now_ms, changed) & ~wanted
+    outcome = (
+        F.when(F.col("outcome") == "removed", "removed")
+        .when(F.coalesce(waits, F.lit(False)), F.when(F.col("__status") == "stale", "deferredStale").otherwise("deferredFailed"))
+        .when((F.col("outcome") != "unchanged") & ~F.coalesce("__supported", F.lit(True)), "unsupported")
+        .otherwise(F.col("outcome"))
+    )
+    return met.select(key, outcome.alias("outcome"))
+
+
+def scan_counters(outcomes: DataFrame) -> DataFrame:
+    """One row: added, updated, removed, unchanged, unsupported, failed, stale, deferred and relink.
+
+    What is deferred also counts as stale or failed; it changed nothing, so it does not call for links to be found anew.
+    """
+    n = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    told = outcomes.agg(
+        n("added").alias("added"), n("updated", "metadata").alias("updated"), n("removed").alias("removed"), n("unchanged").alias("unchanged"), n("unsupported").alias("unsupported"),
+        n("failed", "deferredFailed").alias("failed"), n("stale", "deferredStale").alias("stale"), n("deferredStale", "deferredFailed").alias("deferred"), n("deferredFailed").alias("__d"),
+    )
+    return told.withColumn("relink", F.expr("added + updated + removed + unsupported + failed - __d > 0")).drop("__d")
+
+
+def recorded_failures(failed: DataFrame, before: DataFrame, key: str, signature: str, now_ms: Column) -> DataFrame:
+    """(key, status, failures, retry_after_ms) of files that could not be read: a file that was searchable stays so, as
+    stale; any other is failed.  The same failure of the same file (by signature) counts on, another begins at 1."""
+    old = before.select(key, F.col("status").alias("__status"), F.col("failures").alias("__failures"), F.col(signature).alias("__signature"))
+    met = failed.select(key, signature).join(old, key, "left")
+    again = F.col("__status").isin("stale", "failed") & F.col("__signature").eqNullSafe(F.col(signature))
+    failures = F.when(again, F.coalesce("__failures", F.lit(0)) + 1).otherwise(1)
+    status = F.when(F.col("__status").isin("indexed", "stale"), "stale").otherwise("failed")
+    return met.select(key, status.alias("status"), failures.cast("int").alias("failures"), F.when(retry_wait(failures) > 0, now_ms + retry_wait(failures)).alias("retry_after_ms"))
+
+
+def without_derived(rows: DataFrame, gone: DataFrame, *keys: str, name: str = "document_id") -> DataFrame:
+    """`rows` without what was derived from documents (column `name` of `gone`) that are no more or could not be read anew,
+    whichever of the columns `keys` names them."""
+    for k in keys:
+        rows = rows.join(gone.select(F.col(name).alias(k)).distinct(), k, "left_anti")
+    return rows

@@ -317,7 +317,38 @@ def test_facts(spark):
     assert [f[:6] for f in facts.text_facts(a)] == [("date", "event", "green valley", False, 10, 20)]
     assert facts.text_facts(b) == []
     df = spark.createDataFrame([(1, a), (2, b), (3, c), (4, None), (3, c)], "id long, t string")
-    assert got(facts.shared_facts(facts.clause_facts(df, "id", "t"), "id")) == [(1, 3, "date", "event", "green valley", 1)]
+    told = facts.clause_facts(df, "id", "t")
+    # the year of 3 makes one class with 1, which names none
+    assert got(facts.shared_facts(told, "id")) == [(1, 1, "date", "event", "green valley", 10, 20, -1, 2), (3, 1, "date", "event", "green valley", 10, 20, -1, 2)]
+    near = spark.createDataFrame([(1, 3, 0.9), (1, 2, 0.95), (2, 3, 0.1)], "a long, b long, cosine double")
+    assert got(facts.fact_links(told, near, "id")) == [(1, 3, "date", "event", "green valley")]
+    assert facts.fact_links(told, near.withColumn("cosine", F.lit(0.5)), "id").collect() == []
+
+
+@pytest.mark.parametrize("text, want", [
+    ("The Green Valley submission is on Sept. 5.", [("date", "deadline", "green valley", 9, 5)]),
+    ("Green Valley meeting, Octubre 20.", []),  # the comma parts anchor and role
+    ("Ang huling araw ng Green Valley ay Octubre 20.", [("date", "deadline", "green valley", 10, 20)]),
+    ("Ang huling ulat ng Green Valley ay Octubre 20.", []),
+    ("'Di tuloy ang pulong ng Green Valley sa Oktubre 20.", []),
+    ("The Green Valley meeting is on Oct 20 2026.", [("date", "event", "green valley", 10, 20)]),
+    ("The Green Valley meeting is on May 3.", [("date", "event", "green valley", 5, 3)]),
+    ("may 3 estudyante sa Green Valley meeting.", [("quantity", "person", "green valley", None, None)]),
+    ("On page 20 students of Green Valley.", []),
+    ("The Green Valley meeting and the submission are on Oct 20.", []),
+])
+def test_facts_of_a_clause(text, want):
+    assert [(f[0], f[1], f[2], f[4], f[5]) for f in facts.text_facts(text)] == want
+
+
+def test_fact_classes(spark):
+    """Two years are two classes, a text without a year is in both; headings alone are no match; many texts make no pairs."""
+    one = "The Green Valley meeting is on October 20{}."
+    rows = [(1, one.format("")), (2, one.format(" 2026")), (3, one.format(" 2027")), (4, "# Red Hill Trail\nThe meeting is on May 3."), (5, "# Red Hill Trail\nThe meeting is on May 3.")]
+    told = facts.clause_facts(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    assert {(r.id, r.class_id, r.n_texts) for r in facts.shared_facts(told, "id").collect()} == {(1, 1, 2), (2, 1, 2), (3, 1, 2)}
+    many = spark.range(3000).select("id", F.lit(one.format("")).alias("t"))
+    assert facts.shared_facts(facts.clause_facts(many, "id", "t"), "id").count() == 3000
 
 
 @pytest.mark.parametrize("unit, limit", [("chars", 60), ("bytes", 40)])

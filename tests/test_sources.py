@@ -37,7 +37,7 @@ def test_upsert_and_stream(spark, tmp_path):
     rows.filter("v = 'a'").withColumn("v", F.lit("late")).unionByName(spark.createDataFrame([(3, "new", at(3))], rows.schema)).write.parquet(landing)
     for _ in range(2):
         ingest.ingest(ingest.watch(spark, landing, "id int, v string, at timestamp"), table, str(tmp_path / f"cp{_}"), ["id"], "at").awaitTermination()
-    assert sorted((r.id, r.v) for r in spark.read.parquet(table).collect()) == [(1, "b"), (2, "c"), (3, "new")]
+    assert sorted((r.id, r.v) for r in folder.read_table(spark, table).collect()) == [(1, "b"), (2, "c"), (3, "new")]
 
 
 def test_retry_stream(spark, tmp_path):
@@ -54,3 +54,59 @@ def test_export_and_stage(spark, tmp_path):
     folder.export_json(df, str(tmp_path / "out"))
     assert os.listdir(tmp_path / "out") and spark.read.json(str(tmp_path / "out")).count() == 1
     assert stage(df).schema == df.schema and shared_dir(spark) == shared_dir(spark)
+
+
+def test_upsert_states(spark, tmp_path):
+    """Only touched divisions are written, a reader keeps its state, and a second writer of one version fails."""
+    at = datetime.datetime(2025, 1, 1)
+    table = str(tmp_path / "t")
+    make = lambda rows: spark.createDataFrame(rows, "id int, v string, at timestamp")
+    folder.upsert(table, make([(i, "a", at) for i in range(200)]), ["id"], "at", parts=8)
+    first = folder._manifest(spark, table)
+    reader = folder.read_table(spark, table)
+    folder.upsert(table, make([(7, "b", at + datetime.timedelta(1)), (7, "old", None), (9, "old", None)]), ["id"], "at")
+    second = folder._manifest(spark, table)
+    assert sum(first["parts"][p] != second["parts"][p] for p in first["parts"]) <= 2 and second["version"] == 2
+    assert {r.v for r in reader.collect()} == {"a"}
+    assert sorted({(r.id, r.v) for r in folder.read_table(spark, table).collect() if r.id in (7, 9)}) == [(7, "b"), (9, "a")]
+    folder.upsert(table, make([]), ["id"], "at")
+    assert folder._manifest(spark, table)["version"] == 2 and folder.read_table(spark, table).count() == 200
+    os.makedirs(f"{table}/_states", exist_ok=True)
+    open(f"{table}/_states/x.tmp", "w").close()
+    assert folder._manifest(spark, table)["version"] == 2
+
+
+def _pdf(pages, encrypt=False):
+    """A PDF with a compressed content stream per page."""
+    import zlib
+
+    kids = " ".join(f"{3 + 2 * n} 0 R" for n in range(len(pages)))
+    out = [b"%PDF-1.4\n", b"1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n", f"2 0 obj\n<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>\nendobj\n".encode()]
+    for n, content in enumerate(pages):
+        data = zlib.compress(content)
+        out.append(f"{3 + 2 * n} 0 obj\n<< /Type /Page /Parent 2 0 R /Contents {4 + 2 * n} 0 R >>\nendobj\n{4 + 2 * n} 0 obj\n<< /Length {len(data)} /Filter /FlateDecode >>\nstream\n".encode() + data + b"\nendstream\nendobj\n")
+    return b"".join(out) + (b"trailer << /Encrypt 9 0 R >>" if encrypt else b"trailer << /Root 1 0 R >>") + b"\n%%EOF"
+
+
+def test_pdf(spark, tmp_path):
+    pages = [rb"BT /F1 12 Tf 10 700 Td (First \(page\)) Tj 0 -14 Td [(se) -20 (cond) -300 (line)] TJ ET", b"", rb"BT (\251ni\361o) ' <48692E> Tj ET", b"BT (\x01\x02\x03\x04\x05\x06) Tj ET"]
+    root = tmp_path / "lib"
+    root.mkdir()
+    for name, data in {"a.pdf": _pdf(pages), "locked.pdf": _pdf(pages, True), "bad.pdf": b"%PDF-1.4 nothing", "t.txt": b"plain"}.items():
+        (root / name).write_bytes(data)
+    got = {r.relative_path: r for r in folder.read_documents(spark, str(root)).collect()}
+    a = got["a.pdf"]
+    assert a.content == "First (page)\nsecond line\n\n©niñoHi." and a.unreadable_pages == [2, 4] and a.title == "First (page)"
+    assert [(p.page, a.content.encode()[p.start_offset : p.end_offset].decode()) for p in a.pages] == [(1, "First (page)\nsecond line"), (3, "©niñoHi.")]
+    assert got["locked.pdf"].content is None and got["bad.pdf"].content is None and got["t.txt"].content == "plain" and got["t.txt"].pages is None
+
+
+def test_staged_tables_are_removed(spark):
+    from sheaf.operators.components import connected_components
+    from sheaf.plans import staging
+
+    place = staging.own_dir(spark).removeprefix("file:")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
+    before = set(os.listdir(place)) if os.path.isdir(place) else set()
+    assert {r.component for r in connected_components(edges, "a", "b").collect()} == {0}
+    assert len(set(os.listdir(place)) - before) == 1
