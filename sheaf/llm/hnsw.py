@@ -31,13 +31,15 @@ def _beam(x: np.ndarray, nbr: np.ndarray, visited: np.ndarray, q: np.ndarray, en
     sims = np.full((b, ef), -np.inf, np.float32)
     done = np.ones((b, ef), bool)
     rows = np.arange(b)
-    touched: list[tuple[np.ndarray, np.ndarray]] = []
+    n_all = visited.shape[1]
+    seen = visited.reshape(-1)
+    touched: list[np.ndarray] = []
     for k in range(e):
         at = entry[:, k]
         ok = np.flatnonzero(at >= 0)
         ok = ok[~visited[ok, at[ok]]]
         visited[ok, at[ok]] = True
-        touched.append((ok, at[ok]))
+        touched.append(ok * n_all + at[ok])
         ids[ok, k] = at[ok]
         sims[ok, k] = np.einsum("ij,ij->i", x[at[ok]], q[ok])
         done[ok, k] = False
@@ -58,14 +60,13 @@ def _beam(x: np.ndarray, nbr: np.ndarray, visited: np.ndarray, q: np.ndarray, en
             c = col[open_]
             d_[open_, c] = True
             near = nbr[i_[open_, c]]
-            r = np.repeat(open_, width)
+            spot = (near + (active[open_] * n_all)[:, None]).ravel()
             near = near.ravel()
-            ok = near >= 0
-            at = active[r]
-            ok &= ~visited[at, near]
-            r, near, at = r[ok], near[ok], at[ok]
-            visited[at, near] = True
-            touched.append((at, near))
+            ok = np.flatnonzero(near >= 0)
+            ok = ok[~seen[spot[ok]]]
+            spot, near, r = spot[ok], near[ok], open_[ok // width]
+            seen[spot] = True
+            touched.append(spot)
             fresh_r.append(r)
             fresh_id.append(near)
         done[active] = d_
@@ -93,8 +94,8 @@ def _beam(x: np.ndarray, nbr: np.ndarray, visited: np.ndarray, q: np.ndarray, en
                 sims[at], ids[at] = all_s[line, top], all_i[line, top]
                 done[at] = all_d[line, top] | (ids[at] < 0)
         active = active[~done[active].all(axis=1)]
-    for r, n in touched:
-        visited[r, n] = False
+    for spot in touched:
+        seen[spot] = False
     return ids, sims
 
 

@@ -148,7 +148,7 @@ def _answered(k: int, ef: int, least: float, ef_build: int, links: dict[str, int
     return run
 
 
-def nearest(vectors: DataFrame, spaces: DataFrame, k: int = 10, least: float = -2.0, ef: int = 16, ef_build: int = 16, margin: float = 0.08, dense: bool = False, asking: Column | None = None, key: str = "chunk_id", space: str = "space_id", vector: str = "vector") -> DataFrame:
+def nearest(vectors: DataFrame, spaces: DataFrame, k: int = 10, least: float = -2.0, ef: int = 20, ef_build: int = 16, margin: float = 0.09, dense: bool = False, asking: Column | None = None, key: str = "chunk_id", space: str = "space_id", vector: str = "vector") -> DataFrame:
     """(space, id, neighbor, cosine, rank): the k most similar vectors of the same space found for each asking row.
 
     Among equal cosines the smaller id is first; pairs below cosine `least` are not returned.  A vector takes part if
