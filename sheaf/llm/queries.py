@@ -47,13 +47,13 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, d, "document_texts"), "file_id", "content").withColumnRenamed("id", "file_id")
 
 
-def _passages(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_passages(table(spark, d, "document_texts"), table(spark, d, "indexed_documents"), table(spark, d, "split_limits"))
+def _passages(spark: SparkSession, d: str, oversized: bool = False) -> DataFrame:
+    return splitting.split_passages(table(spark, d, "document_texts"), table(spark, d, "indexed_documents"), table(spark, d, "split_limits"), oversized=oversized)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Items that had to be cut: those with a second passage."""
-    return _passages(spark, d).filter("passage_no = 1").select("file_id", "page")
+    return _passages(spark, d, oversized=True).filter("passage_no = 1").select("file_id", "page")
 
 
 def p4_passages(spark: SparkSession, d: str) -> DataFrame:

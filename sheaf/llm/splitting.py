@@ -82,28 +82,32 @@ def split_item(data: bytes, start: int, end: int, limit: int, overlap: int) -> l
     return passages
 
 
-def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out: dict[str, list] = {"id": [], "page": [], "passage_no": [], "start_offset": [], "end_offset": [], "item_bytes": []}
-        for id_, text, pages, limit, overlap in zip(pdf["id"], pdf["text"], pdf["pages"], pdf["limit"], pdf["overlap"]):
-            data = text.encode()
-            items = [(0, 0, len(data))] if pages is None else [(p["page"], p["start_offset"], p["end_offset"]) for p in pages if p is not None]
-            for page, a, b in items:
-                if page is None or a is None or b is None:
-                    continue
-                a, b = max(0, min(a, len(data))), max(0, min(b, len(data)))
-                while 0 < a < len(data) and data[a] & 0xC0 == 0x80:
-                    a -= 1
-                while 0 < b < len(data) and data[b] & 0xC0 == 0x80:
-                    b += 1
-                for n, (s, e) in enumerate(split_item(data, a, b, int(limit), int(overlap))):
-                    for column, value in zip(out.values(), (id_, page, n, s, e, b - a)):
-                        column.append(value)
-        yield pd.DataFrame(out)
-
-
-def split_passages(texts: DataFrame, files: DataFrame, limits: DataFrame, key: str = "file_id", text: str = "content") -> DataFrame:
-    """Passages of every item: (key, page, passage_no, start_offset, end_offset, item_bytes), offsets in UTF-8 bytes.
+def _split(oversized: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: dict[str, list] = {"id": [], "page": [], "passage_no": [], "start_offset": [], "end_offset": [], "item_bytes": []}
+            for id_, text, pages, limit, overlap in zip(pdf["id"], pdf["text"], pdf["pages"], pdf["limit"], pdf["overlap"]):
+                data = text.encode()
+                items = [(0, 0, len(data))] if pages is None else [(p["page"], p["start_offset"], p["end_offset"]) for p in pages if p is not None]
+                for page, a, b in items:
+                    if page is None or a is None or b is None:
+                        continue
+                    a, b = max(0, min(a, len(data))), max(0, min(b, len(data)))
+                    while 0 < a < len(data) and data[a] & 0xC0 == 0x80:
+                        a -= 1
+                    while 0 < b < len(data) and data[b] & 0xC0 == 0x80:
+                        b += 1
+                    if oversized and b - a <= limit:
+                        continue
+                    for n, (s, e) in enumerate(split_item(data, a, b, int(limit), int(overlap))):
+                        for column, value in zip(out.values(), (id_, page, n, s, e, b - a)):
+                            column.append(value)
+            yield pd.DataFrame(out)
+    return run
+
+
+def split_passages(texts: DataFrame, files: DataFrame, limits: DataFrame, key: str = "file_id", text: str = "content", oversized: bool = False) -> DataFrame:
+    """Passages of every item, or with `oversized` of those over their limit only: (key, page, passage_no, start_offset, end_offset, item_bytes), offsets in UTF-8 bytes.
 
     `texts` has key, text and pages; `files` has key and media_type; `limits` has media_type, max_bytes and
     overlap_bytes.  Items are the entries of pages, or the whole text as page 0 where pages is null; none crosses a
@@ -111,14 +115,18 @@ def split_passages(texts: DataFrame, files: DataFrame, limits: DataFrame, key: s
     passage; offsets beyond the text are clipped and moved out to character boundaries; a repeated row counts once;
     an overlap of more than half the limit counts as half; other columns are ignored.
 
-    One shuffle brings the media type to each text (the text table is the large side and is sorted by key there
-    anyway, which also drops repeated rows); cutting is local to a row.  `limits` is a table of a few rows per media
-    type and is broadcast.
+    Where only oversized items are wanted, texts that hold nothing longer than the least limit are left out before
+    anything is moved.  One join brings the media type to each text; cutting is local to a row, and what a row delivered
+    twice gives is made distinct as passages, not as texts.  `limits` is a table of a few rows per media type and is
+    broadcast; its least limit comes to the driver.
     """
     kinds = limits.select("media_type", F.col("max_bytes").alias("limit"), F.coalesce("overlap_bytes", F.lit(0)).alias("overlap")).filter("limit > 0").dropDuplicates(["media_type"])
     meta = files.select(F.col(key).alias("id"), "media_type").filter("id IS NOT NULL").groupBy("id").agg(F.min("media_type").alias("media_type"))
     limited = meta.join(F.broadcast(kinds), "media_type").select("id", "limit", "overlap")
     rows = texts.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col("pages")).filter("id IS NOT NULL AND text IS NOT NULL")
-    joined = rows.join(limited, "id")
-    once = joined.withColumn("turn", F.expr("row_number() OVER (PARTITION BY id ORDER BY length(text) DESC)")).filter("turn = 1").drop("turn")
-    return once.mapInPandas(_split, "id bigint, page int, passage_no int, start_offset bigint, end_offset bigint, item_bytes bigint").withColumnRenamed("id", key)
+    if oversized:
+        least = kinds.agg(F.min("limit")).first()[0] or 0
+        long_ = F.when(F.col("pages").isNull(), F.octet_length("text") > least).otherwise(F.exists("pages", lambda p: p["end_offset"] - p["start_offset"] > least - 6))  # ends may move to character boundaries
+        rows = rows.filter(long_)
+    cut = rows.join(limited, "id").mapInPandas(_split(oversized), "id bigint, page int, passage_no int, start_offset bigint, end_offset bigint, item_bytes bigint")
+    return cut.distinct().withColumnRenamed("id", key)

@@ -149,6 +149,9 @@ def test_split_passages(spark):
     limits = spark.createDataFrame([("text/plain", 100, 20)], "media_type string, max_bytes int, overlap_bytes int")
     rows = splitting.split_passages(texts, files, limits).collect()
     assert {(r.file_id, r.page) for r in rows} == {(1, 0), (2, 1), (2, 2), (5, 0)}
+    assert got(splitting.split_passages(texts, files, limits, oversized=True)) == {tuple(r) for r in rows}
+    short = splitting.split_passages(texts, files, limits.withColumn("max_bytes", F.lit(152)), oversized=True)
+    assert {(r.file_id, r.page) for r in short.collect()} == {(5, 0)}
     assert max(r.end_offset - r.start_offset for r in rows) <= 100
     assert all(page[: r.end_offset].endswith(". ") for r in rows if r.file_id == 1)
     assert splitting.split_passages(texts.limit(0), files, limits).collect() == []
