@@ -28,7 +28,7 @@ def activity_page(spark, d):
 
 @query(f"""
 WITH {_H}, p AS (SELECT workspace_id, plan_id, max(applied_at) AS last_at FROM h WHERE plan_id IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY last_at DESC NULLS LAST, plan_id DESC) AS turn FROM p)
-SELECT workspace_id, plan_id, turn, turn <= 100 AS recoverable FROM r
+SELECT workspace_id, plan_id, CASE WHEN turn <= 100 THEN turn END AS turn, turn <= 100 AS recoverable FROM r
 """)
 def prune_flags(spark, d):
     told = history.prune_flags(_history(spark, d, "workspace_id", "plan_id", "applied_at"), "workspace_id", "plan_id", "applied_at")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import relations, ripple
+from ..operators import relations, ripple, similar
 from ..operators.components import connected_components
 from ..sources.tables import table
 from . import query
@@ -150,13 +150,30 @@ def pair_coverage(spark, d):
 
 @query("""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 5) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.e, b.e), 6) >= 0.4
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 5) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.4
 """)
 def similarity_edges(spark, d):
-    """Pairs of vectors of one label with cosine of at least 0.4, unit vectors computed once per row."""
-    v = table(spark, d, "embeddings").select("vec_id", "label", V.unit(F.col("embedding")).alias("u"))
-    met = v.select("label", F.col("vec_id").alias("a"), F.col("u").alias("x")).join(v.select("label", F.col("vec_id").alias("b"), F.col("u").alias("y")), "label").filter("a < b")
-    return met.select("a", "b", V.dot(F.col("x"), F.col("y")).alias("s")).filter(F.round("s", 6) >= 0.4).select("a", "b", F.round("s", 5).alias("score"))
+    """Pairs of vectors of one label with cosine of at least 0.4; the synthetic embeddings stand for files, their labels for workspaces."""
+    met = similar.similar_pairs(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.4)
+    return met.select("a", "b", F.round("cosine", 5).alias("score"))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT chunk_id, workspace_id, document_id, ordinal FROM chunks), w AS (SELECT DISTINCT chunk_id, vector FROM chunk_vectors WHERE space_id = 'space-main' AND vector IS NOT NULL AND len(vector) = 64),
+v AS (SELECT c.*, vector::DOUBLE[] AS e FROM w JOIN c USING (chunk_id) WHERE len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(vector::DOUBLE[], vector::DOUBLE[]) > 0),
+p AS (SELECT a.document_id AS l, b.document_id AS r, a.ordinal AS lo, b.ordinal AS ro, list_cosine_similarity(a.e, b.e) AS cos FROM v a JOIN v b ON a.workspace_id = b.workspace_id AND a.document_id < b.document_id WHERE list_cosine_similarity(a.e, b.e) >= 0.8),
+g AS (SELECT l AS a, r AS b, lo AS at_a, ro AS at_b, max(round(cos, 6)) AS c FROM p GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY c DESC, at_a, at_b) AS n FROM g)
+SELECT a, b, round(max(c), 5) AS best, (max(at_a) FILTER (WHERE n = 1))::INTEGER AS at_a, (max(at_b) FILTER (WHERE n = 1))::INTEGER AS at_b, (count(*) FILTER (WHERE n <= 6))::INTEGER AS n FROM k GROUP BY a, b
+""")
+def similarity_relation(spark, d):
+    """Documents of a workspace that are similar by their passages: the best pair of passages and how many speak for it, over all vectors."""
+    chunks = table(spark, d, "chunks").select("chunk_id", "workspace_id", "document_id", "ordinal").distinct()
+    v = table(spark, d, "chunk_vectors").filter("space_id = 'space-main'").select("chunk_id", "vector").filter(V.usable(F.col("vector"), F.lit(64))).join(chunks.select("chunk_id", "workspace_id"), "chunk_id")
+    met = similar.similar_pairs(v, "workspace_id", "chunk_id", "vector", 0.8)
+    about = lambda x, at, doc: chunks.select(F.col("chunk_id").alias(x), F.col("document_id").alias(doc), F.col("ordinal").alias(at))
+    pairs = met.join(about("a", "lo", "l"), "a").join(about("b", "ro", "r"), "b").select("l", "r", "lo", "ro", F.round("cosine", 6).alias("cosine"))
+    told = relations.pair_evidence(pairs, "l", "r", "lo", "ro", "cosine", 0.0)
+    return told.select("a", "b", F.round("best", 5).alias("best"), "at_a", "at_b", "n")
 
 
 @query(f"""

@@ -17,10 +17,13 @@ def keyset_page(rows: DataFrame, order: list[str], after: tuple | None, size: in
 
 
 def prune_flags(history: DataFrame, scope: str, plan: str, at: str, kept: int = KEPT_PLANS) -> DataFrame:
-    """(scope, plan, turn, recoverable): only the newest `kept` plans of each scope stay recoverable."""
+    """(scope, plan, turn, recoverable): only the newest `kept` plans of each scope stay recoverable and have a turn.
+
+    Only those are put in order, by a limit that each partition applies first, so a scope of any size is no one task.
+    """
     plans = history.filter(f"{plan} IS NOT NULL").groupBy(scope, plan).agg(F.max(at).alias("__at"))
-    turned = plans.withColumn("turn", F.expr(f"row_number() OVER (PARTITION BY {scope} ORDER BY __at DESC NULLS LAST, {plan} DESC)"))
-    return turned.select(scope, plan, "turn", (F.col("turn") <= kept).alias("recoverable"))
+    newest = plans.withColumn("turn", F.expr(f"row_number() OVER (PARTITION BY {scope} ORDER BY __at DESC NULLS LAST, {plan} DESC)")).filter(F.col("turn") <= kept)
+    return plans.select(scope, plan).join(newest.select(scope, plan, "turn"), [scope, plan], "left").withColumn("recoverable", F.col("turn").isNotNull())
 
 
 def settled(operations: DataFrame, plan: str, index: str, failed: Column, cancelled_after: Column | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import folder_of, linked_path, markdown_links
 
 DISPLAYED, STORED = 8, 32
+#: Numbers of documents that a running sum takes at once.
+DIVISION = 65_536
 
 
 def explicit_links(texts: DataFrame, files: DataFrame, key: str, scope: str, path: str, text: str) -> DataFrame:
@@ -80,7 +82,12 @@ def pair_coverage(admitted: DataFrame, scope: list[str], seq: str, cursor: str)
     """
     marks = admitted.select(*scope, F.col(seq).alias("at"), F.lit(0).alias("is_cursor")).unionByName(admitted.select(*scope, F.least(F.col(cursor), F.col(seq) - 1).alias("at"), F.lit(1).alias("is_cursor")))
     keys = ", ".join(scope)
-    counted = marks.withColumn("before", F.expr(f"sum(1 - is_cursor) OVER (PARTITION BY {keys} ORDER BY at, is_cursor ROWS UNBOUNDED PRECEDING)"))
+    # a running sum in two steps: over divisions of the numbers, and inside each of them, so that a scope is no one task
+    part = marks.withColumn("__part", F.floor(F.col("at") / DIVISION))
+    whole = part.groupBy(*scope, "__part").agg(F.sum(1 - F.col("is_cursor")).alias("__m"))
+    ahead = whole.withColumn("__ahead", F.expr(f"coalesce(sum(__m) OVER (PARTITION BY {keys} ORDER BY __part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")).drop("__m")
+    inside = part.withColumn("__before", F.expr(f"sum(1 - is_cursor) OVER (PARTITION BY {keys}, __part ORDER BY at, is_cursor ROWS UNBOUNDED PRECEDING)"))
+    counted = inside.join(ahead, [*scope, "__part"]).withColumn("before", F.col("__before") + F.col("__ahead"))
     told = counted.groupBy(*scope).agg(F.sum(1 - F.col("is_cursor")).alias("documents"), F.sum(F.when(F.col("is_cursor") == 1, F.col("before")).otherwise(0)).alias("compared"))
     pairs = (F.col("documents") * (F.col("documents") - 1) / 2).cast("bigint")
     return told.select(*scope, "documents", pairs.alias("pairs"), "compared", (pairs - F.col("compared")).alias("remaining"), F.when(pairs == F.col("compared"), "complete").otherwise("partial").alias("state"))

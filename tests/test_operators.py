@@ -206,6 +206,86 @@ def test_ripple(spark):
     assert got(ripple.line_mentions(t, "id", "t", "May 20")) == [(2, 1, "May 20 na")]
 
 
+@pytest.mark.parametrize("block, dim", [(8192, 6), (40, 6), (25, 3)])
+def test_similar_pairs(spark, monkeypatch, block, dim):
+    """Every pair of a scope from the cosine on, however blocks are cut, with copies, dirt and widths that do not meet."""
+    from sheaf.operators import similar
+
+    monkeypatch.setattr(similar, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, dim))
+    v = [centres[i % 12] + rng.normal(size=dim) * 0.3 for i in range(300)] + [centres[0]] * 60
+    rows = [(i, "s" if i % 3 else "t", [float(x) for x in w]) for i, w in enumerate(v)]
+    dirt = [(900, "s", None), (901, "s", [0.0] * dim), (902, "s", [float("nan")] * dim), (903, None, rows[0][2]), (None, "s", rows[0][2]), (904, "s", [1.0]), (905, "s", [2.0]), rows[1], (906, "s", [])]
+    df = spark.createDataFrame(rows + dirt, "k long, w string, v array<double>").withColumn("block", F.lit("x"))
+    u = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = u @ u.T
+    want = {(rows[i][1], i, j) for i in range(360) for j in range(i + 1, 360) if rows[i][1] == rows[j][1] and cos[i, j] >= 0.9} | {("s", 904, 905)}
+    assert {tuple(r)[:3] for r in similar.similar_pairs(df, "w", "k", "v", 0.9).collect()} == want
+    assert similar.similar_pairs(df.limit(0), "w", "k", "v", 0.9).collect() == []
+
+
+def test_running_sums(spark, monkeypatch):
+    """Divisions of the numbers change nothing."""
+    rows = spark.createDataFrame([("w", i, (i * 7) % 40 + 1) for i in range(1, 60)] + [("v", 1, 1)], "s string, q long, c long")
+    whole = got(relations.pair_coverage(rows, ["s"], "q", "c"))
+    monkeypatch.setattr(relations, "DIVISION", 7)
+    assert got(relations.pair_coverage(rows, ["s"], "q", "c")) == whole
+
+
+def test_pair_evidence(spark):
+    rows = [("a", "b", 1, 5, 0.9), ("b", "a", 5, 1, 0.95), ("a", "b", 2, 4, 0.95), ("a", "b", 1, 6, 0.95), ("a", "b", 9, 9, 0.5), ("a", "a", 1, 2, 0.99), ("c", "b", 3, 1, 0.2), ("c", "d", 1, 1, None), ("c", "d", 1, 1, float("nan"))]
+    told = relations.pair_evidence(spark.createDataFrame(rows, "l string, r string, lo int, ro int, c double"), "l", "r", "lo", "ro", "c").collect()
+    assert sorted((r.a, r.b, r.best, r.at_a, r.at_b, [tuple(e) for e in r.evidence]) for r in told) == [("a", "b", 0.95, 1, 5, [(1, 5), (1, 6), (2, 4)]), ("b", "c", 0.2, 1, 3, [])]
+
+
+def test_summary_scope_and_selection(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.9), (3, 4, 0.7), (5, 6, 0.9)], "a int, b int, strength double")
+    order = lambda df: [r.document for r in df.orderBy("place").collect()]
+    assert order(relations.summary_scope(pairs, 4)) == [4, 3, 2, 5, 6, 1]
+    assert order(relations.summary_scope(pairs, 4, most=3)) == [4, 3, 2]
+    assert order(relations.summary_scope(pairs)) == [2, 3, 5, 6, 4, 1] and order(relations.summary_scope(pairs, 77)) == [2, 3, 5, 6, 4, 1]
+    p = lambda *d: [(x, 0, 9) for x in d]
+    rows = [(1, 2, "similarity", 0.9, p("x", "y")), (3, 4, "link", None, p("z")), (4, 2, "similarity", 0.1, p("y", "w")), (2, 3, "link", None, p()), (5, 9, "link", None, p("q"))]
+    df = spark.createDataFrame(rows, "source int, target int, kind string, score double, passages array<struct<document:string,start:int,end:int>>")
+    scope = relations.summary_scope(pairs, 4)
+    told = {(r.source, r.target): [x.document for x in r.passages] for r in relations.summary_selection(df, scope, 4, most=3).collect()}
+    assert told == {(3, 4): ["z"], (4, 2): ["y", "w"]}
+
+
+def test_highlight_and_lines(spark):
+    shown = lambda t, terms, **o: [(x.text, x.hit) for x in one(spark, T.highlighted(F.col("t"), terms, **o), t=t)]
+    assert shown("Plans: planning, explanation, PLÁN", ["plan"]) == [("Plans", True), (": ", False), ("planning", True), (", explanation, ", False), ("PLÁN", True)]
+    assert shown("El Niño", ["nino"]) == [("El ", False), ("Niño", True)] and shown("Nin\u0303o", ["nino"]) == [("Nin\u0303o", True)]
+    assert shown("1_b 1_bc 1 b", ["1_b"], whole=True) == [("1_b", True), (" 1_bc 1 b", False)]
+    assert shown("a+b (x)", ["a+b"], whole=True)[0] == ("a+b", True) and shown("", ["a"]) == [] and shown("abc", []) == [("abc", False)]
+    assert one(spark, T.line_at(F.col("t"), F.lit(6)), t="ab\n cd x \r\ne") == "cd x" and one(spark, T.line_at(F.col("t"), F.lit(1)), t="ab") == "ab"
+    assert one(spark, T.model_json(F.col("t")), t="```json\n{\"a\": 1}\n```") == '{"a": 1}' and one(spark, T.model_json(F.col("t")), t="Sure! {}") is None
+    assert one(spark, F.array_join(T.terms_in_order(F.col("t")), " "), t="b a B c a") == "b a c"
+    assert search.terms_in_order("b a B?c") == ["b", "a", "c"] and search.match_expression(["a", "b c", ""]) == '"a"' and search.match_expression([]) is None
+
+
+def test_scan_with_retries(spark):
+    before = spark.createDataFrame([(1, 5, 1, "h", "failed", 3, 0), (2, 5, 1, "h", "stale", 3, 0), (3, 5, 1, "h", "failed", 3, 0), (4, 5, 1, "h", "failed", 2, 0), (5, 5, 1, "h", "indexed", 0, 0), (6, 5, 1, "h", "indexed", 0, 0)], "k int, size_bytes int, modified_at int, content_hash string, status string, failures int, failed_ms long")
+    now = spark.createDataFrame([(1, 5, 1, None, True), (2, 5, 1, None, True), (3, 6, 1, None, True), (4, 5, 1, None, True), (5, 5, 1, "h", False), (7, 1, 1, "x", False)], "k int, size_bytes int, modified_at int, content_hash string, ok boolean")
+    run = lambda asked=None: dict(got(scan.retry_outcomes(before, now, "k", F.lit(1000), F.col("ok"), asked)))
+    assert run() == {1: "deferredFailed", 2: "deferredStale", 3: "failed", 4: "failed", 5: "unchanged", 6: "removed", 7: "unsupported"}
+    assert run(spark.createDataFrame([(1,)], "k int"))[1] == "failed"
+    told = scan.scan_counters(scan.retry_outcomes(before, now, "k", F.lit(1000), F.col("ok"))).first().asDict()
+    assert told == {"added": 0, "updated": 0, "removed": 1, "unchanged": 1, "unsupported": 1, "failed": 3, "stale": 1, "deferred": 2, "relink": True}
+    only = spark.createDataFrame([(1, "deferredFailed"), (2, "unchanged")], "k int, outcome string")
+    assert scan.scan_counters(only).first().relink is False
+
+
+def test_summaries(spark):
+    from sheaf.operators import answers
+
+    rows = spark.createDataFrame([("d", i, f"t{i}") for i in range(40)] + [("e", 0, "")], "d string, n int, t string")
+    told = {r.d: r for r in answers.summarised(rows, "d", "n", "t", lambda texts: " ".join(texts) or None, lambda notes: "|".join(notes)).collect()}
+    assert told["d"].notes == 8 and told["d"].covered == 32 and told["d"].partial and told["d"].summary.startswith("t0 t1 t2 t3|t4")
+    assert told["e"].summary is None and not told["e"].partial
+
+
 def test_folder_affinity(spark):
     """Copies are no reason to move, a missing home counts as 0, of equal folders the smaller is taken, ten per scope."""
     a, b = [1.0, 0.0], [0.0, 1.0]
