@@ -333,7 +333,7 @@ def _around(outer: float):
         for some, cos in blocks:
             row, col = np.nonzero(cos > outer)
             out.append(pd.DataFrame({"scope": scope, "space": space, "cluster": some[row], "id": ids[col], "n": w[col], "similarity": cos[row, col], "mark": m[col]}))
-        return plain(pd.concat(out, ignore_index=True))
+        return plain(pd.concat(out, ignore_index=True)).astype({"scope": object, "space": object, "cluster": object})
     return run
 
 
