@@ -22,7 +22,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .textform import LOOKALIKES, canonical
+from .textform import _CONTROLS, _INVISIBLE, LOOKALIKES, canonical
 
 FIT_ROWS, FIT_CHARS = 5000, 20_000
 LESSER = 0.2
@@ -71,8 +71,12 @@ def words(text: str) -> list[str]:
 
 
 def paragraphs(text: str) -> list[str]:
-    """The parts between blank lines, blank ones left out."""
-    return [p for p in _BLANK.split(text) if canonical(p).strip()]
+    """The parts between blank lines, blank ones left out; a line of invisible characters is blank."""
+    if _CONTROLS.search(text):
+        text = _CONTROLS.sub("", text)
+    if not text.isascii():
+        text = _INVISIBLE.sub("", text)
+    return [p for p in _BLANK.split(text) if p.strip()]
 
 
 class Letters:

@@ -226,6 +226,12 @@ def test_own_languages_are_kept(fitted, want, text):
     assert got[1] == want and got[2] > 0.5
 
 
+def test_paragraphs():
+    """Numbers of paragraphs do not depend on what cannot be seen."""
+    assert language.paragraphs("a\n\u200b \x00\nb\n\u00a0\n\u200b\n\nc\r\n\r\n") == ["a", "b", "c"]
+    assert language.paragraphs("a\nb") == ["a\nb"] and language.paragraphs(" \n\n") == []
+
+
 def test_other_alphabets_on_raw_text():
     """Words all of look-alikes belong to the alphabet of their paragraph."""
     assert language.words("\u03a4\u039f \u039a\u0391\u03a4\u0391") == ["жж", "жжжж"]
