@@ -30,6 +30,26 @@ class Library:
     def list_indexed_documents(self) -> DataFrame:
         return self._files().orderBy("relative_path")
 
+    def get_document(self, document_id: str) -> DataFrame:
+        """The document with that id, or nothing."""
+        return self._files().filter(F.col("document_id") == document_id)
+
+    def document_chunks(self, document_id: str, leading: int | None = None) -> DataFrame:
+        """The passages of an indexed document in reading order, or the first of them."""
+        indexed = self._files().filter((F.col("status") == "indexed") & (F.col("document_id") == document_id)).select("document_id")
+        rows = self._chunks().join(indexed, "document_id", "left_semi").orderBy("ordinal")
+        return rows if leading is None else rows.limit(max(1, min(leading, 100)))
+
+    def stored_chunks(self, ids: list[int]) -> DataFrame:
+        """Passages of indexed documents by a list of ids."""
+        indexed = self._files().filter("status = 'indexed'").select("document_id").distinct()
+        return self._chunks().filter(F.col("chunk_id").isin(ids)).join(indexed, "document_id", "left_semi")
+
+    def recheck(self, root: str, document_ids: list[str]) -> DataFrame:
+        """Outcomes of reading some documents again, whatever they wait for; of documents of this library only."""
+        asked = self._files().filter(F.col("document_id").isin(document_ids)).select("relative_path")
+        return self.scan_workspace(root).join(asked, "relative_path", "left_semi")
+
     def scan_workspace(self, root: str) -> DataFrame:
         """Outcomes of a scan of a folder of files against the index, by path."""
         now = folder.read_documents(self.spark, root).select("relative_path", "size_bytes", "modified_at", F.when(F.col("content").isNotNull(), F.col("content_hash")).alias("content_hash"))

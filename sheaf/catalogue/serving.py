@@ -372,3 +372,15 @@ def outcome_counts(spark, d):
     """Outcomes per model; kinds of operation stand for models, of which the tables have no runs."""
     h = _history(spark, d, "operation_kind", "undone_at").select(F.col("operation_kind").alias("model"), F.when(F.col("undone_at").isNotNull(), "undone").otherwise("kept").alias("outcome"))
     return lab.outcome_counts(h, "model", "outcome")
+
+
+@query(r"""
+WITH t AS (SELECT DISTINCT file_id, content FROM document_texts WHERE contains(content, '](')),
+m AS (SELECT file_id, regexp_extract_all(content, '\[([^\]]+)\]\(([^)]+)\)', 0) AS ms, regexp_extract_all(content, '\[([^\]]+)\]\(([^)]+)\)', 1) AS ls, regexp_extract_all(content, '\[([^\]]+)\]\(([^)]+)\)', 2) AS ts, string_split_regex(content, '\[[^\]]+\]\([^)]+\)') AS ps FROM t),
+e AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m)
+SELECT file_id, i::INTEGER AS n, ls[i] AS label, ts[i] AS target, (list_sum(list_transform(ps[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: strlen(x))), 0))::BIGINT AS start_byte, (list_sum(list_transform(ps[1:i], lambda x: strlen(x))) + list_sum(list_transform(ms[1:i], lambda x: strlen(x))))::BIGINT AS end_byte FROM e
+""")
+def link_ranges(spark, d):
+    """Every link with its label and the bytes it stands at."""
+    texts = table(spark, d, "document_texts").filter("contains(content, '](')").select("file_id", F.posexplode(T.link_ranges(F.col("content"))).alias("n", "x"))
+    return texts.select("file_id", (F.col("n") + 1).alias("n"), "x.label", "x.target", F.col("x.start").alias("start_byte"), F.col("x.end").alias("end_byte")).distinct()

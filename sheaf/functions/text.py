@@ -231,3 +231,35 @@ def model_json(text: Column) -> Column:
     inner = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"(?s)^```json(.*)```$", 1), r"^\s+", ""), r"\s+$", "")
     json = F.when(bare.startswith("```json") & bare.endswith("```") & (F.length(bare) >= 10), inner).otherwise(bare)
     return F.when(F.try_parse_json(json).isNotNull(), json)
+
+
+def link_ranges(text: Column) -> Column:
+    """array<struct<label, target, start, end>> of the [label](target) links, in order; start and end are UTF-8 bytes.
+
+    The pieces between the links are cut by the same pattern, so that positions add up; everything stays in the JVM.
+    """
+    pattern = r"\[([^\]]+)\]\(([^)]+)\)"
+    whole, labels, targets = (F.regexp_extract_all(text, F.lit(pattern), F.lit(n)) for n in (0, 1, 2))
+    between = F.split(text, pattern, -1)
+    sizes = F.zip_with(F.transform(between, lambda x: F.octet_length(x)), F.transform(whole, lambda x: F.octet_length(x)), lambda a, b: F.struct(F.coalesce(a, F.lit(0)).alias("gap"), F.coalesce(b, F.lit(0)).alias("own")))
+    kind = "struct<at:bigint,ends:array<struct<start:bigint,end:bigint>>>"
+    begun = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("ends"))
+
+    def add(held, x):
+        start = held["at"] + x["gap"]
+        end = start + x["own"]
+        return F.struct(end.alias("at"), F.concat(held["ends"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("ends")).cast(kind)
+
+    ends = F.aggregate(sizes, begun.cast(kind), add)["ends"]
+    each = F.zip_with(labels, targets, lambda a, b: F.struct(a.alias("label"), b.alias("target")))
+    return F.filter(F.zip_with(each, ends, lambda a, b: F.struct(a["label"].alias("label"), a["target"].alias("target"), b["start"].alias("start"), b["end"].alias("end"))), lambda x: x["label"].isNotNull())
+
+
+def utf8_offset(text: Column, units: Column) -> Column:
+    """The byte offset of an offset in UTF-16 units; null inside a character, before the text and beyond it."""
+    wide = F.encode(text, "UTF-16BE")
+    head = F.substring(wide, F.lit(1), (units * 2).cast("int"))
+    # a pair cut in half ends with its first half, D800 to DBFF
+    cut = F.hex(F.substring(wide, (units * 2 - 1).cast("int"), F.lit(2))).rlike("^D[89AB]")
+    inside = (units >= 0) & (units * 2 <= F.octet_length(wide))
+    return F.when(inside & (units == 0), F.lit(0)).when(inside & ~cut, F.octet_length(F.decode(head, "UTF-16BE")))

@@ -49,3 +49,34 @@ def diff_lines(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame
 
     rows = pairs.select(F.col(key), F.coalesce(before, F.lit("")).alias("__a"), F.coalesce(after, F.lit("")).alias("__b"))
     return rows.mapInPandas(run, f"{key} {kind}, state string, removed int, added int, start int, before_end int, after_end int")
+
+
+def line_hunks(before: str, after: str, context: int = 3) -> list[tuple[int, int, int, int, list[str]]]:
+    """(first line before, lines, first line after, lines, marked lines) of each hunk, lines counted from 1; empty beyond MOST_CELLS."""
+    a, b = before.splitlines(), after.splitlines()
+    if before == after or len(a) * len(b) > MOST_CELLS:
+        return []
+    out = []
+    for group in difflib.SequenceMatcher(None, a, b, autojunk=False).get_grouped_opcodes(context):
+        marked = []
+        for tag, i, j, k, m in group:
+            if tag == "equal":
+                marked += [" " + line for line in a[i:j]]
+            else:
+                marked += ["-" + line for line in a[i:j]] + ["+" + line for line in b[k:m]]
+        first, last = group[0], group[-1]
+        out.append((first[1] + 1, last[2] - first[1], first[3] + 1, last[4] - first[3], marked))
+    return out
+
+
+def diff_hunks(pairs: DataFrame, key: str, before: str, after: str, context: int = 3) -> DataFrame:
+    """(key, hunk, before_start, before_lines, after_start, after_lines, lines) per hunk; a null side counts as empty."""
+    kind = dict(pairs.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [key, "hunk", "before_start", "before_lines", "after_start", "after_lines", "lines"]
+        for pdf in batches:
+            yield pd.DataFrame([(k, n, *h) for k, a, b in zip(pdf[key], pdf["__a"], pdf["__b"]) for n, h in enumerate(line_hunks(a, b, context))], columns=columns, dtype=object)
+
+    rows = pairs.select(F.col(key), F.coalesce(before, F.lit("")).alias("__a"), F.coalesce(after, F.lit("")).alias("__b"))
+    return rows.mapInPandas(run, f"{key} {kind}, hunk int, before_start int, before_lines int, after_start int, after_lines int, lines array<string>")

@@ -95,3 +95,15 @@ def test_library(spark):
     assert lib.semantic_search("budget report", [0.1] * 64, "space-main").columns
     for df in (lib.list_duplicates(), lib.list_relationships(), lib.organization_suggestions(), lib.ripple_impacts("the budget", "the plan"), lib.pending_embedding_chunks("space-main"), lib.list_activity(), lib.preview_undo("plan-000000001")):
         df.collect()
+
+
+def test_library_lookups(spark, tmp_path):
+    """Documents and passages by id; only indexed documents give passages."""
+    from sheaf.api import Library
+
+    spark.createDataFrame([(1, "d1", "w", "a.md", "indexed"), (2, "d2", "w", "b.md", "failed")], "file_id long, document_id string, workspace_id string, relative_path string, status string").write.parquet(str(tmp_path / "indexed_documents.parquet"))
+    spark.createDataFrame([(i, "d1" if i < 5 else "d2", "w", 9 - i, f"t{i}") for i in range(8)], "chunk_id long, document_id string, workspace_id string, ordinal int, chunk_text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    lib = Library(spark, str(tmp_path), "w")
+    assert [r.relative_path for r in lib.get_document("d2").collect()] == ["b.md"] and lib.get_document("zz").collect() == []
+    assert [r.chunk_id for r in lib.document_chunks("d1").collect()] == [4, 3, 2, 1, 0] and [r.chunk_id for r in lib.document_chunks("d1", 2).collect()] == [4, 3]
+    assert lib.document_chunks("d2").collect() == [] and sorted(r.chunk_id for r in lib.stored_chunks([1, 6, 99]).collect()) == [1]

@@ -265,6 +265,25 @@ def test_highlight_and_lines(spark):
     assert search.terms_in_order("b a B?c") == ["b", "a", "c"] and search.match_expression(["a", "b c", ""]) == '"a"' and search.match_expression([]) is None
 
 
+def test_link_ranges_and_offsets(spark):
+    t = "[é](a.md)ñ [b c](d(e) x[]() [f](g)"
+    found = one(spark, T.link_ranges(F.col("t")), t=t)
+    assert [(x.label, x.target, t.encode()[x.start : x.end].decode()) for x in found] == [("é", "a.md", "[é](a.md)"), ("b c", "d(e", "[b c](d(e)"), ("f", "g", "[f](g)")]
+    assert one(spark, T.link_ranges(F.col("t")), t="none") == [] and one(spark, T.link_ranges(F.col("t")), t="") == []
+    s = "aé🏽z"  # 1, 2, 4 and 1 bytes; 1, 1, 2 and 1 units
+    back = [one(spark, T.utf8_offset(F.col("t"), F.lit(n)), t=s) for n in range(-1, 7)]
+    assert back == [None, 0, 1, 3, None, 7, 8, None]
+    assert [one(spark, T.utf16_offset(F.col("t"), F.lit(b)), t=s) for b in (0, 1, 3, 7, 8)] == [0, 1, 2, 4, 5]
+
+
+def test_diff_hunks(spark):
+    a = "\n".join(f"l{i}" for i in range(20))
+    b = a.replace("l3\n", "x\ny\n").replace("l17", "z")
+    df = spark.createDataFrame([(1, a, b), (2, a, a), (3, None, "n"), (4, None, None)], "k int, a string, b string")
+    found = sorted(tuple(r) for r in diffs.diff_hunks(df, "k", "a", "b", 1).collect())
+    assert found == [(1, 0, 3, 3, 3, 4, [" l2", "-l3", "+x", "+y", " l4"]), (1, 1, 17, 3, 18, 3, [" l16", "-l17", "+z", " l18"]), (3, 0, 1, 0, 1, 1, ["+n"])]
+
+
 def test_scan_with_retries(spark):
     before = spark.createDataFrame([(1, 5, 1, "h", "failed", 3, 0), (2, 5, 1, "h", "stale", 3, 0), (3, 5, 1, "h", "failed", 3, 0), (4, 5, 1, "h", "failed", 2, 0), (5, 5, 1, "h", "indexed", 0, 0), (6, 5, 1, "h", "indexed", 0, 0)], "k int, size_bytes int, modified_at int, content_hash string, status string, failures int, failed_ms long")
     now = spark.createDataFrame([(1, 5, 1, None, True), (2, 5, 1, None, True), (3, 6, 1, None, True), (4, 5, 1, None, True), (5, 5, 1, "h", False), (7, 1, 1, "x", False)], "k int, size_bytes int, modified_at int, content_hash string, ok boolean")

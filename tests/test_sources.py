@@ -110,3 +110,20 @@ def test_staged_tables_are_removed(spark):
     before = set(os.listdir(place)) if os.path.isdir(place) else set()
     assert {r.component for r in connected_components(edges, "a", "b").collect()} == {0}
     assert len(set(os.listdir(place)) - before) == 1
+
+
+def test_suite(spark, tmp_path):
+    import json
+
+    from sheaf.sources import suite
+
+    cases = [{"id": "r1", "task": "retrieval", "input": "q", "relevantDocuments": ["a.md", "b.md", "a.md"]}, {"id": "e1", "task": "edit", "input": "x", "expectedTarget": "a.md", "unchangedRelatedFiles": True}, {"task": "edit"}]
+    (tmp_path / "cases.json").write_text(json.dumps(cases))
+    assert sorted(r.id for r in suite.read_cases(spark, str(tmp_path / "cases.json")).collect()) == ["e1", "r1"]
+    only = suite.read_cases(spark, str(tmp_path / "cases.json"), "retrieval")
+    assert sorted(map(tuple, suite.labelled(only, "relevantDocuments").collect())) == [("r1", "a.md"), ("r1", "b.md")]
+    root = tmp_path / "corpus"
+    root.mkdir()
+    (root / "a.md").write_bytes(b"x\r\ny\rz")
+    (root / "b.md").write_bytes(b"x\ny\nz")
+    assert len({r.corpus_hash for r in suite.read_corpus(spark, str(root)).collect()}) == 1
