@@ -167,7 +167,10 @@ def components(u: np.ndarray, home: int, levels: tuple[float, ...]) -> tuple[np.
     step = max(1, BLOCK // max(n, 1))
     for a in range(0, home, step):
         b = min(home, a + step)
-        i, j = np.nonzero(u[a:b] @ u[a:].T >= levels[0])
+        near = u[a:b] @ u[a:].T >= levels[0]
+        if np.count_nonzero(near) > near.size // 50:  # what is one at the highest density is one at all: a hot spot is met once
+            near &= label[-1, a:b, None] != label[-1, None, a:]
+        i, j = np.nonzero(near)
         i, j = i + a, j + a
         some = i < j
         i, j = i[some], j[some]
