@@ -19,8 +19,13 @@ PART = 100_000
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
+    """The tokenizer of a vocabulary file, or of the copy of it that came with the job where the path is not there."""
     import tiktoken
 
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -33,8 +38,10 @@ def count(text: str, path: str = VOCABULARY) -> int:
 def token_counts(df: DataFrame, key: str, text: str, *also: str, path: str = VOCABULARY) -> DataFrame:
     """(id, n_tokens, *also) per row with an id; a null text has 0 tokens.  Ids must be bigint; repeated rows count once.
 
-    Only the id and the columns named in `also` come back with the size, so nothing wide is shuffled.
+    Only the id and the columns named in `also` come back with the size, so nothing wide is shuffled.  The vocabulary
+    file goes with the job to executors that do not have it.
     """
+    df.sparkSession.sparkContext.addFile(path)
     kept = [F.col(c).alias(f"k{n}") for n, c in enumerate(also)]
     rows = df.select(F.col(key).cast("bigint").alias("id"), *kept, F.col(text).alias("text")).filter("id IS NOT NULL")
 
