@@ -116,12 +116,12 @@ def p9_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
-    spans = shared_spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
+    spans = shared_spans.shared_stretches(table(spark, d, "documents"), "doc_id", "text")
     return spans.withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
 
 
 def p9_members(spark: SparkSession, d: str) -> DataFrame:
-    """The document that stands in p9_spans for each document: the smallest id with the same text."""
+    """The document that stands for each document where a text is named once: the smallest id with the same text."""
     members = shared_spans.copies_of(table(spark, d, "documents"), "doc_id", "text")
     return members.withColumnsRenamed({"id": "doc_id", "rep": "rep_doc_id"})
 

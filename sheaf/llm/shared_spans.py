@@ -9,10 +9,10 @@ the stretch stands, so no stretch of that length is missed.  Chunks are at least
 keeps shorter standing phrases apart.
 
 Equal digests are followed by an exact comparison of the characters around the chunk, as far as a stretch of
-`length` can reach.  Digests that more than `HOT` texts have are not compared pair by pair: each text gets a key of 128
-bits for every window of `length` characters that holds such a chunk, and only equal windows meet.  Parts come from
-counts per window, spans tie each document to the smallest id that has the window, and pairs of documents are
-enumerated only where they are what is asked for, once per set of documents that have a window in common.
+`length` can reach.  Digests of more than `HOT` chunks, and those of repeated characters, are not compared pair by pair:
+each text gets a key of 128 bits for every window of `length` characters that holds such a chunk, and only equal windows
+meet.  Parts come from counts per window, and pairs of documents are enumerated only where they are what is asked for,
+once per set of documents that have a window in common, or of places where they have it.
 
 Digests that hold a noticeable share of all chunks are found on a sample of the documents (at most `SHARES` digests,
 whatever the size of the input); their rows are known to be shared and take no part in the grouping by digest.
@@ -35,7 +35,6 @@ HOT = 64
 SAMPLE, SEEN, SHARES = 64, 16, 10_000
 #: Parts that the rows of a frequent digest are dealt to.
 SALTS = 256
-RUN = 48
 BATCH_CHARS = 300_000
 _PAD_A, _PAD_B = "\U0010fffe", "\U0010ffff"
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -67,11 +66,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return next(iter(_powers.values()))
 
 
-def chunks(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, start, size, digest) of every chunk of the texts, positions in characters of each text.
+def chunks(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, start, last start, size, digest) of every chunk of the texts, positions in characters of each text.
 
-    Of a run of overlapping chunks with one digest (repeated characters) the first, the last and one for every RUN
-    characters are kept: their surroundings still cover the run.
+    A run of overlapping chunks with one digest (repeated characters) is one row, from its first start to its last.
     """
     step = length - GEAR + 1 - 2 * WINDOW - 1
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -80,7 +78,7 @@ def chunks(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     starts = ends - sizes
     none = np.empty(0, np.int64)
     if len(codes) < GEAR + WINDOW:
-        return none, none, none, none
+        return none, none, none, none, none
     wide = _gear(codes)
     h = (wide >> np.uint64(32)).astype(np.uint32)
     for k in (1, 2, 4, 8):
@@ -95,7 +93,7 @@ def chunks(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     valid = (at >= starts[own] + GEAR - 1) & (at + WINDOW <= ends[own])
     cut = (least[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     if not len(cut):
-        return none, none, none, none
+        return none, none, none, none, none
     cut = cut[np.concatenate(([True], cut[1:] != cut[:-1]))]
     to = np.searchsorted(cut, cut + step)
     inside = to < len(cut)
@@ -110,17 +108,19 @@ def chunks(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     digest ^= digest >> np.uint64(29)
     again = np.zeros(len(a) + 1, bool)
     again[1:-1] = (digest[1:] == digest[:-1]) & (doc[1:] == doc[:-1]) & (a[1:] < b[:-1])
-    first = a[np.maximum.accumulate(np.where(again[:-1], 0, np.arange(len(a))))]
-    part = (a - first) // RUN
-    keep = ~(again[:-1] & again[1:]) | np.concatenate(([True], part[1:] != part[:-1]))
-    return doc[keep], (a - starts[doc])[keep], (b - a)[keep], digest[keep].view(np.int64)
+    first, last = ~again[:-1], ~again[1:]
+    at = a - starts[doc]
+    return doc[first], at[first], at[last], (b - a)[first], digest[first].view(np.int64)
+
+
+_FOUND = "doc bigint, start int, last int, size int, digest bigint"
 
 
 def _chunked(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def emit(ids: list, texts: list):
-            doc, start, size, digest = chunks(texts, length)
-            return pd.DataFrame({"doc": np.asarray(ids, np.int64)[doc] if len(ids) else doc, "start": start.astype(np.int32), "size": size.astype(np.int32), "digest": digest})
+            doc, start, last, size, digest = chunks(texts, length)
+            return pd.DataFrame({"doc": np.asarray(ids, np.int64)[doc] if len(ids) else doc, "start": start.astype(np.int32), "last": last.astype(np.int32), "size": size.astype(np.int32), "digest": digest})
 
         for pdf in batches:
             ids, texts, held = [], [], 0
@@ -136,15 +136,15 @@ def _chunked(length: int):
     return run
 
 
-_CUT = "digest bigint, doc bigint, start int, before string, chunk string, after string, key_a bigint, key_b bigint"
+_CUT = "digest bigint, doc bigint, start int, before string, chunk string, after string, key_a bigint, key_b bigint, step int, times int"
 
 
-def window_keys(text: str, chunks_: list[tuple[int, int]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, keys, keys) of the windows of `length` characters of the text that hold one of the chunks (start, end)."""
+def window_keys(text: str, chunks_: list[tuple[int, int, int]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, keys, keys) of the windows of `length` characters of the text that hold one of the chunks (first start, last start, size)."""
     n = len(text) - length + 1
     edge = np.zeros(max(n, 0) + 1, np.int64)
-    for s, e in chunks_:
-        a, b = max(0, e - length), min(s, n - 1)
+    for first, last, size in chunks_:
+        a, b = max(0, first + size - length), min(last, n - 1)
         if a <= b:
             edge[a] += 1
             edge[b + 1] -= 1
@@ -159,29 +159,43 @@ def window_keys(text: str, chunks_: list[tuple[int, int]], length: int) -> tuple
     return at, keys[0], keys[1]
 
 
+def _places(at: np.ndarray, one: np.ndarray, two: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(first start, keys, keys, step, times): equal windows of a text that overlap by half or more, at equal steps, as one row."""
+    order = np.lexsort((at, two, one))
+    at, one, two = at[order], one[order], two[order]
+    gap = np.zeros(len(at) + 1, np.int64)  # from the window before, 0 where a row must begin
+    if len(at):
+        near = at[1:] - at[:-1]
+        gap[1:-1] = np.where((one[1:] == one[:-1]) & (two[1:] == two[:-1]) & (near <= length // 2), near, 0)
+    before = np.concatenate(([0], gap[:-1]))
+    first = np.flatnonzero(((gap == 0) | ((before > 0) & (gap != before)))[:-1])
+    times = np.diff(np.append(first, len(at)))
+    return at[first], one[first], two[first], np.where(times > 1, gap[first + 1], 1), times
+
+
 def _windows(length: int):
     """Of each candidate chunk its characters and as many before and after it as a stretch can need; of the hot ones
     of a text the keys of the windows that hold them."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out, held = [], [(np.empty(0, np.int64),) * 4]
+            out, held = [], [(np.empty(0, np.int64),) * 6]
             for doc, text, found in zip(pdf["doc"], pdf["text"], pdf["found"]):
                 hot = []
                 for x in found:
                     s, e = x["start"], x["start"] + x["size"]
                     if x["hot"]:
-                        hot.append((s, e))
+                        hot.append((s, x["last"], x["size"]))
                     else:
                         need = max(0, length - x["size"])
                         out.append((x["digest"], doc, s, text[max(0, s - need) : s], text[s:e], text[e : e + need]))
                 if hot:
-                    at, one, two = window_keys(text, hot, length)
-                    held.append((np.full(len(at), doc), at, one, two))
-            yield pd.DataFrame(out, columns=["digest", "doc", "start", "before", "chunk", "after"]).assign(key_a=None, key_b=None)
-            doc, at, one, two = (np.concatenate(c) for c in zip(*held))
+                    at, one, two, step, times = _places(*window_keys(text, hot, length), length)
+                    held.append((np.full(len(at), doc), at, one, two, step, times))
+            yield pd.DataFrame(out, columns=["digest", "doc", "start", "before", "chunk", "after"]).assign(key_a=None, key_b=None, step=None, times=None)
+            doc, at, one, two, step, times = (np.concatenate(c) for c in zip(*held))
             for k in range(0, len(doc), 200_000):
                 part = slice(k, k + 200_000)
-                yield pd.DataFrame({"digest": None, "doc": doc[part], "start": at[part].astype(np.int32), "before": None, "chunk": None, "after": None, "key_a": one[part], "key_b": two[part]})
+                yield pd.DataFrame({"digest": None, "doc": doc[part], "start": at[part].astype(np.int32), "before": None, "chunk": None, "after": None, "key_a": one[part], "key_b": two[part], "step": step[part].astype(np.int32), "times": times[part].astype(np.int32)})
     return run
 
 
@@ -224,7 +238,7 @@ def copies_of(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _frequent(rows: DataFrame, length: int) -> DataFrame:
     """(digest): at most SHARES digests that a sample shows in several texts and in a noticeable share of all chunks."""
-    seen = rows.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0).mapInPandas(_chunked(length), "doc bigint, start int, size int, digest bigint")
+    seen = rows.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0).mapInPandas(_chunked(length), _FOUND)
     counted = stage(seen.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")), "seen")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     return counted.join(F.broadcast(total)).filter((F.col("low") < F.col("high")) & (F.col("n") >= SEEN) & (F.col("n") * SHARES >= F.col("total"))).select("digest")
@@ -238,18 +252,19 @@ def _candidates(df: DataFrame, key: str, text: str, length: int) -> tuple[DataFr
     members = stage(copies_of(df, key, text), "members")
     copies = members.filter("id <> rep").select(F.col("id").alias("doc"))
     long_ = rows.filter(F.length("text") >= length)
-    found = long_.mapInPandas(_chunked(length), "doc bigint, start int, size int, digest bigint")
+    found = long_.mapInPandas(_chunked(length), _FOUND)
     marked = found.join(F.broadcast(_frequent(long_, length).withColumn("frequent", F.lit(True))), "digest", "left")
     over = lambda x, by: F.expr(f"{x} OVER (PARTITION BY {by})")
     # rows of a frequent digest are known to be shared: they are dealt out and not looked at together
     dealt = f"digest, CASE WHEN frequent THEN pmod(xxhash64(doc), {SALTS}) END"
-    met = marked.withColumns({"low": over("min(doc)", dealt), "high": over("max(doc)", dealt)}).filter("frequent OR low < high").select("doc", "start", "size", "digest", F.coalesce("frequent", F.lit(False)).alias("often"))
+    met = marked.withColumns({"low": over("min(doc)", dealt), "high": over("max(doc)", dealt)}).filter("frequent OR low < high").select("doc", "start", "last", "size", "digest", F.coalesce("frequent", F.lit(False)).alias("often"))
     # copies are put aside only now, where few narrow rows are left; what they alone shared goes with them
     apart = stage(met.join(copies, "doc", "left_anti"), "apart")
-    again = apart.filter("NOT often").withColumns({"low": over("min(doc)", "digest"), "high": over("max(doc)", "digest"), "n": over("count(*)", "digest")}).filter("low < high")
-    hot = apart.filter("often").select("doc", "digest", "start", "size", F.lit(True).alias("hot"))
-    candidates = again.select("doc", "digest", "start", "size", (F.col("n") > HOT).alias("hot")).unionByName(hot)
-    by_doc = candidates.groupBy("doc").agg(F.collect_set(F.struct("digest", "start", "size", "hot")).alias("found"))
+    again = apart.filter("NOT often").withColumns({"low": over("min(doc)", "digest"), "high": over("max(doc)", "digest"), "n": over("count(*)", "digest"), "runs": over("max(last - start)", "digest")}).filter("low < high")
+    hot = apart.filter("often").select("doc", "digest", "start", "last", "size", F.lit(True).alias("hot"))
+    # a chunk inside a run may be the only one that two stretches have in common: all windows over the run are met
+    candidates = again.select("doc", "digest", "start", "last", "size", ((F.col("n") > HOT) | (F.col("runs") > 0)).alias("hot")).unionByName(hot)
+    by_doc = candidates.groupBy("doc").agg(F.collect_set(F.struct("digest", "start", "last", "size", "hot")).alias("found"))
     return members, stage(long_.join(by_doc, "doc").mapInPandas(_windows(length), _CUT), "windows")
 
 
@@ -258,7 +273,7 @@ _STRETCH = "doc_a bigint, doc_b bigint, start_a int, start_b int, size int"
 
 def _pairwise(windows: DataFrame, length: int) -> DataFrame:
     """The stretches around chunks of at most HOT texts, text by text."""
-    plain = windows.filter("key_a IS NULL").drop("key_a", "key_b").distinct()
+    plain = windows.filter("key_a IS NULL").drop("key_a", "key_b", "step", "times").distinct()
     side = lambda x: plain.select("digest", *(F.col(c).alias(f"{c}_{x}") for c in ("doc", "start", "before", "chunk", "after")))
     return side("a").join(side("b"), "digest").filter("doc_a < doc_b").drop("digest").mapInPandas(_compared(length), _STRETCH)
 
@@ -267,10 +282,32 @@ _KEYS = ["key_a", "key_b"]
 
 
 def _shared_windows(windows: DataFrame) -> DataFrame:
-    """The windows around hot chunks that several texts have, with the smallest of these and where it has it; counted before they are met, so no pair is formed."""
-    keyed = windows.filter("key_a IS NOT NULL").select(*_KEYS, "doc", "start")
+    """The places (start, step, times) of the windows around hot chunks that several texts have, with the first of each; counted before they are met, so no pair is formed."""
+    keyed = windows.filter("key_a IS NOT NULL").select(*_KEYS, "doc", "start", "step", "times")
     held = keyed.groupBy(*_KEYS).agg(F.min(F.struct("doc", "start")).alias("first"), F.max("doc").alias("high")).filter("first.doc < high")
-    return keyed.join(held.select(*_KEYS, "first"), _KEYS).select("doc", "start", "first")
+    return keyed.join(held.select(*_KEYS, "first"), _KEYS)
+
+
+def _laid(places: DataFrame, length: int, pairs: str) -> DataFrame:
+    """(doc_a, doc_b, shift, s, e): pieces of the stretches that two texts of `pairs` have in common, from the places of equal windows.
+
+    Windows that follow one another in the same places of the same texts are met once.  Where both texts repeat the
+    window, each way to lay them over one another is a row.
+    """
+    met = stage(places.distinct(), "met")
+    at = ["doc", F.col("start") - F.col("first.start"), "step", "times"]
+    sets = met.groupBy(*_KEYS, "first").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*at)).alias("mark"), F.bit_xor(F.xxhash64(*at, F.lit(1))).alias("mark_b"))
+    kind = "first.doc, n, mark, mark_b"
+    numbered = sets.withColumn("island", F.expr(f"first.start - row_number() OVER (PARTITION BY {kind} ORDER BY first.start)"))
+    one = numbered.groupBy("first.doc", "n", "mark", "mark_b", "island").agg(F.min_by(F.struct(*_KEYS), "first.start").alias("k"), F.count("*").alias("more"))
+    kept = stage(met.join(one.select("k.key_a", "k.key_b", "more"), _KEYS).select(*_KEYS, F.col("first.doc").alias("low"), (F.col("more") - 1 + length).cast("int").alias("size"), "doc", "start", "step", "times"), "kept")
+    side = lambda x: kept.select(*_KEYS, "low", "size", *(F.col(c).alias(f"{c}_{x}") for c in ("doc", "start", "step", "times")))
+    both = side("a").join(side("b").drop("low", "size"), _KEYS).filter(pairs)
+    uneven = "step_a <> step_b AND times_a > 1 AND times_b > 1"  # then the places of the one are laid on those of the other singly
+    each = both.withColumn("i", F.explode(F.expr(f"CASE WHEN {uneven} THEN sequence(0, times_a - 1) ELSE array(0) END")))
+    laid = each.select("doc_a", "doc_b", F.expr("start_a + i * step_a AS at_a"), "start_b", "size", "times_b", F.expr(f"CASE WHEN {uneven} THEN 1 ELSE times_a END AS times_a"), F.expr("CASE WHEN times_b > 1 THEN step_b ELSE step_a END AS step"))
+    moved = laid.withColumn("by", F.explode(F.expr("sequence(1 - times_b, times_a - 1)")))
+    return moved.selectExpr("doc_a", "doc_b", "at_a - start_b + by * step AS shift", "at_a + greatest(0, by) * step AS s", "at_a + least(times_a, times_b + by) * step - step + size AS e")
 
 
 def _hot_pairs(windows: DataFrame) -> DataFrame:
@@ -310,7 +347,7 @@ def shared_parts(df: DataFrame, key: str, text: str, length: int = 180) -> DataF
     members, windows = _candidates(df, key, text, length)
     ends = lambda x: F.struct(F.col(f"doc_{x}").alias("rep"), F.col(f"start_{x}").alias("s"), (F.col(f"start_{x}") + F.col("size")).alias("e"))
     plain = _pairwise(windows, length).select(F.explode(F.array(ends("a"), ends("b"))).alias("x")).select("x.*")
-    hot = _shared_windows(windows).select(F.col("doc").alias("rep"), F.col("start").alias("s"), (F.col("start") + length).alias("e"))
+    hot = _shared_windows(windows).select(F.col("doc").alias("rep"), F.col("start").alias("s"), (F.col("start") + (F.col("times") - 1) * F.col("step") + length).alias("e"))
     spans = plain.unionByName(hot).distinct()
     copied = members.filter(F.col("n_chars") >= length).groupBy("rep").agg(F.count("*").alias("n"), F.max("n_chars").alias("e")).filter("n > 1").select("rep", F.lit(0).alias("s"), "e")
     spans = stage(spans.unionByName(copied), "spans")
@@ -321,12 +358,61 @@ def shared_parts(df: DataFrame, key: str, text: str, length: int = 180) -> DataF
     return out.withColumn("shared_part", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0))
 
 
+def _spans(windows: DataFrame, length: int, pairs: str) -> DataFrame:
+    """(doc_a, doc_b, shift, s, e, n) of different texts; `pairs` says which are met around hot chunks."""
+    plain = _pairwise(windows, length).select("doc_a", "doc_b", (F.col("start_a") - F.col("start_b")).alias("shift"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("size")).alias("e"))
+    return merged_intervals(plain.unionByName(_laid(_shared_windows(windows), length, pairs)).distinct(), ["doc_a", "doc_b", "shift"], "s", "e")
+
+
 def shared_spans(df: DataFrame, key: str, text: str, length: int = 180) -> DataFrame:
-    """(id_a, id_b, start_a, start_b, size): the common stretches themselves, in characters, joined where windows of one
+    """(id_a, id_b, start_a, start_b, size): the common stretches in short form, in characters, joined where windows of one
     alignment overlap; one row per pair of different texts (their smallest ids) and alignment.  What more than HOT texts
-    have is tied to the smallest id that has it, so that between two others only the rest of it may stand.  copies_of has the other ids of each text."""
-    _, windows = _candidates(df, key, text, length)
-    tied = _shared_windows(windows).filter("first.doc < doc").select(F.col("first.doc").alias("doc_a"), F.col("doc").alias("doc_b"), F.col("first.start").alias("start_a"), F.col("start").alias("start_b"), F.lit(length).alias("size"))
-    spans = _pairwise(windows, length).unionByName(tied).select("doc_a", "doc_b", (F.col("start_a") - F.col("start_b")).alias("shift"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("size")).alias("e")).distinct()
-    whole = merged_intervals(spans, ["doc_a", "doc_b", "shift"], "s", "e")
+    have is tied to every place in the smallest id that has it, so that the places of two others follow from two rows;
+    shared_stretches has a row for each.  copies_of has the other ids of each text."""
+    whole = _spans(_candidates(df, key, text, length)[1], length, "doc_a < doc_b AND doc_a = low")
     return whole.select(F.col("doc_a").alias("id_a"), F.col("doc_b").alias("id_b"), F.col("s").alias("start_a"), (F.col("s") - F.col("shift")).alias("start_b"), (F.col("e") - F.col("s")).alias("size"))
+
+
+def _repeated(length: int):
+    """The places of the windows that a text has more than once; keys are those of the one text."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc, text in zip(pdf["doc"], pdf["text"]):
+                at, one, two, step, times = _places(*window_keys(text, [(0, len(text), 0)], length), length)
+                begins = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+                n = np.diff(np.append(begins, len(at)))
+                first, several = np.repeat(at[begins], n), np.repeat((n > 1) | (times[begins] > 1), n)
+                own = np.array([doc], np.int64).view(np.uint64) * _MIX
+                yield pd.DataFrame({"key_a": one ^ own.view(np.int64), "key_b": two, "doc": doc, "start": at, "step": step, "times": times, "first": first})[several]
+    return run
+
+
+def _repeats(texts: DataFrame, length: int) -> DataFrame:
+    """(doc, s, later, size) of the stretches that a text has in common with itself."""
+    places = texts.mapInPandas(_repeated(length), "key_a bigint, key_b bigint, doc bigint, start int, step int, times int, first int").withColumn("first", F.struct("doc", F.col("first").alias("start")))
+    pieces = _laid(places, length, "doc_a = doc_b AND start_a <= start_b").filter("shift < 0").select(F.col("doc_a").alias("doc"), "shift", "s", "e").distinct()
+    return merged_intervals(pieces, ["doc", "shift"], "s", "e").selectExpr("doc", "s", "s - shift AS later", "e - s AS size")
+
+
+def shared_stretches(df: DataFrame, key: str, text: str, length: int = 180) -> DataFrame:
+    """(id_a, id_b, start_a, start_b, size): every common stretch of at least `length` characters of every pair
+    (id_a < id_b) of rows, copies included; one row per pair and alignment, none of which can be longer at either end.
+
+    Inputs are as in shared_pairs, and the pairs are the same.
+    """
+    members, windows = _candidates(df, key, text, length)
+    spans = _spans(windows, length, "doc_a < doc_b")
+    a = members.select(F.col("rep").alias("doc_a"), F.col("id").alias("x"))
+    b = members.select(F.col("rep").alias("doc_b"), F.col("id").alias("y"))
+    turned = lambda of_a, of_b: F.when(F.col("x") < F.col("y"), of_a).otherwise(of_b)
+    at_a, at_b = F.col("s").cast("int"), (F.col("s") - F.col("shift")).cast("int")
+    across = spans.join(a, "doc_a").join(b, "doc_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), turned(at_a, at_b).alias("start_a"), turned(at_b, at_a).alias("start_b"), (F.col("e") - F.col("s")).cast("int").alias("size"))
+    long_ = members.filter(F.col("n_chars") >= length)
+    several = stage(long_.groupBy("rep").agg(F.count("*").alias("n"), F.first("n_chars").alias("size")).filter("n > 1"), "several")
+    own = long_.join(several.select("rep"), "rep", "left_semi").select("rep", "id")
+    within = own.withColumnRenamed("id", "id_a").join(own.withColumnRenamed("id", "id_b"), "rep").filter("id_a < id_b")
+    again = _repeats(_rows(df, key, text).join(several.select(F.col("rep").alias("doc")), "doc", "left_semi"), length)
+    both = again.selectExpr("doc AS rep", "explode(array(struct(s AS start_a, later AS start_b), struct(later AS start_a, s AS start_b))) AS at", "size").select("rep", "at.*", "size")
+    places = both.unionByName(several.select("rep", F.lit(0).alias("start_a"), F.lit(0).alias("start_b"), "size"))
+    copied = within.join(places, "rep").select("id_a", "id_b", F.col("start_a").cast("int"), F.col("start_b").cast("int"), F.col("size").cast("int"))
+    return across.unionByName(copied)

@@ -699,6 +699,78 @@ def test_shared_passage_of_many(spark):
     assert 19_999 <= spans[0] < 8 * 20_000 and spans[1] == 19_999 and spans[2] >= 180
 
 
+def _stretches(a, b, n):
+    """(start in a, start in b, size) of every stretch of n characters or more, as long as it gets, by comparing at every shift."""
+    one, two = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+    out = set()
+    for shift in range(n - len(b), len(a) - n + 1):
+        s, e = max(0, shift), min(len(a), len(b) + shift)
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], one[s:e] == two[s - shift : e - shift], [False]))))
+        out |= {(int(s + i), int(s + i - shift), int(j - i)) for i, j in zip(edge[::2], edge[1::2]) if j - i >= n}
+    return out
+
+
+def _runs(rng):
+    """Texts with repeated characters, words and lines before or after what they share."""
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for period in (1, 1, 2, 7, 44, 75, 100):
+        unit, tail = make(period) * (600 // period + 2), make(rng.randrange(30, 60))
+        for _ in range(9):
+            run = unit[-rng.randrange(90, 330) :]
+            texts.append(make(rng.randrange(0, 40)) + (run + tail if rng.random() < 0.7 else tail + run) + make(rng.randrange(60, 150)))
+    twice = make(190)
+    texts += [twice + "-" * 230 + twice + make(9)] * 3 + [make(20) + twice + make(30) + twice, texts[0], texts[40]]
+    return texts
+
+
+@pytest.mark.parametrize("hot", [64, 2])
+def test_every_shared_stretch(spark, monkeypatch, hot):
+    """No pair and no alignment is left out, whether few or many texts have it, and stretches reach as far as they can."""
+    monkeypatch.setattr(shared_spans, "HOT", hot)
+    rng = random.Random(21)
+    texts = dict(enumerate(t for t in [*_runs(rng), *_library(rng).values()] if len(t) >= 180))
+    want = {(a, b, *x) for a in texts for b in texts if a < b and _shared(texts[a], texts[b], 180) for x in _stretches(texts[a], texts[b], 180)}
+    df = spark.createDataFrame([*texts.items(), (5, texts[5]), (500, None), (None, texts[5])], "k long, t string")
+    found = [tuple(r) for r in shared_spans.shared_stretches(df, "k", "t").collect()]
+    assert set(found) == want and len(found) == len(want)
+    assert got(shared_spans.shared_pairs(df, "k", "t")) == {x[:2] for x in want}
+    covered = {k: set() for k in texts}
+    for a, b, i, j, n in want:
+        covered[a].update(range(i, i + n))
+        covered[b].update(range(j, j + n))
+    assert {r.id: r.shared_chars for r in shared_spans.shared_parts(df, "k", "t").filter("id < 500").collect()} == {k: len(v) for k, v in covered.items()}
+    assert shared_spans.shared_stretches(df.limit(0), "k", "t").count() == 0
+
+
+def test_shared_runs(spark):
+    """Where the shared stretch is a run and a little more, the chunk in common may lie anywhere in the run."""
+    texts = {}
+    for seed in (51, 55, 73):
+        rng = random.Random(seed)
+        make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))  # noqa: B023, E731
+        tail = make(44)
+        for i in (seed, 100 + seed):
+            texts[i] = make(20) + "a" * rng.randrange(138, 260) + tail + make(100)
+    df = spark.createDataFrame(list(texts.items()), "k long, t string")
+    assert got(shared_spans.shared_pairs(df, "k", "t")) == {(a, b) for a in texts for b in texts if a < b and _shared(texts[a], texts[b], 180)}
+
+
+def test_stretches_of_a_footer(spark):
+    """A footer of more than HOT texts comes out for every two of them, as p9_found has them."""
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    foot, n = make(200), shared_spans.HOT + 6
+    df = spark.createDataFrame([(k, make(100 + k) + chr(0x4E00 + k) + foot + chr(0x4E00 + k) + make(50)) for k in range(n)], "k long, t string")
+    want = {(a, b, 101 + a, 101 + b, 200) for a in range(n) for b in range(a + 1, n)}
+    assert got(shared_spans.shared_stretches(df, "k", "t")) == want
+
+
+def test_spans_and_found_name_the_same_pairs(spark):
+    found, spans = (queries.QUERIES[q](spark, "/root/testdata/sf0.001") for q in ("p9_found", "p9_spans"))
+    assert got(found) == got(spans.select("doc_id_a", "doc_id_b")) != set()
+
+
 def test_members_of_shared_spans(spark):
     """Ids of copies are found from the representatives that the spans name."""
     df = spark.createDataFrame([(7, "a" * 200), (3, "a" * 200), (3, "a" * 200), (5, "b"), (None, "b"), (9, None), (8, "")], "k long, t string")
